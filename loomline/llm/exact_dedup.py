@@ -38,6 +38,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tested = tested.select("id", "sha", "uid", F.expr(hit).alias("may_repeat"))
     alone = tested.filter("not may_repeat").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     rest = tested.filter("may_repeat")
-    groups = rest.groupBy("sha").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("first"), F.count("*").alias("group_size"))
+    groups = cut(rest.groupBy("sha").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("first"), F.count("*").alias("group_size")))  # a plain table: Spark can then split a hot hash in the join
     met = rest.join(groups, "sha").select("id", F.col("first.id").alias("keep_id"), "group_size", (F.col("uid") == F.col("first.uid")).alias("kept"), "sha")
     return alone.unionByName(met).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
