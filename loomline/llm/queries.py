@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import ann, line_dedup, mixing, ngram_join, packing, quality
+from loomline.llm import ann, line_dedup, mixing, ngram_join, packing, pitman_yor, quality
 from loomline.llm.exact_dedup import exact_dedup
 from loomline.llm.url_filter import PATTERN_RULES, url_filter
 
@@ -27,6 +27,11 @@ def fold(n: int, id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % n
 
 
+def op1_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pitman_yor.model_scores(table(spark, sf_dir, "documents"), fold(5) != 1)
+    return out.withColumn("held_out", fold(5) == 1)
+
+
 def op2_fm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     machine = quality.fit(docs, labels.filter(fold(4) != 2))
@@ -61,7 +66,7 @@ def op10_ffd_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_fm_quality, op3_url_filter, op4_ngram_jaccard, op6_exact_dedup, op7_line_dedup, op8_anisotropic_ann, op9_source_mix, op10_ffd_pack)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pitman_yor, op2_fm_quality, op3_url_filter, op4_ngram_jaccard, op6_exact_dedup, op7_line_dedup, op8_anisotropic_ann, op9_source_mix, op10_ffd_pack)}
 
 _low = "translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE_SQL: dict[str, str] = {
