@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import ann, line_dedup, mixing, ngram_join, packing, pitman_yor, quality
+from loomline.llm import ann, line_dedup, mixing, ngram_join, packing, pitman_yor, quality, suffix_dedup
 from loomline.llm.exact_dedup import exact_dedup
 from loomline.llm.url_filter import PATTERN_RULES, url_filter
 
@@ -46,6 +46,10 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -66,7 +70,7 @@ def op10_ffd_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pitman_yor, op2_fm_quality, op3_url_filter, op4_ngram_jaccard, op6_exact_dedup, op7_line_dedup, op8_anisotropic_ann, op9_source_mix, op10_ffd_pack)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pitman_yor, op2_fm_quality, op3_url_filter, op4_ngram_jaccard, op5_suffix_dedup, op6_exact_dedup, op7_line_dedup, op8_anisotropic_ann, op9_source_mix, op10_ffd_pack)}
 
 _low = "translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE_SQL: dict[str, str] = {
