@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: ASCII whitespace, as in [\x20\x09-\x0D].
 SPACE = np.zeros(256, bool)
@@ -20,17 +21,30 @@ _B_INV = pow(_B, -1, 1 << 64)
 _powers: list[np.ndarray] = []
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder, so that a lost executor loses nothing."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session; a temporary one is made only in local mode, where none is set."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         where = sc.getConf().get("spark.checkpoint.dir")
         if not where and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="loomline-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise df in the shared checkpoint folder, so that a lost executor loses nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """df as Parquet in the shared folder, read again: for large tables that several scans follow."""
+    where = f"{shared_folder(df.sparkSession)}/saved-{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    return df.sparkSession.read.parquet(where)
+
+
 def groups_for(rows: int, per_group: int) -> int:
     """How many groups hold about per_group rows each."""
     return max(1, -(-rows // per_group))

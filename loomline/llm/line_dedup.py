@@ -213,11 +213,22 @@ def line_dedup(docs: DataFrame, config: Config = Config(), id_col: str = "doc_id
     byte edits, is found earlier, by id (null last), then row, then line number; judged on the input, not on what is left.
     Shorter lines, blank ones among them, stay. A null text stays null and has no lines. Rows that share id and text are
     one document for the order, and all come out alike. Lines are told apart by 64-bit hashes; candidates are verified
-    on their bytes. An empty table gives an empty result; other columns pass through.
+    on their bytes. An empty table gives an empty result; other columns pass through, but for columns named as the two
+    that are added, which they replace.
     """
     gone = dropped_lines(docs, config, id_col, text_col)
     marked = docs.withColumn("_k", F.xxhash64(id_col, text_col)).join(gone.withColumnsRenamed({"k": "_k", "gone": "_gone"}), "_k", "left")
     parts = F.split(F.col(text_col), "\n", -1)
     kept = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("_gone", i)), "\n"))
     marked = marked.withColumns({"lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)), "lines_dropped": F.coalesce(F.size("_gone"), F.lit(0)), text_col: kept})
-    return marked.select(*docs.columns, "lines", "lines_dropped")
+    return marked.select(*(c for c in docs.columns if c not in ("lines", "lines_dropped")), "lines", "lines_dropped")
+
+
+def clean(docs: DataFrame, config: Config = Config(), id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """docs after line_dedup, with length_col (where docs has it) set to the new length. A document that had lines and lost all but blank ones goes; no other does."""
+    out = line_dedup(docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns))), config, f"c{docs.columns.index(id_col)}", body := f"c{docs.columns.index(text_col)}")
+    out = out.filter(~((F.col("lines_dropped") > 0) & F.regexp_like(body, F.lit(r"\A[\x09-\x0D\x20]*\z"))))
+    if length_col in docs.columns:
+        name = f"c{docs.columns.index(length_col)}"
+        out = out.withColumn(name, F.when(F.col("lines_dropped") > 0, F.length(body).cast(dict(docs.dtypes)[length_col])).otherwise(F.col(name)))
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -55,19 +55,19 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
 
 
 def word_counts(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(id_col).alias("hash"), F.monotonically_increasing_id().alias("uid"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(id_col).alias("hash"), F.xxhash64(id_col, text_col).alias("k"), F.monotonically_increasing_id().alias("uid"), F.col(text_col).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             _, _, own = spans(*flat(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(np.bincount(own, minlength=batch.num_rows).astype(np.int64))], ["id", "source", "hash", "uid", "size"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(np.bincount(own, minlength=batch.num_rows).astype(np.int64))], ["id", "source", "hash", "k", "uid", "size"])
 
-    return rows.mapInArrow(count, f"id {dict(rows.dtypes)['id']}, source string, hash long, uid long, size long")
+    return rows.mapInArrow(count, f"id {dict(rows.dtypes)['id']}, source string, hash long, k long, uid long, size long")
 
 
 @dataclass
 class Mix:
-    """rows: id, uid, source_no, size, at (words of its source before it), block, source_size, target. slots: shard, source_no, slot, epoch, block_no. pieces: uid, source_no, block_no, first (word of the row), words."""
+    """rows: id, uid, k (of id and text), source_no, size, at (words of its source before it), block, source_size, target. slots: shard, source_no, slot, epoch, block_no. pieces: uid, k, source_no, block_no, first (word of the row), words."""
 
     rows: DataFrame
     slots: DataFrame
@@ -97,13 +97,13 @@ def plan(docs: DataFrame, config: Config = Config(), id_col: str = "doc_id", tex
     sources = spark.createDataFrame(table or [(None, 0, 0, 0.0, 1, 0, 0)], "source string, source_no int, source_size long, target double, block long, n_blocks long, n_slots long")
     n_rows = sum(n for _, _, n in totals)
     bits = max(1, int(np.ceil(np.log2(max(2, n_rows)) / 2)))
-    rows = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).select("id", "uid", "hash", "size", "source_no", "source_size", "target", "block", F.expr(f"shiftrightunsigned(hash, {64 - bits})").alias("part"))
+    rows = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).select("id", "uid", "hash", "k", "size", "source_no", "source_size", "target", "block", F.expr(f"shiftrightunsigned(hash, {64 - bits})").alias("part"))
     inner = rows.groupBy("source_no", "part").agg(F.sum("size").alias("part_size"))
     inner = inner.withColumn("before", F.sum("part_size").over(W.partitionBy("source_no").orderBy("part").rowsBetween(W.unboundedPreceding, -1))).select("source_no", "part", F.coalesce("before", F.lit(0)).alias("before"))
     running = F.coalesce(F.sum("size").over(W.partitionBy("source_no", "part").orderBy("hash", "id", "uid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("within", running).join(inner, ["source_no", "part"]).withColumn("at", F.col("within") + F.col("before")).select("id", "uid", "source_no", "size", "at", "block", "source_size", "target")
+    rows = rows.withColumn("within", running).join(inner, ["source_no", "part"]).withColumn("at", F.col("within") + F.col("before")).select("id", "uid", "k", "source_no", "size", "at", "block", "source_size", "target")
     span = F.sequence(F.expr("at div block"), F.expr("(at + size - 1) div block"))
-    pieces = rows.filter("size > 0").withColumn("block_no", F.explode(span)).select("uid", "source_no", "block_no", F.expr("greatest(block_no * block - at, 0)").alias("first"), F.expr("least((block_no + 1) * block - at, size) - greatest(block_no * block - at, 0)").alias("words"))
+    pieces = rows.filter("size > 0").withColumn("block_no", F.explode(span)).select("uid", "k", "source_no", "block_no", F.expr("greatest(block_no * block - at, 0)").alias("first"), F.expr("least((block_no + 1) * block - at, size) - greatest(block_no * block - at, 0)").alias("words"))
 
     quota = np.array([t[6] for t in table], np.int64)
     blocks = np.array([t[5] for t in table], np.int64)
@@ -145,3 +145,44 @@ def mix_counts(docs: DataFrame, config: Config = Config(), id_col: str = "doc_id
     uses = made.slots.groupBy("source_no", "block_no").agg(F.count("*").alias("uses"))
     taken = made.pieces.join(uses, ["source_no", "block_no"]).groupBy("uid").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
     return made.rows.join(taken, "uid", "left").select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, config: Config = Config(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str | None = "n_chars") -> DataFrame:
+    """The mix as rows of docs: one for each document and pass over its source that takes words of it, its text cut to
+    the words taken (runs of blocks that don't touch are joined by a newline; a text taken whole stays as it was), and
+    length_col, where docs has it, set to the new length. Other columns stay. Rows come out up to most_repeats times."""
+    made = plan(docs, config, id_col, text_col, source_col)
+    taken = made.pieces.join(made.slots.select("source_no", "block_no", "epoch"), ["source_no", "block_no"])
+    taken = cut(taken.groupBy("uid", "k", "epoch").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("parts")))
+    columns = docs.columns
+    names = [f"c{i}" for i in range(len(columns))]
+    body = names[columns.index(text_col)]
+    rows = docs.select(F.xxhash64(id_col, text_col).alias("k"), *(F.col(c).alias(n) for c, n in zip(columns, names, strict=True)))
+    if made.rows.groupBy("k").count().filter("count > 1").limit(1).count():
+        rows = rows.dropDuplicates(["k"])  # rows alike in id and text: each has its own entry in `taken`
+    joined = rows.join(taken, "k").select(*names, F.col("parts.first").alias("first"), F.col("parts.words").alias("words"))
+
+    def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, body):
+            data, at = flat(batch.column(body))
+            start, end, own = spans(data, at)
+            begin, all_words = np.searchsorted(own, np.arange(batch.num_rows)), np.bincount(own, minlength=batch.num_rows)
+            raw, texts = data.tobytes(), []
+            for i, (first, words) in enumerate(zip(batch.column("first").to_pylist(), batch.column("words").to_pylist(), strict=True)):
+                runs: list[list[int]] = []
+                for f, n in zip(first, words, strict=True):
+                    if runs and runs[-1][1] == f:
+                        runs[-1][1] = f + n
+                    else:
+                        runs.append([f, f + n])
+                if runs == [[0, all_words[i]]]:
+                    texts.append(raw[at[i] : at[i + 1]])
+                else:
+                    texts.append(b"\n".join(raw[start[begin[i] + a] : end[begin[i] + b - 1]] for a, b in runs))
+            out = {n: batch.column(n) for n in names}
+            out[body] = pa.array([t.decode(errors="replace") for t in texts], pa.string())
+            yield pa.RecordBatch.from_pydict(out)
+
+    kinds = dict(rows.dtypes)
+    out = joined.mapInArrow(trim, ", ".join(f"{n} {kinds[n]}" for n in names)).select(*(F.col(n).alias(c) for n, c in zip(names, columns, strict=True)))
+    return out.withColumn(length_col, F.length(text_col).cast(dict(docs.dtypes)[length_col])) if length_col in columns else out

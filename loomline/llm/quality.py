@@ -168,20 +168,31 @@ def fit(docs: DataFrame, labels: DataFrame, config: Config = Config(), id_col: s
     return machine
 
 
-def score(docs: DataFrame, machine: Machine, config: Config = Config(), id_col: str = "doc_id", text_col: str = "text", meta_col: str | None = "n_chars", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Each row's id, score in 0..1 and predicted (score >= config.threshold), and the columns in `keep`. Null text counts as empty; an empty text is scored by its statistics. One row for each input row."""
+def _scored(docs: DataFrame, machine: Machine, config: Config, id_col: str, text_col: str, meta_col: str | None, keep: list[str]) -> DataFrame:
+    """id, score, predicted and keep_0, keep_1, ..."""
     model = docs.sparkSession.sparkContext.broadcast(machine)  # (1 << word_bits) * (rank + 1) floats
     bits, threshold = config.word_bits, config.threshold
-    kept = [F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]
-    rows = _prepared(docs.withColumns({f"keep_{i}": F.col(c) for i, c in enumerate(keep)}), id_col, text_col, meta_col) if not keep else docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.col(meta_col).cast("double") if meta_col else F.lit(None).cast("double")).alias("meta"), *kept)
+    names = [f"keep_{i}" for i in range(len(keep))]
+    meta = F.col(meta_col).cast("double") if meta_col else F.lit(None).cast("double")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), meta.alias("meta"), *(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            stats, owner, bucket, weight = features(batch, bits)
-            margin, _ = model.value.margins(*model.value.inputs(stats, owner, bucket, weight), batch.num_rows)
+            margin, _ = model.value.margins(*model.value.inputs(*features(batch, bits)), batch.num_rows)
             p = 1 / (1 + np.exp(-np.clip(margin, -30, 30).astype(np.float64)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(p), pa.array((p >= threshold).astype(np.int32)), *(batch.column(f"keep_{i}") for i in range(len(keep)))], ["id", "score", "predicted", *(f"keep_{i}" for i in range(len(keep)))])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(p), pa.array((p >= threshold).astype(np.int32)), *(batch.column(n) for n in names)], ["id", "score", "predicted", *names])
 
     kinds = dict(rows.dtypes)
-    out = rows.mapInArrow(run, ", ".join([f"id {kinds['id']}", "score double", "predicted int", *(f"keep_{i} {kinds[f'keep_{i}']}" for i in range(len(keep)))]))
-    return out.select(F.col("id").alias(id_col), "score", "predicted", *(F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)))
+    return rows.mapInArrow(run, ", ".join([f"id {kinds['id']}", "score double", "predicted int", *(f"{n} {kinds[n]}" for n in names)]))
+
+
+def score(docs: DataFrame, machine: Machine, config: Config = Config(), id_col: str = "doc_id", text_col: str = "text", meta_col: str | None = "n_chars") -> DataFrame:
+    """Each row's id, score in 0..1 and predicted (score >= config.threshold). Null text counts as empty; an empty text is scored by its statistics. One row for each input row, repeated ones too; other columns are ignored."""
+    return _scored(docs, machine, config, id_col, text_col, meta_col, []).select(F.col("id").alias(id_col), "score", "predicted")
+
+
+def keep_good(docs: DataFrame, machine: Machine, config: Config = Config(), id_col: str = "doc_id", text_col: str = "text", meta_col: str | None = "n_chars") -> DataFrame:
+    """The rows of docs with a score of at least config.threshold, all columns as they were."""
+    columns = docs.columns
+    good = _scored(docs, machine, config, id_col, text_col, meta_col, columns).filter("predicted = 1")
+    return good.select(*(F.col(f"keep_{i}").alias(c) for i, c in enumerate(columns)))
