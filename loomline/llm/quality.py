@@ -157,7 +157,9 @@ def fit(docs: DataFrame, labels: DataFrame, config: Config = Config(), id_col: s
     got = got.take(pc.sort_indices(got, [("id", "ascending"), ("y", "ascending")])) if got.num_rows else got
     n = got.num_rows
     if not n:
-        return Machine(config, np.zeros(len(STRUCTURE)), np.ones(len(STRUCTURE)), 0.0)
+        machine = Machine(config, np.zeros(len(STRUCTURE)), np.ones(len(STRUCTURE)), 0.0)
+        machine.v[:] = 0
+        return machine
     got = got.combine_chunks()
     stats = got["stats"].combine_chunks().flatten().to_numpy().reshape(n, -1)
     y = got["y"].to_numpy()
