@@ -73,7 +73,7 @@ class Bundle:
     def rows(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Parts among the kept phrases, and where each part's phrases end."""
         used, begin = np.unique(self.part[keep], return_index=True)
-        return used, np.append(begin[1:], int(keep.sum()))
+        return used, np.append(begin[1:], int(keep.sum()))[: len(used)]
 
 
 def _join(table: pa.Table, name: str) -> np.ndarray:
