@@ -238,7 +238,7 @@ def keep_one(docs: DataFrame, config: Config = Config(), id_col: str = "doc_id",
     """The rows of docs that stand for their class: the least id of each. Of rows that share id and text one stays."""
     made = join(docs, config, id_col, text_col)
     kept = made.nodes.filter("k = class_k").select("k")
-    out = docs.withColumn("_k", F.xxhash64(id_col, text_col)).join(kept.withColumnRenamed("k", "_k"), "_k", "left_semi")
+    out = docs.withColumn("_loom_k", F.xxhash64(id_col, text_col)).join(kept.withColumnRenamed("k", "_loom_k"), "_loom_k", "left_semi")
     if made.rows.groupBy("id", "k").count().filter("count > 1").limit(1).count():
-        out = out.dropDuplicates(["_k"])
+        out = out.dropDuplicates(["_loom_k"])
     return out.select(*docs.columns)
