@@ -1,0 +1,339 @@
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from loomline.llm import line_dedup, ngram_join, pitman_yor, quality, suffix_dedup
+from loomline.llm.components import components
+from loomline.llm.queries import fold
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def key(r):
+    return (r.doc_id is None, r.doc_id or 0)
+
+
+# --- language model
+
+
+def test_model_scores(messy, empty):
+    rows = messy.collect()
+    made = pitman_yor.model_scores(messy, fold(5) != 1)
+    got = {r.doc_id: r for r in made.collect()}
+    tokens: dict = {}
+    for r in rows:
+        tokens.setdefault(r.doc_id, []).extend([*WORD.findall((r.text or "").translate(LOWER)), "\n"])
+    assert len(got) == len(tokens)
+    held = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 5 == 1
+    c = Counter(w for d, ws in tokens.items() if not held(d) for w in ws)
+    n, v = sum(c.values()), len(c)
+    for d, ws in tokens.items():
+        assert (got[d].n_tokens, got[d].n_known, got[d].train_tokens) == (len(ws), sum(c[w] > 0 for w in ws), n)
+        assert got[d].base_score == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws))
+        assert math.isfinite(got[d].score) and got[d].score < 0
+    assert {r.doc_id: r.score for r in made.collect()} == pytest.approx({d: r.score for d, r in got.items()})
+    assert pitman_yor.model_scores(empty, F.lit(True)).count() == 0
+    untrained = pitman_yor.model_scores(messy.filter("doc_id in (61, 62)"), F.lit(False)).collect()
+    assert all(r.n_known == 0 and r.train_tokens == 0 and r.score == pytest.approx(0) for r in untrained)  # one unknown word is all there is
+
+
+@pytest.mark.parametrize("config", [pitman_yor.Config(), pitman_yor.Config(per_group=300, hot_share=8, context_bits=4)])
+def test_probabilities_add_up(spark, config):
+    """Of all known words and one unknown, after a text's beginning and after a word, in one task and in many."""
+    r = random.Random(1)
+    vocabulary = [f"w{i}" for i in range(25)]
+    texts = [" ".join(r.choices(vocabulary, range(25, 0, -1), k=r.randint(1, 12))) for _ in range(150)]
+    seen = sorted({w for t in texts for w in t.split()})
+    probes = [*seen, "unknown"]
+    rows = [(i, t, True) for i, t in enumerate(texts)] + [(1000 + i, w, False) for i, w in enumerate(probes)] + [(2000, "", False)] + [(3000 + i, f"{w} w0", False) for i, w in enumerate(probes)]
+    rows += [(4000 + i, f"w0 {w}", False) for i, w in enumerate(probes)]
+    got = {x.doc_id: x.score for x in pitman_yor.model_scores(spark.createDataFrame(rows, "doc_id long, text string, learn boolean"), F.col("learn"), config).collect()}
+    # P(w, END) = P(w | start) P(END | w) and P(w, w0, END) give P(w0, END | w); sums over texts of one length stay below 1, and the model is proper:
+    first = sum(10 ** got[1000 + i] for i in range(len(probes)))
+    assert 10 ** got[2000] + first < 1
+    # P(w0 w END) = P(w0 | start) P(w | w0) P(END | w); divide by P(w END) = P(w | start) P(END | w): ratios of P(w | w0) to P(w | start)
+    ratio = {w: 10 ** (got[4000 + i] - got[1000 + i]) for i, w in enumerate(probes)}
+    assert all(0 < x < 50 for x in ratio.values())
+
+
+def test_seating_keeps_its_books():
+    rng = np.random.default_rng(0)
+    counts = rng.integers(1, 60, 200)
+    seats = pitman_yor.Seating(counts)
+    for step in range(6):
+        seats.sweep(np.full(200, 0.5), 0.6, rng)
+        if step == 3:
+            counts = np.maximum(1, counts + rng.integers(-20, 20, 200))
+            seats.resize(counts, np.full(200, 0.5), 0.6, rng)
+        assert (np.bincount(seats.dish, minlength=200) == counts).all() and (seats.table >= 0).all()
+        tables = [set(seats.table[seats.dish == i].tolist()) for i in range(200)]
+        assert [len(t) for t in tables] == seats.n_tables.tolist()
+        assert (np.bincount(seats.table, minlength=len(seats.size)) == seats.size).all()
+        assert sum(map(len, tables)) == len(set().union(*tables))
+
+
+def test_tables_follow_their_law():
+    """For three customers and given weights the numbers of tables have a known distribution."""
+    rng, a, d = np.random.default_rng(1), 0.7, 0.4
+    seats = pitman_yor.Seating(np.full(20_000, 3))
+    for _ in range(12):
+        seats.sweep(np.full(20_000, a), d, rng)
+    weight = np.array([a * (1 - d) * (2 - d), a * a * (3 - 3 * d), a**3])
+    assert np.bincount(seats.n_tables, minlength=4)[1:] / 20_000 == pytest.approx(weight / weight.sum(), abs=0.015)
+
+
+# --- quality
+
+
+def labelled(spark, n=500):
+    r = random.Random(2)
+    docs, labels = [], []
+    for i in range(n):
+        good = i % 4 > 0
+        body = " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(1, 8))) for _ in range(r.randint(5, 80)))
+        docs.append((i, body.capitalize() + "." if good else body.upper().replace(" ", "!! "), len(body), "x"))
+        labels += [(i, int(good), 0)] * (i % 3 > 0)
+    return spark.createDataFrame(docs, "doc_id long, text string, n_chars long, predicted string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_quality_on_held_out(spark, messy, empty):
+    docs, labels = labelled(spark)
+    machine = quality.fit(docs, labels.filter(fold(4) != 2))
+    got = quality.score(docs, machine).collect()
+    assert len(got) == 500 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
+    assert sum(r.predicted == int(r.doc_id % 4 > 0) for r in got) > 480
+    kept = quality.keep_good(docs, machine)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if r.predicted}
+    assert quality.score(messy, machine).count() == messy.count() and quality.keep_good(messy, machine).columns == messy.columns
+    assert quality.score(empty, machine).count() == 0 and quality.keep_good(empty, machine).count() == 0
+    assert {r.score for r in quality.score(docs, quality.fit(docs, labels.limit(0))).collect()} == {0.5}
+    assert quality.fit(empty, labels).bias == 0
+
+
+def test_sum_of_squares_identity():
+    m = quality.Machine(quality.Config(word_bits=4, rank=3), np.zeros(16), np.ones(16), 0.3)
+    rng = np.random.default_rng(0)
+    m.w[:], m.v[:] = rng.normal(size=m.w.shape), rng.normal(size=m.v.shape)
+    index, x = np.array([1, 5, 20, 31]), np.array([0.5, -1.0, 2.0, 0.25], np.float32)
+    direct = 0.3 + (m.w[index] * x).sum() + sum(m.v[index[i]] @ m.v[index[j]] * x[i] * x[j] for i in range(4) for j in range(i))
+    assert m.margins(np.zeros(4, int), index, x, 1)[0][0] == pytest.approx(direct, rel=1e-4)
+
+
+# --- near-duplicate documents
+
+
+def grams(text, n=5):
+    w = [x.translate(LOWER) for x in WORD.findall(text or "")]
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def brute_classes(rows):
+    sets = [grams(r.text) for r in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    links = Counter()
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                links[i] += 1
+                links[j] += 1
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(rows))], links
+
+
+@pytest.mark.parametrize("config", [ngram_join.Config(), ngram_join.Config(block=3)])
+def test_ngram_join(messy, spark, config):
+    r = random.Random(9)
+    base = [["".join(r.choice("abcd") for _ in range(4)) for _ in range(200)] for _ in range(3)]
+    more = []
+    for i in range(45):
+        w = list(base[i % 3])
+        for _ in range(r.randint(0, 6)):
+            w[r.randrange(len(w))] = "new" + str(r.random())
+        more.append((1000 + i, " ".join(w)))
+    docs = messy.select("doc_id", "text", "k", "node").unionByName(spark.createDataFrame(more, "doc_id long, text string").select("doc_id", "text", F.lit(1).alias("k"), F.lit("n").alias("node")))
+    rows = docs.collect()
+    root, links = brute_classes(rows)
+    members: dict = {}
+    for i, x in enumerate(root):
+        members.setdefault(x, []).append(i)
+    want = Counter()
+    for i, x in enumerate(root):
+        least = min((rows[j] for j in members[x]), key=key).doc_id
+        want[rows[i].doc_id, least, len(members[x]), links[i]] += 1
+    got = Counter((g.doc_id, g.class_id, g.class_size, g.links) for g in ngram_join.near_duplicates(docs, config).collect())
+    assert sum(n > 1 for n in map(len, members.values())) > 3
+    # rows that share id and text are told apart by nothing, but count as copies
+    assert got == want
+    kept = ngram_join.keep_one(docs, config)
+    assert kept.columns == docs.columns
+    assert sorted(str(x.doc_id) for x in kept.collect()) == sorted(str(min((rows[j] for j in m), key=key).doc_id) for m in members.values() if not blank_repeat(m, rows))
+
+
+def blank_repeat(members, rows):
+    """Rows without words link to nothing; of those that share id and text keep_one keeps the first."""
+    i = members[0]
+    return any((rows[j].doc_id, rows[j].text) == (rows[i].doc_id, rows[i].text) and j < i for j in range(len(rows)) if not grams(rows[i].text))
+
+
+def test_ngram_join_of_nothing(empty):
+    assert ngram_join.near_duplicates(empty).count() == 0 and ngram_join.keep_one(empty).count() == 0
+
+
+def test_bands_reach_the_recall():
+    for threshold in (0.5, 0.8, 0.95):
+        bands, rows = ngram_join.bands_for(threshold, 0.99, 128)
+        assert bands * rows <= 128 and 1 - (1 - threshold**rows) ** bands >= 0.99
+
+
+def test_components(spark):
+    r = random.Random(5)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)] + [(500, i) for i in range(501, 560)] + [(7, 7)]
+    root = list(range(600))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in edges:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    touched = {x for a, b in edges if a != b for x in (a, b)}
+    got = {x.node: x.root for x in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {x: find(x) for x in touched}
+
+
+# --- repeated passages
+
+
+@pytest.mark.parametrize("bytes_", [2 << 20, 2000])
+def test_remove_repeats(messy, empty, spark, bytes_):
+    r = random.Random(8)
+    passages = ["".join(r.choice("abé \n") for _ in range(r.randint(30, 120))) for _ in range(8)]
+    more = [(200 + i, "".join(r.choice([r.choice(passages), "".join(r.choice("abé ") for _ in range(r.randint(0, 60))), "ab" * 40]) for _ in range(r.randint(0, 6)))) for i in range(60)]
+    docs = messy.select("doc_id", "text", "part").unionByName(spark.createDataFrame(more, "doc_id long, text string").withColumn("part", F.lit(0)))
+    rows = docs.collect()
+    seen: set = set()
+    want = Counter()
+    ids = sorted({key(x) for x in rows})
+    for i in ids:
+        fresh = set()
+        for x in rows:
+            if key(x) != i:
+                continue
+            b = (x.text or "").encode()
+            mask = bytearray(len(b))
+            for j in range(len(b) - 49):
+                if b[j : j + 50] in seen:
+                    mask[j : j + 50] = b"\1" * 50
+                fresh.add(b[j : j + 50])
+            kept = bytes(c for c, gone in zip(b, mask, strict=True) if not gone)
+            want[x.doc_id, len(b), sum(mask), len(re.findall(b"\1+", bytes(mask))), hashlib.sha256(kept).hexdigest(), kept] += 1
+        seen |= fresh
+    got = Counter((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256, bytes(x.kept)) for x in suffix_dedup.remove_repeats(docs, bundle_bytes=bytes_, part_phrases=100, with_kept=True).collect())
+    assert got == want and sum(k[2] > 0 for k in want) > 20
+    assert suffix_dedup.remove_repeats(empty).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("ab", max_size=40), max_size=5))
+def test_phrases_hold_each_string_once(texts):
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    start, end, trigger, _ = suffix_dedup.phrases(data, at, 12, 4)
+    covered = Counter(int(i) for s, e in zip(start, end, strict=True) for i in range(s, e - 11))
+    assert covered == Counter(int(i) for a, b in zip(at[:-1], at[1:], strict=True) for i in range(a, b - 11))
+    by_string: dict = {}
+    for s, e, t in zip(start, end, trigger, strict=True):
+        for i in range(s, e - 11):
+            assert by_string.setdefault(data[i : i + 12].tobytes(), t) == t  # equal strings have equal triggers
+
+
+# --- lines
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.binary(max_size=9), st.lists(st.tuples(st.integers(0, 2), st.integers(0, 9), st.sampled_from(b"ab")), max_size=4), st.integers(0, 3))
+def test_within(a, edits, most):
+    b = bytearray(a)
+    for kind, at, c in edits:
+        at = min(at, len(b))
+        if kind == 0:
+            b.insert(at, c)
+        elif at < len(b):
+            b[at : at + 1] = [] if kind == 1 else [c]
+    assert line_dedup.within(a, bytes(b), most) == (distance(a, bytes(b)) <= most)
+
+
+def brute_lines(rows, least=20, edits=2):
+    seen: list[bytes] = []
+    out = []
+    for x in sorted(rows, key=key):
+        if x.text is None:
+            out.append((x.doc_id, None, 0))
+            continue
+        keep, gone = [], 0
+        for line in x.text.split("\n"):
+            b = line.encode()
+            if len(b) >= least and any(abs(len(s) - len(b)) <= edits and (s == b or len(b) < 1000 and distance(s, b) <= edits) for s in seen):
+                gone += 1
+            else:
+                keep.append(line)
+            if len(b) >= least:
+                seen.append(b)
+        out.append((x.doc_id, "\n".join(keep), gone))
+    return out
+
+
+def test_line_dedup(spark, messy, empty):
+    r = random.Random(6)
+    base = ["".join(r.choice("abcdefgh é") for _ in range(r.randint(18, 50))) for _ in range(10)]
+    rows = []
+    for i in range(70):
+        lines = []
+        for _ in range(r.randint(0, 5)):
+            s = list(r.choice(base))
+            for _ in range(r.randint(0, 3)):
+                at = r.randrange(len(s))
+                s[at : at + r.randint(0, 1)] = r.choice(["", "a", "é"])
+            lines.append("".join(s))
+        rows.append((i * 11 % 70, "\n".join(lines) if i % 9 else None, i))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lines int")
+    got = {x.doc_id: (x.doc_id, x.text, x.lines_dropped) for x in line_dedup.line_dedup(docs, line_dedup.Config(per_bucket=200)).collect()}
+    want = brute_lines(docs.collect())
+    assert sum(w[2] for w in want) > 40 and sorted(got.values()) == sorted(want)
+    plain = messy.dropDuplicates(["doc_id"]).filter("doc_id is not null and doc_id <> 60")
+    assert sorted(map(str, brute_lines(plain.collect()))) == sorted(str((x.doc_id, x.text, x.lines_dropped)) for x in line_dedup.line_dedup(plain).collect())
+    assert line_dedup.line_dedup(messy).count() == messy.count() and line_dedup.line_dedup(empty).count() == 0
+    clean = line_dedup.clean(messy)
+    assert clean.columns == messy.columns and line_dedup.clean(empty).count() == 0
+    kept = {x.doc_id for x in clean.collect()}
+    assert {50, 51, 52, 53, 5, 60, 61} <= kept and not {40, 41} & kept  # copies have lost all their lines
