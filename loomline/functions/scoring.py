@@ -33,7 +33,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def clip(x: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))  # the two pass over nulls
 
 
 def length_score(generated: Column, gold: Column) -> Column:

@@ -26,7 +26,7 @@ def loader_stats(made: Samples) -> DataFrame:
 
 
 def percent(n: Column, total: Column) -> Column:
-    return F.when(total > 0, F.format_string("%5.1f%%", 100 * n / total)).otherwise("n/a")
+    return F.when(total > 0, F.format_string("%5.1f%%", F.bround(100 * n / total, 1))).otherwise("n/a")
 
 
 def corpus_report(stats: DataFrame) -> DataFrame:
