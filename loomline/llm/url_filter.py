@@ -69,7 +69,6 @@ def url_filter(pages: DataFrame, rules: tuple[Rule, ...] = DOMAIN_RULES + PATTER
     empty table gives none; other columns are ignored.
     """
     spark = pages.sparkSession
-    rest = F.when(F.instr(url_col, "://") > 0, F.expr(f"substring({url_col}, instr({url_col}, '://') + 3)")).otherwise("")
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
     rest = F.when(F.instr("url", "://") > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise("")
     parts = {"host": F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), UPPER, LOWER), "path": F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)}
