@@ -76,6 +76,23 @@ def _lines(column: pa.Array, least: int) -> tuple[np.ndarray, ...]:
     return start, end, own, (breaks[start] - breaks[at[:-1]][own]).astype(np.int32), span_hash(sums, start, end), data, sums
 
 
+#: Letters, without case, have a class each; other bytes share six.
+_CLASS = np.array([(b | 32) - 97 if 97 <= (b | 32) <= 122 and b < 128 else 26 + b % 6 for b in range(256)])
+_GRAY = np.array([0, 1, 3, 2], np.uint64)
+
+
+def sketches(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits a line: the count of each of 32 classes of bytes, modulo 4, in Gray code. So an edit turns at most two bits."""
+    size = end - start
+    upto = np.cumsum(size)
+    n = len(start)
+    if not n:
+        return np.zeros(0, np.uint64)
+    at = np.repeat(start - (upto - size), size) + np.arange(upto[-1])
+    counts = np.bincount(np.repeat(np.arange(n) * 32, size) + _CLASS[data[at]], minlength=32 * n).reshape(n, 32)
+    return (_GRAY[counts & 3] << (2 * np.arange(32, dtype=np.uint64))).sum(1, dtype=np.uint64)
+
+
 def segment_keys(start: np.ndarray, end: np.ndarray, sums: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, line, probe): keys of each line's edits + 1 segments, and of the substrings that a line not longer by more than `edits` could share with it as a segment."""
     length, lines, parts = end - start, np.arange(len(start)), edits + 1
@@ -96,14 +113,14 @@ def segment_keys(start: np.ndarray, end: np.ndarray, sums: np.ndarray, edits: in
     return tuple(np.concatenate(x) for x in (keys, owner, probe))
 
 
-def paired(keys: np.ndarray, lines: np.ndarray, probe: np.ndarray, chunk: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Distinct pairs of lines of which one probes a key that the other is indexed under, in chunks of bounded size."""
+def paired(keys: np.ndarray, lines: np.ndarray, probe: np.ndarray, sketch: np.ndarray, edits: int, chunk: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct pairs of lines of which one probes a key that the other is indexed under, and whose sketches allow so few edits; in chunks of bounded size."""
     order = np.lexsort((lines, probe, keys))
-    keys, lines, probe = keys[order], lines[order], probe[order]
+    keys, lines, probe, sketch = keys[order], lines[order], probe[order], sketch[order]
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (lines[1:] != lines[:-1]) | (probe[1:] != probe[:-1])
-    keys, lines, probe = keys[new], lines[new], probe[new]
-    ik, il, pk, pl = keys[~probe], lines[~probe], keys[probe], lines[probe]
+    keys, lines, probe, sketch = keys[new], lines[new], probe[new], sketch[new]
+    ik, il, pk, pl, isk, psk = keys[~probe], lines[~probe], keys[probe], lines[probe], sketch[~probe], sketch[probe]
     lo, hi = np.searchsorted(ik, pk, "left"), np.searchsorted(ik, pk, "right")
     n = hi - lo
     some = np.flatnonzero(n)
@@ -114,7 +131,8 @@ def paired(keys: np.ndarray, lines: np.ndarray, probe: np.ndarray, chunk: int =
         rows, count = some[a:b], n[some[a:b]]
         index = np.repeat(lo[rows] - (np.cumsum(count) - count), count) + np.arange(count.sum())
         p, q = np.repeat(pl[rows], count), il[index]
-        p, q = p[p != q], q[p != q]
+        near = (p != q) & (np.bitwise_count(np.repeat(psk[rows], count) ^ isk[index]) <= 2 * edits)
+        p, q = p[near], q[near]
         low, high = np.minimum(p, q), np.maximum(p, q)
         order = np.lexsort((high, low))
         low, high = low[order], high[order]
@@ -165,19 +183,20 @@ def dropped_lines(docs: DataFrame, config: Config, id_col: str, text_col: str) -
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            start, end, _, _, h, _, sums = _lines(batch.column("text"), least)
+            start, end, _, _, h, data, sums = _lines(batch.column("text"), least)
             _, once = np.unique(h, return_index=True)
             key, owner, probe = segment_keys(start[once], end[once], sums, edits)
+            sketch = sketches(data, start[once], end[once])
             bucket = (key >> np.uint64(33)).astype(np.int64) % buckets
             order = np.argsort(bucket, kind="stable")
             used, first = np.unique(bucket[order], return_index=True)
             ends = np.append(first[1:], len(order))
             short = (key & np.uint64(0x7FFFFFFF)).astype(np.int64) << 1 | probe  # tells keys of a bucket apart; verification takes care of the rest
-            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), list_column((short - (1 << 31)).astype(np.int32)[order], ends, pa.int32()), list_column(signed(h[once][owner])[order], ends, pa.int64())], ["bucket", "keys", "lines"])
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), list_column((short - (1 << 31)).astype(np.int32)[order], ends, pa.int32()), list_column(signed(h[once][owner])[order], ends, pa.int64()), list_column(signed(sketch[owner])[order], ends, pa.int64())], ["bucket", "keys", "lines", "sketches"])
 
     def candidates(group: pa.Table) -> pa.Table:
         key = group["keys"].combine_chunks().flatten().to_numpy().astype(np.int64) + (1 << 31)
-        found = list(paired(key >> 1, group["lines"].combine_chunks().flatten().to_numpy(), (key & 1).astype(bool)))
+        found = list(paired(key >> 1, group["lines"].combine_chunks().flatten().to_numpy(), (key & 1).astype(bool), group["sketches"].combine_chunks().flatten().to_numpy().view(np.uint64), edits))
         a, b = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -185,7 +204,7 @@ def dropped_lines(docs: DataFrame, config: Config, id_col: str, text_col: str) -
     repeated = cut(seen.filter("n > 1").select("h", "first"))
     lines = occurrences().count()
     buckets = groups_for(lines * ((edits + 1) + (edits + 1) * (edits + 2)), config.per_bucket)
-    pairs = cut(rows.mapInArrow(keys, "bucket int, keys array<int>, lines array<long>").groupBy("bucket").applyInArrow(candidates, "a long, b long").distinct())
+    pairs = cut(rows.mapInArrow(keys, "bucket int, keys array<int>, lines array<long>, sketches array<long>").groupBy("bucket").applyInArrow(candidates, "a long, b long").distinct())
     asked = cut(pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct())
     bodies = occurrences(*_filter_of(asked, "h", config.most_bits), texts=True)
     bodies = bodies.groupBy("h").agg(_first().alias("first"), F.min("body").alias("body"))
@@ -199,9 +218,8 @@ def dropped_lines(docs: DataFrame, config: Config, id_col: str, text_col: str) -
             yield pa.RecordBatch.from_arrays([batch.column("h").filter(pa.array(good, pa.bool_()))], ["h"])
 
     near = cut(met.mapInArrow(verify, "h long").distinct())
-    at_issue = cut(repeated.select("h").unionByName(near).distinct())
-    again = occurrences(*_filter_of(at_issue, "h", config.most_bits)).join(at_issue, "h", "left_semi")
-    again = again.join(repeated, "h", "left").join(near.withColumn("near", F.lit(True)), "h", "left")
+    fate = cut(repeated.join(near.withColumn("near", F.lit(True)), "h", "full"))  # one plain table, so that Spark can split a hot line in the join
+    again = occurrences(*_filter_of(fate, "h", config.most_bits)).join(fate, "h")
     gone = again.filter(F.col("near").isNotNull() | (F.struct("none", "id", "k", "line") > F.col("first")))
     return gone.groupBy("k").agg(F.sort_array(F.collect_set("line")).alias("gone"))
 
@@ -217,10 +235,10 @@ def line_dedup(docs: DataFrame, config: Config = Config(), id_col: str = "doc_id
     that are added, which they replace.
     """
     gone = dropped_lines(docs, config, id_col, text_col)
-    marked = docs.withColumn("_k", F.xxhash64(id_col, text_col)).join(gone.withColumnsRenamed({"k": "_k", "gone": "_gone"}), "_k", "left")
+    marked = docs.withColumn("_loom_k", F.xxhash64(id_col, text_col)).join(gone.withColumnsRenamed({"k": "_loom_k", "gone": "_loom_gone"}), "_loom_k", "left")
     parts = F.split(F.col(text_col), "\n", -1)
-    kept = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("_gone", i)), "\n"))
-    marked = marked.withColumns({"lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)), "lines_dropped": F.coalesce(F.size("_gone"), F.lit(0)), text_col: kept})
+    kept = F.when(F.col("_loom_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("_loom_gone", i)), "\n"))
+    marked = marked.withColumns({"lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)), "lines_dropped": F.coalesce(F.size("_loom_gone"), F.lit(0)), text_col: kept})
     return marked.select(*(c for c in docs.columns if c not in ("lines", "lines_dropped")), "lines", "lines_dropped")
 
 
