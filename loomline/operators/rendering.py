@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomline.config import DEFAULT, TRUNCATION_MARK, Settings
 from loomline.functions import messages as M
 from loomline.functions.tokens import Maker, encode, left_truncate, token_counts
+from loomline.operators.samples import require_support, sample_key
 
 
 def kept_suffix(costs: Column, budget: Column) -> Column:
@@ -53,6 +54,12 @@ def optimizer_examples(rendered: DataFrame) -> DataFrame:
     return rendered.select(*keep, F.coalesce(system, F.lit("")).alias("system"), M.thread_text(M.provider_turns(F.col("messages"))).alias("thread"), F.col("target").alias("reply"))
 
 
+def build_examples(samples: DataFrame, prefix: Column, suffix: Column, tag: str, make: Maker, project: str | None = None, s: Settings = DEFAULT) -> DataFrame:
+    """Keyed examples for a prompt optimizer: of one project, which needs enough samples, or of all. example_contexts() finds the samples again."""
+    rows = require_support(samples, project, s) if project else samples
+    return optimizer_examples(render(sample_key(rows, tag), prefix, suffix, make, s.render_tokens))
+
+
 def join_prompts(samples: DataFrame, prefix: str, suffixes: DataFrame) -> DataFrame:
     """samples with prefix, and suffix of their project (null if there is none). suffixes: project, suffix."""
     return samples.join(suffixes.select("project", "suffix"), "project", "left").withColumn("prefix", F.lit(prefix))

@@ -46,6 +46,14 @@ def append_candidates(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+def write_prompt(spark: SparkSession, folder: str, text: str, project: str | None = None) -> None:
+    """Replaces the shared prefix, or a project's suffix."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/prefix.txt" if project is None else f"{folder}/suffix/{project}.txt")
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def read_prompts(spark: SparkSession, folder: str) -> tuple[str, DataFrame]:
     """The shared prefix, and project and suffix of each file suffix/<project>.txt. A missing prefix is an error."""
     if not _there(spark, [f"{folder}/prefix.txt"]):

@@ -152,6 +152,17 @@ def test_optimizer_example(spark):
     assert tuple(R.optimizer_examples(rows).first()) == (f"P\n\n{LINE}", "[USER]: u", "reply")
 
 
+def test_keyed_examples(spark):
+    rows = spark.createDataFrame([("f2", 4, "t2"), ("f1", 9, "t1"), ("f1", 3, "t1")], "source_path string, pos int, thread_id string")
+    rows = rows.crossJoin(sample(spark, ("user", "u")).withColumn("project", F.lit("p")))
+    made = R.build_examples(rows, F.lit("P"), F.lit(None).cast("string"), "val", CodePoints)
+    assert sorted(r.sample_key for r in made.collect()) == ["val:t1:0", "val:t1:1", "val:t2:2"]
+    back = R.example_contexts(spark.createDataFrame([("val:t1:1", "x"), ("gone", "y")], "sample_key string, reply string"), P.sample_key(rows, "val"))
+    assert {r.reply: len(r.context_messages) for r in back.collect()} == {"x": 1, "y": 0}
+    with pytest.raises(ValueError, match="3"):
+        R.build_examples(rows, F.lit("P"), F.lit(None).cast("string"), "val", CodePoints, "p")
+
+
 def test_label_mask(spark):
     rows = spark.createDataFrame([([1, 2, 3], [7, 8], 20), (list(range(1, 31)), [7, 8], 20), ([1], [7] * 3, 20), ([1], [7] * 4, 20)], "p array<int>, t array<int>, n int")
     got = [r[0] for r in rows.select(R.mask_tokens(F.col("p"), F.col("t"), 2, 0, 20)).collect()]

@@ -133,9 +133,9 @@ def test_since_and_prompts(spark, root_a, tmp_path):
     assert stats.first().threads_date == 1 and made.samples.count() == 2  # unknown starts are kept
     with pytest.raises(FileNotFoundError):
         jsonl.read_prompts(spark, str(tmp_path))
-    (tmp_path / "prefix.txt").write_text("Be brief.\nAlways.")
+    jsonl.write_prompt(spark, str(tmp_path), "to be replaced")
+    jsonl.write_prompt(spark, str(tmp_path), "Be brief.\nAlways.")
     assert jsonl.read_prompts(spark, str(tmp_path))[1].count() == 0
-    (tmp_path / "suffix").mkdir()
-    (tmp_path / "suffix" / "alpha.txt").write_text("Tests first.")
+    jsonl.write_prompt(spark, str(tmp_path), "Tests first.", "alpha")
     prefix, suffixes = jsonl.read_prompts(spark, str(tmp_path))
     assert prefix == "Be brief.\nAlways." and [tuple(r) for r in suffixes.collect()] == [("alpha", "Tests first.")]
