@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 SPACE_RE = r"[\x20\x09-\x0D]+"
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 _B = 0x9E3779B97F4A7C15 | 1
 _B_INV = pow(_B, -1, 1 << 64)
 _powers: list[np.ndarray] = []
@@ -50,8 +50,8 @@ def groups_for(rows: int, per_group: int) -> int:
     return max(1, -(-rows // per_group))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most `limit` text bytes (a longer text stands alone)."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BYTES, most_rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `limit` text bytes (a longer text stands alone) and most_rows rows."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -59,7 +59,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BY
         at = 0
         while at < batch.num_rows:
             before = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
+            to = min(at + most_rows, max(at + 1, int(np.searchsorted(ends, before + limit, side="right"))))
             yield batch.slice(at, to - at)
             at = to
 

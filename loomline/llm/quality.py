@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import LOWER, TABLE, flat, list_column, mix, prefix_sums, shingles, slices, span_hash, spans
+from loomline.llm.common import LOWER, TABLE, flat, list_column, prefix_sums, shingles, slices, span_hash, spans
 
 #: Names of the structure statistics, in the order of their feature numbers.
 STRUCTURE = ("log_bytes", "log_words", "word_length", "upper", "digits", "symbols", "marks", "wide", "spaces", "distinct_words", "distinct_triples", "lines", "line_length", "distinct_lines", "run_on", "metadata")
@@ -70,9 +70,9 @@ def structure(data: np.ndarray, at: np.ndarray, words: tuple, hashes: np.ndarray
     ])
 
 
-def features(batch: pa.RecordBatch, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def features(batch: pa.RecordBatch, bits: int, text: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Structure statistics; then text number, word bucket and weight (L2-normed counts) of each word feature, ordered by text."""
-    data, at = flat(batch.column("text"))
+    data, at = flat(batch.column(text))
     n = len(at) - 1
     words = spans(data, at)
     hashes = span_hash(prefix_sums(data, LOWER), words[0], words[1])
@@ -176,11 +176,12 @@ def _scored(docs: DataFrame, machine: Machine, config: Config, id_col: str, text
     bits, threshold = config.word_bits, config.threshold
     names = [f"keep_{i}" for i in range(len(keep))]
     meta = F.col(meta_col).cast("double") if meta_col else F.lit(None).cast("double")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), meta.alias("meta"), *(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)))
+    text = names[keep.index(text_col)] if text_col in keep else "text"  # a text goes to Python once
+    rows = docs.select(F.col(id_col).alias("id"), meta.alias("meta"), *(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), *[F.col(text_col).alias("text")] * (text == "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            margin, _ = model.value.margins(*model.value.inputs(*features(batch, bits)), batch.num_rows)
+        for batch in slices(batches, text):
+            margin, _ = model.value.margins(*model.value.inputs(*features(batch, bits, text)), batch.num_rows)
             p = 1 / (1 + np.exp(-np.clip(margin, -30, 30).astype(np.float64)))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(p), pa.array((p >= threshold).astype(np.int32)), *(batch.column(n) for n in names)], ["id", "score", "predicted", *names])
 
