@@ -45,6 +45,14 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(where)
 
 
+def dropped(table: DataFrame) -> None:
+    """Delete what saved() wrote; nothing may read table after this."""
+    spark = table.sparkSession
+    for where in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def groups_for(rows: int, per_group: int) -> int:
     """How many groups hold about per_group rows each."""
     return max(1, -(-rows // per_group))

@@ -62,6 +62,32 @@ def test_probabilities_add_up(spark, config):
     assert end + sum(10 ** got[1000 + i] / end for i in range(len(probes))) == pytest.approx(1, abs=1e-6)
 
 
+def test_tasks_share_their_totals(spark):
+    """Seating in many tasks gives what one task gives, but for chance: each knows the tables of all, also in contexts of which it holds little."""
+    config = pitman_yor.Config()
+    assert (config.burn_in, config.samples) == (2, 3)
+    r = random.Random(7)
+    rows = []
+    for i in range(240):
+        w = ["a"]
+        for _ in range(40):  # after "a" comes anything, after any other word nearly always the same
+            w.append(f"w{r.randrange(60)}" if w[-1] == "a" else ("a" if w[-1] == "b" else r.choice(["b", "b", "b", "a"])))
+        rows.append((i, " ".join(w), i % 4 > 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, learn boolean")
+    one, many, other = ({x.doc_id: x.score / x.n_tokens for x in pitman_yor.model_scores(docs, F.col("learn"), c).collect()} for c in (config, pitman_yor.Config(per_group=120), pitman_yor.Config(seed=5)))
+    apart = lambda a: abs(np.mean([a[i] - one[i] for i in one if i % 4 == 0]))
+    assert apart(other) < 0.003 and apart(many) < 0.003
+
+
+def test_seats_come_back_as_saved():
+    rng = np.random.default_rng(0)
+    seats = pitman_yor.Seating(np.array([0, 5, 1, 90, 0, 17]))
+    for _ in range(3):
+        seats.sweep(np.full(6, 0.8), 0.5, rng)
+    again = pitman_yor.Seating.at(seats.counts, seats.n_tables, seats.seats())
+    assert (again.seats() == seats.seats()).all() and (again.n_tables == seats.n_tables).all() and sorted(again.size) == sorted(seats.size)
+
+
 def test_seating_keeps_its_books():
     rng = np.random.default_rng(0)
     counts = rng.integers(1, 60, 200)
