@@ -15,7 +15,7 @@ BROADCAST_RULES = 100_000
 
 @dataclass(frozen=True)
 class Rule:
-    """kind: 'domain' fits host + path and names the rule; 'pattern' fits the lower-cased url and only decides the rest. tokens: literals (runs of a-z0-9) that any fitting url holds whole."""
+    """kind: 'domain' fits host + path and names the rule; 'pattern' fits the lower-cased url and only decides the rest. tokens: literals (runs of a-z0-9) that any fitting url holds whole; one written as a|b stands for alternatives, at least one of which it holds."""
 
     name: str
     kind: str
@@ -39,14 +39,14 @@ def pattern_rule(name: str, regex: str, tokens: str, action: str = "block") -> R
 DOMAIN_RULES = (domain_rule("net/", "block"), domain_rule("example.net/en/", "allow"), domain_rule("example.com/de/", "block"), domain_rule("org/fr/", "allow"))
 #: Pages that seldom hold prose: advertisements, accounts, carts, session copies.
 PATTERN_RULES = (
-    pattern_rule("ad path", r"/ads?/", "ad"),
+    pattern_rule("ad path", r"/ads?/", "ad|ads"),
     pattern_rule("ads path", r"/ads/", "ads"),
     pattern_rule("banner path", r"/banner/", "banner"),
     pattern_rule("login page", r"/login(?:[/?#.]|$)", "login"),
     pattern_rule("sign-up page", r"/signup(?:[/?#.]|$)", "signup"),
     pattern_rule("cart page", r"/cart(?:[/?#.]|$)", "cart"),
     pattern_rule("checkout page", r"/checkout(?:[/?#.]|$)", "checkout"),
-    pattern_rule("session copy", r"[?&;](?:php|j)?sessionid=", "sessionid"),
+    pattern_rule("session copy", r"[?&;](?:php|j)?sessionid=", "sessionid|phpsessionid|jsessionid"),
     pattern_rule("php session copy", r"[?&;]phpsessid=", "phpsessid"),
     pattern_rule("print copy", r"[?&]print=[1y]", "print"),
     pattern_rule("calendar export", r"\.ics(?:[?#]|$)", "ics"),
@@ -64,8 +64,8 @@ def url_filter(pages: DataFrame, rules: tuple[Rule, ...] = DOMAIN_RULES + PATTER
 
     The longest domain rule that fits gives rule and verdict (ties: the smaller name); otherwise a page is blocked if a
     blocking pattern fits, else allowed. A null url, or one without ://, has an empty host and path and is allowed.
-    Each rule is indexed under its literal token that the fewest distinct urls hold; a url's tokens fetch candidate
-    rules, and only those run their regular expressions, once per distinct url. Repeated rows each get their row; an
+    Each rule is indexed under its literal token (or all alternatives of one) that the fewest distinct urls hold; a url's
+    tokens fetch candidate rules, and only those run their regular expressions, once per distinct url. Repeated rows each get their row; an
     empty table gives none; other columns are ignored.
     """
     spark = pages.sparkSession
@@ -76,9 +76,10 @@ def url_filter(pages: DataFrame, rules: tuple[Rule, ...] = DOMAIN_RULES + PATTER
     tokens = F.filter(F.array_distinct(F.split("low", "[^a-z0-9]+")), lambda t: t != "")
     table = rule_table(spark, rules)
     small = (lambda df: F.broadcast(df)) if len(rules) <= BROADCAST_RULES else (lambda df: df)
-    ruled = table.select("name", "kind", "regex", "action", F.explode("tokens").alias("token"))
+    ruled = table.select("name", "kind", "regex", "action", F.explode("tokens").alias("tokens")).withColumn("token", F.explode(F.split("tokens", r"\|")))
     seen = urls.select(F.explode(tokens).alias("token")).join(small(ruled.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
-    rarest = ruled.join(seen, "token", "left").groupBy("name", "kind", "regex", "action").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
+    rarest = ruled.join(seen, "token", "left").groupBy("name", "kind", "regex", "action", "tokens").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+    rarest = rarest.groupBy("name", "kind", "regex", "action").agg(F.min_by("tokens", F.struct("n", "tokens")).alias("tokens")).withColumn("token", F.explode(F.split("tokens", r"\|"))).drop("tokens")
     fetched = urls.withColumn("token", F.explode(tokens)).join(small(rarest), "token")
     fits = F.when(F.col("kind") == "domain", F.expr("rlike(concat(host, path), regex)")).otherwise(F.expr("rlike(low, regex)"))
     matched = fetched.filter(fits).groupBy("url").agg(

@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 from loomline.llm import ann, common, mixing, packing
 from loomline.llm.exact_dedup import exact_dedup
 from loomline.llm.queries import tokenizer_path
-from loomline.llm.url_filter import domain_rule, pattern_rule, url_filter
+from loomline.llm.url_filter import PATTERN_RULES, domain_rule, pattern_rule, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -65,6 +65,17 @@ def test_url_filter(spark):
     assert {r.page_id for r in url_filter(rows, only).filter("verdict = 'block'").collect()} == {11, 12, 2, 3, 4, 5}
 
 
+def test_each_alternative_of_a_rule_is_fetched(spark):
+    names = ["ad", "ads", "xad", "adsx", "sessionid", "jsessionid", "phpsessionid", "xsessionid", "phpsessid", "print", "banner", "login", "signup", "cart", "checkout"]
+    urls = [u for n in names for u in (f"https://b.io/{n}/1", f"https://b.io/{n}", f"https://b.io/x?{n}=1", f"https://b.io/x;{n.upper()}=y", f"https://b.io/x?a=1&{n}=1")] + ["https://b.io/a.ics?x", "https://b.io/ads/x;jsessionid=1?sessionid=2", "https://b.io/ad/ads/"]
+    got = {r.page_id: r for r in url_filter(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    for i, u in enumerate(urls):
+        want = sorted(r.name for r in PATTERN_RULES if re.search(r.regex, u.lower()))
+        assert ((got[i].patterns or ""), got[i].verdict) == (",".join(want), "block" if want else "allow"), u
+    both = (pattern_rule("both", "/(?:a|b)/c/", "a|b c"),)
+    assert {r.page_id for r in url_filter(spark.createDataFrame([(0, "h://x/a/c/"), (1, "h://x/b/c/"), (2, "h://x/c/")], "page_id long, url string"), both).filter("verdict = 'block'").collect()} == {0, 1}
+
+
 def test_encoding_matches_whole_texts():
     r = random.Random(3)
     bits = ["a", "'s", " ", "  ", "\n", "\t", "é", "日本", " ", "　", "12", "!?", "<|endoftext|>", "word", "\x1c", " x", "ſ", "İ"]
