@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import cut, flat, groups_for, list_column, mix, prefix_sums, signed, slices, span_hash, spans
+from loomline.llm.common import SPACE, cut, flat, groups_for, list_column, mix, prefix_sums, signed, slices, span_hash, spans
 
 _NEWLINE = np.zeros(256, bool)
 _NEWLINE[10] = True
@@ -19,7 +19,7 @@ _NEWLINE[10] = True
 @dataclass(frozen=True)
 class Config:
     edits: int = 2  # of UTF-8 bytes
-    least_bytes: int = 20  # shorter lines are left alone
+    least_bytes: int = 20  # shorter lines go only as exact repeats
     per_bucket: int = 1_500_000  # segment entries that meet in one task, about
     most_bits: int = 1 << 27  # of a broadcast filter of line hashes
 
@@ -65,11 +65,14 @@ def within(a: bytes, b: bytes, edits: int) -> bool:
     return any(s >> (m - n + edits) & 1 for s in state)
 
 
-def _lines(column: pa.Array, least: int) -> tuple[np.ndarray, ...]:
-    """Of the lines of at least `least` bytes: start, end, text number, line number and hash; and the bytes and their running sums."""
+def _lines(column: pa.Array, least: int, short: bool = False) -> tuple[np.ndarray, ...]:
+    """Of the lines of at least `least` bytes (short: also of all others that are not blank): start, end, text number, line number and hash; and the bytes and their running sums."""
     data, at = flat(column)
     start, end, own = spans(data, at, _NEWLINE)
     keep = end - start >= least
+    if short:
+        dark = np.concatenate([[0], np.cumsum(~SPACE[data])])
+        keep |= dark[end] > dark[start]
     start, end, own = start[keep], end[keep], own[keep]
     breaks = np.concatenate([[0], np.cumsum(data == 10)])
     sums = prefix_sums(data)
@@ -167,10 +170,10 @@ def dropped_lines(docs: DataFrame, config: Config, id_col: str, text_col: str) -
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["id"]
 
-    def occurrences(bitmap=None, n_bits: int = 0, texts: bool = False):
+    def occurrences(bitmap=None, n_bits: int = 0, texts: bool = False, short: bool = False):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text"):
-                start, end, own, line, h, data, _ = _lines(batch.column("text"), least)
+                start, end, own, line, h, data, _ = _lines(batch.column("text"), least, short)
                 keep = _hits(bitmap.value, n_bits, h) if bitmap else np.ones(len(h), bool)
                 index = pa.array(own[keep])
                 columns = [pa.array(signed(h)[keep]), batch.column("id").take(index), batch.column("k").take(index), pa.array(line[keep])]
@@ -184,6 +187,8 @@ def dropped_lines(docs: DataFrame, config: Config, id_col: str, text_col: str) -
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             start, end, _, _, h, data, sums = _lines(batch.column("text"), least)
+            if not len(h):
+                continue
             _, once = np.unique(h, return_index=True)
             key, owner, probe = segment_keys(start[once], end[once], sums, edits)
             sketch = sketches(data, start[once], end[once])
@@ -200,7 +205,7 @@ def dropped_lines(docs: DataFrame, config: Config, id_col: str, text_col: str) -
         a, b = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    seen = occurrences().groupBy("h").agg(_first().alias("first"), F.count("*").alias("n"))
+    seen = occurrences(short=True).groupBy("h").agg(_first().alias("first"), F.count("*").alias("n"))
     repeated = cut(seen.filter("n > 1").select("h", "first"))
     lines = occurrences().count()
     buckets = groups_for(lines * ((edits + 1) + (edits + 1) * (edits + 2)), config.per_bucket)
@@ -219,7 +224,7 @@ def dropped_lines(docs: DataFrame, config: Config, id_col: str, text_col: str) -
 
     near = cut(met.mapInArrow(verify, "h long").distinct())
     fate = cut(repeated.join(near.withColumn("near", F.lit(True)), "h", "full"))  # one plain table, so that Spark can split a hot line in the join
-    again = occurrences(*_filter_of(fate, "h", config.most_bits)).join(fate, "h")
+    again = occurrences(*_filter_of(fate, "h", config.most_bits), short=True).join(fate, "h")
     gone = again.filter(F.col("near").isNotNull() | (F.struct("none", "id", "k", "line") > F.col("first")))
     return gone.groupBy("k").agg(F.sort_array(F.collect_set("line")).alias("gone"))
 
@@ -227,9 +232,9 @@ def dropped_lines(docs: DataFrame, config: Config, id_col: str, text_col: str) -
 def line_dedup(docs: DataFrame, config: Config = Config(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with near-repeated lines taken out of the text column, and lines (all) and lines_dropped.
 
-    A line (between newlines, of at least config.least_bytes bytes) goes if the same line, or one within config.edits
-    byte edits, is found earlier, by id (null last), then row, then line number; judged on the input, not on what is left.
-    Shorter lines, blank ones among them, stay. A null text stays null and has no lines. Rows that share id and text are
+    A line (between newlines) goes if the same line, or one within config.edits byte edits where both have at least
+    config.least_bytes bytes, is found earlier, by id (null last), then row, then line number; judged on the input, not on
+    what is left. Of shorter lines blank ones (of ASCII white space) stay. A null text stays null and has no lines. Rows that share id and text are
     one document for the order, and all come out alike. Lines are told apart by 64-bit hashes; candidates are verified
     on their bytes. An empty table gives an empty result; other columns pass through, but for columns named as the two
     that are added, which they replace.

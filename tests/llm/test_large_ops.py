@@ -333,6 +333,12 @@ def brute_lines(rows, least=20, edits=2):
     return out
 
 
+def test_short_lines_go_as_exact_repeats(spark):
+    docs = spark.createDataFrame([(1, "Les.\nabc\n\n  \nabd\né"), (2, "abc\n\n  \nLes.\nLet.\né"), (3, "Les.\nLes. ")], "doc_id long, text string")
+    got = {x.doc_id: (x.text, x.lines_dropped) for x in line_dedup.line_dedup(docs).collect()}
+    assert got == {1: ("Les.\nabc\n\n  \nabd\né", 0), 2: ("\n  \nLet.", 3), 3: ("Les. ", 1)}
+
+
 def test_line_dedup(spark, messy, empty):
     r = random.Random(6)
     base = ["".join(r.choice("abcdefgh é") for _ in range(r.randint(18, 50))) for _ in range(10)]
