@@ -31,87 +31,158 @@ def key(r):
 def test_model_scores(messy, empty):
     rows = messy.collect()
     made = pitman_yor.model_scores(messy, fold(5) != 1)
-    got = {r.doc_id: r for r in made.collect()}
-    tokens: dict = {}
-    for r in rows:
-        tokens.setdefault(r.doc_id, []).extend([*WORD.findall((r.text or "").translate(LOWER)), "\n"])
-    assert len(got) == len(tokens)
+    text_tokens = lambda t: [*WORD.findall((t or "").translate(LOWER)), "\n"]
     held = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 5 == 1
-    c = Counter(w for d, ws in tokens.items() if not held(d) for w in ws)
+    c = Counter(w for r in rows if not held(r.doc_id) for w in text_tokens(r.text))
     n, v = sum(c.values()), len(c)
-    for d, ws in tokens.items():
-        assert (got[d].n_tokens, got[d].n_known, got[d].train_tokens) == (len(ws), sum(c[w] > 0 for w in ws), n)
-        assert got[d].base_score == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws))
-        assert math.isfinite(got[d].score) and got[d].score < 0
-    assert {r.doc_id: r.score for r in made.collect()} == pytest.approx({d: r.score for d, r in got.items()})
-    assert pitman_yor.model_scores(empty, F.lit(True)).count() == 0
+    facts = lambda d, ws: (d, len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), 5))
+    got = made.collect()
+    assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got) == Counter(facts(r.doc_id, text_tokens(r.text)) for r in rows)
+    assert all(math.isfinite(r.score) and r.score < 0 for r in got)
+    by = lambda rows: sorted((str(r.doc_id), r.n_tokens, r.score) for r in rows)
+    again, got = by(made.collect()), by(got)
+    assert [x[:2] for x in again] == [x[:2] for x in got] and [x[2] for x in again] == pytest.approx([x[2] for x in got])
+    assert pitman_yor.model_scores(empty, F.lit(True)).count() == 0 and pitman_yor.perplexity(pitman_yor.model_scores(empty, F.lit(True))).first().perplexity is None
     untrained = pitman_yor.model_scores(messy.filter("doc_id in (61, 62)"), F.lit(False)).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 and r.score == pytest.approx(0) for r in untrained)  # one unknown word is all there is
 
 
-@pytest.mark.parametrize("config", [pitman_yor.Config(context_bits=0), pitman_yor.Config(per_group=300, hot_share=16, context_bits=0)])
-def test_probabilities_add_up(spark, config):
-    """With one context for all, P(w) = P(w, END) / P(END); over all known words, one unknown and END they add up to 1, in one task and in many."""
-    r = random.Random(1)
-    vocabulary = [f"w{i}" for i in range(25)]
-    texts = [" ".join(r.choices(vocabulary, range(25, 0, -1), k=r.randint(1, 12))) for _ in range(150)]
-    probes = [*sorted({w for t in texts for w in t.split()}), "unknown"]
-    rows = [(i, t, True) for i, t in enumerate(texts)] + [(1000 + i, w, False) for i, w in enumerate(probes)] + [(2000, "", False)]
-    got = {x.doc_id: x.score for x in pitman_yor.model_scores(spark.createDataFrame(rows, "doc_id long, text string, learn boolean"), F.col("learn"), config).collect()}
-    end = 10 ** got[2000]
-    assert end + sum(10 ** got[1000 + i] / end for i in range(len(probes))) == pytest.approx(1, abs=1e-6)
-
-
-def test_tasks_share_their_totals(spark):
-    """Seating in many tasks gives what one task gives, but for chance: each knows the tables of all, also in contexts of which it holds little."""
-    config = pitman_yor.Config()
-    assert (config.burn_in, config.samples) == (2, 3)
-    r = random.Random(7)
-    rows = []
-    for i in range(240):
+def chain(seed=7, n=240):
+    """After "a" comes anything, after any other word nearly always the same."""
+    r = random.Random(seed)
+    for i in range(n):
         w = ["a"]
-        for _ in range(40):  # after "a" comes anything, after any other word nearly always the same
+        for _ in range(40):
             w.append(f"w{r.randrange(60)}" if w[-1] == "a" else ("a" if w[-1] == "b" else r.choice(["b", "b", "b", "a"])))
-        rows.append((i, " ".join(w), i % 4 > 0))
-    docs = spark.createDataFrame(rows, "doc_id long, text string, learn boolean")
-    one, many, other = ({x.doc_id: x.score / x.n_tokens for x in pitman_yor.model_scores(docs, F.col("learn"), c).collect()} for c in (config, pitman_yor.Config(per_group=120), pitman_yor.Config(seed=5)))
-    apart = lambda a: abs(np.mean([a[i] - one[i] for i in one if i % 4 == 0]))
-    assert apart(other) < 0.003 and apart(many) < 0.003
+        yield i, " ".join(w), i % 4 > 0
 
 
-def test_seats_come_back_as_saved():
-    rng = np.random.default_rng(0)
-    seats = pitman_yor.Seating(np.array([0, 5, 1, 90, 0, 17]))
+def test_tasks_share_their_root_and_deal_hot_restaurants(spark):
+    """Seating in many tasks gives nearly what one task gives, though the most frequent contexts are then dealt to several."""
+    config = pitman_yor.Config()
+    assert (config.burn_in, config.samples) == (2, 3)
+    docs = spark.createDataFrame(list(chain()), "doc_id long, text string, learn boolean")
+    one, many, other = (pitman_yor.model_scores(docs, F.col("learn"), c) for c in (config, pitman_yor.Config(per_group=1500, batch_bytes=4000), pitman_yor.Config(seed=5)))
+    at = [pitman_yor.perplexity(x.filter("doc_id % 4 = 0")).first() for x in (one, many, other)]
+    assert at[2].perplexity == pytest.approx(at[0].perplexity, rel=0.01) and at[1].perplexity == pytest.approx(at[0].perplexity, rel=0.1)
+    assert at[0].perplexity < 0.5 * at[0].base_perplexity and at[1].base_perplexity == pytest.approx(at[0].base_perplexity)
+
+
+def part_of_chain(config=pitman_yor.Config()):
+    """One task's restaurants of some texts, with a token that doesn't learn for each word after each leaf."""
+    tokens = [(w[i - 1], w[i - 2], w[i]) for _, t, _ in chain(n=12) for w in [t.split()] for i in range(2, len(w))]
+    words = sorted({w for t in tokens for w in t})
+    code = {w: i for i, w in enumerate(words)}
+    seen = np.array([[code[x] for x in t] for t in tokens])
+    leaves = np.unique(seen[:, :2], axis=0)
+    asked = np.array([[c, leaf, w] for c, leaf in leaves for w in range(len(words) + 1)])
+    context, leaf, word = np.concatenate([seen, asked]).T
+    learn = np.arange(len(word)) < len(seen)
+    part = pitman_yor.Part(context, leaf, word, learn, len(words) + 1, config, (1, 2, 3))
+    return part, seen, len(words) + 1, part.type_of[len(seen) :].reshape(len(leaves), -1), leaves
+
+
+def test_probabilities_add_up():
+    part, _, n, asked, _ = part_of_chain()
+    root = np.random.default_rng(0).dirichlet(np.ones(n))
     for _ in range(3):
-        seats.sweep(np.full(6, 0.8), 0.5, rng)
-    again = pitman_yor.Seating.at(seats.counts, seats.n_tables, seats.seats())
-    assert (again.seats() == seats.seats()).all() and (again.n_tables == seats.n_tables).all() and sorted(again.size) == sorted(seats.size)
-
-
-def test_seating_keeps_its_books():
-    rng = np.random.default_rng(0)
-    counts = rng.integers(1, 60, 200)
-    seats = pitman_yor.Seating(counts)
-    for step in range(6):
-        seats.sweep(np.full(200, 0.5), 0.6, rng)
-        if step == 3:
-            counts = np.maximum(1, counts + rng.integers(-20, 20, 200))
-            seats.resize(counts, np.full(200, 0.5), 0.6, rng)
-        assert (np.bincount(seats.dish, minlength=200) == counts).all() and (seats.table >= 0).all()
-        tables = [set(seats.table[seats.dish == i].tolist()) for i in range(200)]
-        assert [len(t) for t in tables] == seats.n_tables.tolist()
-        assert (np.bincount(seats.table, minlength=len(seats.size)) == seats.size).all()
-        assert sum(map(len, tables)) == len(set().union(*tables))
+        part.sweep(root)
+        assert part.predictive(root)[asked].sum(1) == pytest.approx(np.ones(len(asked)))
+
+
+class Restaurant:
+    """The textbook's: customers one at a time, each table a customer of the parent."""
+
+    def __init__(self, d, parent, rng):
+        self.d, self.parent, self.rng, self.tables, self.strength = d, parent, rng, {}, 1.0
+
+    def p(self, w):
+        at = self.tables.get(w, [])
+        n, t = sum(map(sum, self.tables.values())), sum(map(len, self.tables.values()))
+        return (sum(at) - self.d * len(at) + (self.strength + self.d * t) * self.parent.p(w)) / (self.strength + n)
+
+    def enter(self, w):
+        at = self.tables.setdefault(w, [])
+        t = sum(map(len, self.tables.values()))
+        weights = [n - self.d for n in at] + [(self.strength + self.d * t) * self.parent.p(w)]
+        i = self.rng.choices(range(len(weights)), weights)[0]
+        if i == len(at):
+            at.append(1)
+            self.parent.enter(w)
+        else:
+            at[i] += 1
+
+    def leave(self, w):
+        at = self.tables[w]
+        i = self.rng.choices(range(len(at)), at)[0]
+        at[i] -= 1
+        if not at[i]:
+            at.pop(i)
+            self.parent.leave(w)
+
+
+class Root:
+    def __init__(self, p):
+        self.values = p
+
+    def p(self, w):
+        return self.values[w]
+
+    def enter(self, w):
+        pass
+
+    leave = enter
+
+
+def test_sampling_agrees_with_one_customer_at_a_time():
+    part, seen, n, asked, leaves = part_of_chain()
+    root = np.full(n, 1 / n)
+    fast = np.zeros(asked.shape)
+    for step in range(60):
+        part.sweep(root)
+        fast += part.predictive(root)[asked] / 50 if step >= 10 else 0
+    rng = random.Random(3)
+    tops = {c: Restaurant(part.above_d, Root(root), rng) for c in np.unique(seen[:, 0]).tolist()}
+    low = {tuple(u): Restaurant(part.d, tops[u[0]], rng) for u in leaves.tolist()}
+    for r in (*tops.values(), *low.values()):
+        r.strength = part.strength if r in low.values() else part.above_strength
+    for c, u, w in seen.tolist():
+        low[c, u].enter(w)
+    slow = np.zeros(asked.shape)
+    for step in range(25):
+        for c, u, w in seen.tolist():
+            low[c, u].leave(w)
+            low[c, u].enter(w)
+        if step >= 5:
+            slow += [[low[tuple(u)].p(w) / 20 for w in range(n)] for u in leaves.tolist()]
+    counts = np.array([(seen[:, :2] == u).all(1).sum() for u in leaves])
+    divergence = (slow * np.log(slow / fast)).sum(1)
+    assert (divergence * counts).sum() / counts.sum() < 0.01
 
 
 def test_tables_follow_their_law():
-    """For three customers and given weights the numbers of tables have a known distribution."""
+    """For three customers and given weights the numbers of tables have a known distribution; for very many it tends to one and a Poisson variable."""
     rng, a, d = np.random.default_rng(1), 0.7, 0.4
-    seats = pitman_yor.Seating(np.full(20_000, 3))
-    for _ in range(12):
-        seats.sweep(np.full(20_000, a), d, rng)
+    draw = pitman_yor.Tables(d, 1024)
     weight = np.array([a * (1 - d) * (2 - d), a * a * (3 - 3 * d), a**3])
-    assert np.bincount(seats.n_tables, minlength=4)[1:] / 20_000 == pytest.approx(weight / weight.sum(), abs=0.015)
+    assert np.bincount(draw.draw(np.full(20_000, 3), np.full(20_000, a), rng), minlength=4)[1:] / 20_000 == pytest.approx(weight / weight.sum(), abs=0.015)
+    for a in (0.3, 3.0):
+        exact, limit = (draw.draw(np.full(4000, c), np.full(4000, a), rng).mean() for c in (1024, 1025))
+        assert limit == pytest.approx(exact, rel=0.1)
+    assert draw.draw(np.array([0, 1, 2]), np.array([1.0, 1.0, 1e-300]), rng).tolist() == [0, 1, 1]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text("ab ", max_size=12), min_size=1, max_size=6))
+def test_tokens_know_the_two_words_before(texts):
+    import pyarrow as pa
+
+    word, before, second, own = pitman_yor.tokens_of(pa.RecordBatch.from_pydict({"text": pa.array(texts)}))
+    names = {int(pitman_yor.END): "$", int(pitman_yor.START): "^"}
+    want = [(w[i], (["^", "^"] + w)[i + 1], (["^", "^"] + w)[i], n) for n, t in enumerate(texts) for w in [[*t.split(), "$"]] for i in range(len(w))]
+    for (w, *_), h in zip(want, word.tolist(), strict=True):
+        assert names.setdefault(h, w) == w
+    assert [(names[a], names[b], names[c], d) for a, b, c, d in zip(word.tolist(), before.tolist(), second.tolist(), own.tolist(), strict=True)] == want
 
 
 # --- quality
