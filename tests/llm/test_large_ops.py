@@ -315,8 +315,8 @@ def test_components(spark):
 # --- repeated passages
 
 
-@pytest.mark.parametrize("bytes_", [2 << 20, 2000])
-def test_remove_repeats(messy, empty, spark, bytes_):
+@pytest.mark.parametrize("how", [{}, {"bundle_bytes": 2000, "part_phrases": 100}, {"bundle_bytes": 2000, "part_phrases": 3000, "at_once": 40}])
+def test_remove_repeats(messy, empty, spark, how):
     r = random.Random(8)
     passages = ["".join(r.choice("abé \n") for _ in range(r.randint(30, 120))) for _ in range(8)]
     more = [(200 + i, "".join(r.choice([r.choice(passages), "".join(r.choice("abé ") for _ in range(r.randint(0, 60))), "ab" * 40]) for _ in range(r.randint(0, 6)))) for i in range(60)]
@@ -339,11 +339,48 @@ def test_remove_repeats(messy, empty, spark, bytes_):
             kept = bytes(c for c, gone in zip(b, mask, strict=True) if not gone)
             want[x.doc_id, len(b), sum(mask), len(re.findall(b"\1+", bytes(mask))), hashlib.sha256(kept).hexdigest(), kept] += 1
         seen |= fresh
-    got = Counter((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256, bytes(x.kept)) for x in suffix_dedup.remove_repeats(docs, bundle_bytes=bytes_, part_phrases=100, with_kept=True).collect())
+    got = Counter((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256, bytes(x.kept)) for x in suffix_dedup.remove_repeats(docs, with_kept=True, **how).collect())
     assert got == want and sum(k[2] > 0 for k in want) > 20
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_corpus_order_of_suffixes():
+    r = random.Random(2)
+    data = bytes(r.choice(b"ab") for _ in range(400))
+    starts, ids = np.array([r.randrange(350) for _ in range(300)]), np.array([r.randrange(6) for _ in range(300)])
+    later = suffix_dedup.later_suffixes(np.frombuffer(data, np.uint8), starts, ids, 12)
+    first: dict = {}
+    for s, i in zip(starts, ids, strict=True):
+        first[data[s : s + 12]] = min(first.get(data[s : s + 12], 9), i)
+    assert later.tolist() == [i > first[data[s : s + 12]] for s, i in zip(starts, ids, strict=True)]
+
+
+def test_what_is_sent_does_not_grow_with_the_parts():
+    import pyarrow as pa
+
+    r = random.Random(3)
+    docs = pa.table({"id": pa.array(range(200)), "k": pa.array(range(200)), "text": pa.array(["".join(r.choices("abcdefgh ", k=600)) for _ in range(200)])})
+    sent = []
+    for parts in (1, 100, 1_000_000):
+        b = suffix_dedup.Bundle(docs, parts, 50, np.zeros(0, np.uint64))
+        sent.append(sum(8 * (j - i) + sum(map(len, b.documents(b.doc[i:j]))) for i, j in b.rows(np.ones(len(b.part), bool))[1]) / len(b.part))
+    assert max(sent) <= 18
+
+
+def test_hot_triggers_are_dealt_by_content():
+    import pyarrow as pa
+
+    r = random.Random(4)
+    docs = pa.table({"id": pa.array(range(300)), "k": pa.array(range(300)), "text": pa.array(["".join(r.choices("abc", k=60)) + "0123456789abcdef" + "".join(r.choices("abc", k=60)) for _ in range(300)])})
+    plain = suffix_dedup.Bundle(docs, 50, 50, np.zeros(0, np.uint64))
+    triggers, n = np.unique(plain.key >> np.uint64(32) | plain.part.astype(np.uint64) << np.uint64(32), return_counts=True)
+    _, _, trigger, _ = suffix_dedup.phrases(plain.data, plain.at, 50)
+    values, count = np.unique(trigger, return_counts=True)
+    hot = values[count > 50]
+    dealt = suffix_dedup.Bundle(docs, 50, 50, np.sort(hot))
+    assert len(hot) and np.bincount(dealt.part).max() < 3 * len(dealt.part) / 50
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("ab", max_size=40), max_size=5))
 def test_phrases_hold_each_string_once(texts):
