@@ -2,26 +2,55 @@
 
 from __future__ import annotations
 
+import json
 import subprocess
 from collections.abc import Callable
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
-def command(argv: list[str], timeout: float = 60.0) -> Callable[[], Callable[[str], str]]:
-    """A backend that gives the prompt to a command's standard input and takes its output; a failure or timeout raises, and so leaves a null."""
+Reader = Callable[[str], str]
 
-    def make() -> Callable[[str], str]:
-        def ask(prompt: str) -> str:
-            done = subprocess.run(argv, input=prompt, capture_output=True, text=True, timeout=timeout, check=True)
-            return done.stdout.strip()
 
-        return ask
+def plain(output: str) -> str:
+    return output.strip()
 
-    return make
+
+def _envelope(output: str) -> tuple[str, dict]:
+    """The answer and the usage of an output that is one JSON object with result, is_error and usage; one that reports an error raises."""
+    answer = json.loads(output)
+    if answer.get("is_error"):
+        raise RuntimeError(f"the command reports an error: {str(answer.get('result'))[:300]}")
+    return answer["result"], answer.get("usage") or {}
+
+
+def enveloped(output: str) -> str:
+    return _envelope(output)[0]
+
+
+def metered(output: str) -> str:
+    """The answer with its token counts, for metered_answer()."""
+    text, usage = _envelope(output)
+    return json.dumps({"text": text, "prompt_tokens": int(usage.get("input_tokens") or 0), "completion_tokens": int(usage.get("output_tokens") or 0)})
 
 
-#: Backends by name, for the command line.
-REGISTRY: dict[str, Callable[[], Callable[[str], str]]] = {}
+def metered_answer(answer: Column) -> Column:
+    """struct(text, prompt_tokens, completion_tokens) of what metered() gave: rows for costs()."""
+    return F.from_json(answer, "text string, prompt_tokens long, completion_tokens long")
 
 
-def register(name: str, backend: Callable[[], Callable[[str], str]]) -> None:
-    REGISTRY[name] = backend
+#: How a command's output is read, by name.
+READERS: dict[str, Reader] = {"plain": plain, "json": enveloped, "metered": metered}
+
+
+def command(argv: list[str], timeout: float = 60.0, read: str = "plain") -> Callable[[], Callable[[str], str]]:
+    """A backend that gives the prompt to a command's standard input and reads its output; a failure or timeout raises, and so leaves a null."""
+    reader = READERS[read]
+
+    def make() -> Callable[[str], str]:
+        def ask(prompt: str) -> str:
+            return reader(subprocess.run(argv, input=prompt, capture_output=True, text=True, timeout=timeout, check=True).stdout)
+
+        return ask
+
+    return make

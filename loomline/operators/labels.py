@@ -80,11 +80,11 @@ def grade(prompt: Column, ask: Callable[[], Callable[[str], str]]) -> Column:
     return run(prompt)
 
 
-def graded_labels(samples: DataFrame, labels: DataFrame, ask: Callable[[], Callable[[str], str]], name: str, limit: int | None = None, prompt: str = GRADER_PROMPT, s: Settings = DEFAULT) -> DataFrame:
-    """Records for the middle zone. The limit counts labeled ones too; rows without an answer stay unlabeled."""
+def graded_labels(samples: DataFrame, labels: DataFrame, ask: Callable[[], Callable[[str], str]], name: str, limit: int | None = None, prompt: str = GRADER_PROMPT, s: Settings = DEFAULT, lot: tuple[int, int] = (0, 1)) -> DataFrame:
+    """Records for the middle zone. The limit counts labeled ones too; rows without an answer stay unlabeled. lot: (i, n) asks for one of n lots of keys only."""
     rows = samples.filter("zone = 'middle'")
     rows = rows.orderBy("source_path", "pos").limit(limit) if limit is not None else rows
-    rows = unlabeled(first_wins(rows), labels)
+    rows = unlabeled(first_wins(rows), labels).filter(F.pmod(F.xxhash64("key"), F.lit(lot[1])) == lot[0])
     question = F.replace(F.replace(F.lit(prompt), F.lit("{convo}"), M.labeler_text(F.col("context_messages"), s)), F.lit("{reply}"), F.col("target"))
     rows = rows.withColumn("score", S.parse_score(grade(question, ask))).filter("score is not null")
     return rows.select("key", "score", F.lit(f"grader:{name}").alias("method"), "target_len", "thread_id")

@@ -97,10 +97,19 @@ def load_samples(logs, since: str | None = None, s: Settings = DEFAULT) -> Sampl
     return build_samples(logs.turns, logs.threads, parse_since(since), s)
 
 
-def sample_key(samples: DataFrame, tag: str) -> DataFrame:
-    """samples with sample_key: tag, thread and place in the order of (source_path, pos). Places are counted thread by thread and added up, so no task orders all rows."""
+def sample_key(samples: DataFrame, tag: str, ranges: int = 256) -> DataFrame:
+    """samples with sample_key: tag, thread and place in the order of (source_path, pos).
+
+    Places are counted thread by thread; threads are cut into ranges of source_path at the paths of some that hash
+    lowest, so a range is a task's work, and only the totals of the ranges (at most `ranges`) are added up in one.
+    """
     counts = samples.groupBy("source_path").agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("source_path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("source_path", "before")  # a row for each thread
+    bounds = sorted(r[0] for r in counts.select("source_path").orderBy(F.xxhash64("source_path"), "source_path").limit(ranges - 1).collect())
+    cuts = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<string>")
+    counts = counts.withColumn("range", F.size(F.filter(cuts, lambda b: b <= F.col("source_path"))))
+    within, over = W.partitionBy("range").orderBy("source_path").rowsBetween(W.unboundedPreceding, -1), W.partitionBy(F.lit(0)).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    totals = counts.groupBy("range").agg(F.sum("n").alias("n")).select("range", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("base"))
+    before = counts.withColumn("before", F.coalesce(F.sum("n").over(within), F.lit(0))).join(F.broadcast(totals), "range").select("source_path", (F.col("base") + F.col("before")).alias("before"))
     place = F.row_number().over(W.partitionBy("source_path").orderBy("pos")) - 1
     return samples.withColumn("_place", place).join(before, "source_path").withColumn("sample_key", F.concat_ws(":", F.lit(tag), "thread_id", (F.col("before") + F.col("_place")).cast("string"))).drop("_place", "before")
 

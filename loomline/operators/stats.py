@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.config import OTHER_PRICE, PRICES
+from loomline.config import DEFAULT, OTHER_PRICE, PRICES, Settings
+from loomline.functions.keys import split_side
 from loomline.operators.samples import Samples
 
 THREAD_REASONS = ("date", "cwd", "slug", "hide_test", "ai_writing", "worker")
@@ -15,14 +16,21 @@ THREAD_REASONS = ("date", "cwd", "slug", "hide_test", "ai_writing", "worker")
 TURN_REASONS = ("hook_injected", "too_short", "too_long_target", "sidechain", "worker_cwd", "worker_worktree", "worker_slug", "tool_result_user")
 
 
-def loader_stats(made: Samples) -> DataFrame:
-    """One row: threads seen and kept (with a sample), dropped by reason; samples by side; turns dropped by reason, and their total."""
-    threads = made.threads.agg(F.count("*").alias("threads_seen"), *(F.count_if(F.col("drop_reason") == r).alias(f"threads_{r}") for r in THREAD_REASONS))
-    samples = made.samples.agg(F.count("*").alias("samples"), F.count_if(F.col("split") == "train").alias("train"), F.count_if(F.col("split") == "val").alias("val"), F.countDistinct("source_path").alias("threads_kept"))
-    turns = made.turns.agg(*(F.count_if(F.col("drop_reason") == r).alias(f"turns_{r}") for r in TURN_REASONS))
-    joined = threads.join(samples).join(turns)  # one row each
-    total = reduce(lambda a, b: a + b, (F.col(f"threads_{r}") for r in THREAD_REASONS[3:]), F.lit(0)) + reduce(lambda a, b: a + b, (F.col(f"turns_{r}") for r in TURN_REASONS))
-    return joined.withColumn("drops_total", total)
+def loader_stats(made: Samples, s: Settings = DEFAULT) -> DataFrame:
+    """One row: threads seen and kept (with a sample), dropped by reason; samples by side; turns dropped by reason, and their total.
+
+    Turns are counted by thread, beside the thread's own row, and all threads are added up once; no frame of turns is built.
+    """
+    turns = made.turns.groupBy("source_path").agg(F.count_if(F.col("drop_reason").isNull()).alias("samples"), *(F.count_if(F.col("drop_reason") == r).alias(f"turns_{r}") for r in TURN_REASONS))
+    rows = made.threads.select("source_path", "drop_reason", split_side(F.col("thread_id"), s).alias("side")).join(turns, "source_path", "left")
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0))
+    sides = (total(F.when(F.col("side") == side, F.col("samples"))).alias(side) for side in ("train", "val"))
+    out = rows.agg(
+        F.count("*").alias("threads_seen"), *(F.count_if(F.col("drop_reason") == r).alias(f"threads_{r}") for r in THREAD_REASONS),
+        total("samples").alias("samples"), *sides, F.count_if(F.col("samples") > 0).alias("threads_kept"), *(total(f"turns_{r}").alias(f"turns_{r}") for r in TURN_REASONS),
+    )
+    drops = reduce(lambda a, b: a + b, (F.col(f"threads_{r}") for r in THREAD_REASONS[3:]), F.lit(0)) + reduce(lambda a, b: a + b, (F.col(f"turns_{r}") for r in TURN_REASONS))
+    return out.withColumn("drops_total", drops)
 
 
 def percent(n: Column, total: Column) -> Column:

@@ -69,8 +69,7 @@ def cap_message(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def tool_result_elide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = F.expr("case when doc_id % 2 = 0 then substr(text, 1, cast(198 + doc_id % 6 as int)) else text end")
-    return _docs(spark, sf_dir).select("doc_id", X.elide_tool_result(body).alias("body"))
+    return _docs(spark, sf_dir).select("doc_id", X.elide_tool_result(F.col("text")).alias("body"), X.elide_tool_result(F.expr("repeat('x', cast(196 + doc_id % 8 as int)) || lang")).alias("near_the_bound"))
 
 
 @query
@@ -98,14 +97,6 @@ def thread_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _made(spark, sf_dir, "2025-05-01").threads.select("source_path", "project", "drop_reason")
 
 
-@query
-def preamble_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "conversations").withColumn("text", F.expr("case when conv_id % 6 = 1 and turn < 2 then ' # AGENTS.md instructions ' || text when conv_id % 6 = 2 and turn = 0 then repeat('x', cast(1998 + conv_id % 5 as int)) when conv_id % 6 = 3 and turn = 0 then '' else text end"))
-    machine = (F.col("role") == "user") & transcripts.preamble(F.col("text"))
-    first = F.min(F.when((F.col("role") == "user") & ~transcripts.preamble(F.col("text")), F.col("turn"))).over(W.partitionBy("conv_id"))
-    return rows.withColumns({"first": first, "machine": machine}).filter(~(F.col("machine") & F.coalesce(F.col("turn") < F.col("first"), F.lit(True)))).select("conv_id", "turn", "role", F.length("text").alias("n_chars"))
-
-
 @query
 def context_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.with_context(_long_threads(spark, sf_dir)).select("source_path", "pos", F.size("context_messages").alias("n"), _joined(F.col("context_messages")).alias("context"))
@@ -128,21 +119,6 @@ def thread_header_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").groupBy("user_id").agg(transcripts.latest(value, order).alias("last_type"), transcripts.latest(value, order, True).alias("first_type"), F.count("*").alias("n"))
 
 
-@query
-def model_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    own = F.when(F.col("event_id") % 4 == 0, F.col("event_type"))
-    return _table(spark, sf_dir, "events").select("event_id", F.last(own, True).over(w).alias("model"))
-
-
-@query
-def text_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts between tool calls, merged."""
-    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = _table(spark, sf_dir, "events").withColumn("run", F.sum(F.when(F.col("event_type") == "purchase", 1).otherwise(0)).over(w)).filter("event_type <> 'purchase'")
-    return rows.groupBy("user_id", "run").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"]), "\n").alias("text"))
-
-
 @query
 def date_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, threads = turns_and_threads(spark, sf_dir)
@@ -225,7 +201,7 @@ def project_min_support(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def prompt_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    suffixes = _docs(spark, sf_dir).filter("doc_id % 100 < 2").groupBy(F.col("source").alias("project")).agg(F.min("lang").alias("suffix"))
+    suffixes = _docs(spark, sf_dir).filter("source not in ('src3', 'src5', 'src8')").groupBy(F.col("source").alias("project")).agg(F.min("lang").alias("suffix"))
     rows = _docs(spark, sf_dir).select("doc_id", F.col("source").alias("project"), F.col("lang").alias("model"))
     rows = R.join_prompts(rows, "PREFIX", suffixes)
     return rows.select("doc_id", "suffix", M.system_prompt(F.col("prefix"), F.col("suffix"), F.col("model"), F.lit("h"), F.lit("/c")).alias("system"))
@@ -237,15 +213,6 @@ def _threads_with_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("thread", F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
 
 
-@query
-def budget_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last turns within 1500 words (and four for each), the last at least."""
-    rows = _threads_with_messages(spark, sf_dir)
-    kept = R.kept_suffix(F.transform("messages", lambda m: X.word_count(m["content"]) + 4), F.lit(1500))
-    rows = rows.withColumn("kept", F.greatest(kept, F.lit(1)))
-    return rows.select("thread", F.size("messages").alias("n"), "kept", F.md5(F.array_join(F.transform(F.slice("messages", F.size("messages") - F.col("kept") + 1, F.col("kept")), lambda m: m["content"]), "|")).alias("text"))
-
-
 @query
 def labeler_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _threads_with_messages(spark, sf_dir).select("thread", F.md5(M.labeler_text(F.transform("messages", lambda m: F.struct(m["role"].alias("role"), F.concat(m["content"], m["content"], m["content"]).alias("content"))))).alias("text"))
@@ -273,8 +240,8 @@ def training_row(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def label_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = lambda c: F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x))
-    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", codes(F.col("text")).alias("p"), codes(F.expr("substr(text, 1, cast(20 + (conv_id * 7 + turn) % 40 as int))")).alias("t"))
-    m = R.mask_tokens(F.col("p"), F.col("t"), 2, 0, 64)
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", codes(F.col("text")).alias("p"), codes(F.concat("role", "text")).alias("t"))
+    m = R.mask_tokens(F.col("p"), F.col("t"), 2, 0, 600)
     rows = rows.withColumn("m", m).filter("m is not null")
     return rows.select("conv_id", "turn", *(F.array_join(F.col(f"m.{c}").cast("array<string>"), ",").alias(c) for c in ("input_ids", "attention_mask", "labels")))
 
@@ -301,14 +268,14 @@ def length_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def choice_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    response = F.expr("case when doc_id % 4 = 0 then translate(substr(text, 1, 30), 'aAbB', '') when doc_id % 4 = 1 then 'B' else substr(text, 1, 30) end")
+    response = F.expr("case when doc_id % 4 = 0 then translate(text, 'aAbB', '') when doc_id % 4 = 1 then 'B' || text else text end")
     rows = _docs(spark, sf_dir).select("doc_id", S.parse_choice(response).alias("choice"))
     return rows.select("doc_id", "choice", S.judge_score(F.col("choice"), F.expr("case when doc_id % 2 = 0 then 'A' else 'B' end")).alias("judge"))
 
 
 @query
 def score_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    response = F.expr("substr(text, 1, 10) || case when doc_id % 5 = 0 then '' else 'CAN_AUTO_RESPOND: ' || cast(doc_id % 130 as string) || '%' end")
+    response = F.expr("text || case when doc_id % 5 = 0 then '' else 'CAN_AUTO_RESPOND: ' || cast(doc_id % 130 as string) || '%' end")
     return _docs(spark, sf_dir).select("doc_id", S.parse_score(response).alias("score"))
 
 

@@ -7,7 +7,7 @@ import shlex
 
 from pyspark.sql import SparkSession
 
-from loomline.operators.backends import command
+from loomline.operators.backends import READERS, command
 from loomline.operators.stats import corpus_report
 from loomline.plans.dataset import build_dataset, label_dataset, training_dataset
 
@@ -25,6 +25,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     label.add_argument("--samples", nargs="+", required=True)
     label.add_argument("--labels", required=True)
     label.add_argument("--grader", help="a command that reads a prompt and answers for the middle zone")
+    label.add_argument("--answers", choices=[r for r in READERS if r != "metered"], default="plain", help="plain text, or a JSON object with result, is_error and usage")
     label.add_argument("--limit", type=int)
     label.add_argument("--dry-run", action="store_true", help="only count the zones")
     rows = jobs.add_parser("rows")
@@ -43,7 +44,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
 
         zone_histogram(keyed(read_samples(spark, a.samples))).show()
     elif a.job == "label":
-        grader = command(shlex.split(a.grader)) if a.grader else None
+        grader = command(shlex.split(a.grader), read=a.answers) if a.grader else None
         label_dataset(spark, a.samples, a.labels, grader, a.grader or "", a.limit).show()
     else:
         training_dataset(spark, a.samples, a.labels).write.mode("overwrite").parquet(a.out)

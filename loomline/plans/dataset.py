@@ -23,12 +23,16 @@ def build_dataset(spark: SparkSession, roots: dict[str, str], out: str | None =
     return made, loader_stats(made)
 
 
-def label_dataset(spark: SparkSession, paths: list[str], store: str, ask: Callable[[], Callable[[str], str]] | None = None, name: str = "", limit: int | None = None, s: Settings = DEFAULT) -> DataFrame:
-    """Adds the labels that the store lacks: the heuristic zones, then the middle one if there is a grader. Returns the zones' histogram."""
+def label_dataset(spark: SparkSession, paths: list[str], store: str, ask: Callable[[], Callable[[str], str]] | None = None, name: str = "", limit: int | None = None, s: Settings = DEFAULT, lots: int = 16) -> DataFrame:
+    """Adds the labels that the store lacks: the heuristic zones, then the middle one if there is a grader. Returns the zones' histogram.
+
+    The grader's answers are stored lot by lot, so a run that breaks off loses one lot of answers at most, and the next asks only for what is missing.
+    """
     samples = L.keyed(jsonl.read_samples(spark, paths), s)
     jsonl.append_labels(L.heuristic_labels(samples, s), store)
     if ask:
-        jsonl.append_labels(L.graded_labels(samples, jsonl.read_labels(spark, store), ask, name, limit, s=s), store)
+        for i in range(lots):
+            jsonl.append_labels(L.graded_labels(samples, jsonl.read_labels(spark, store), ask, name, limit, s=s, lot=(i, lots)), store)
     return L.zone_histogram(samples)
 
 

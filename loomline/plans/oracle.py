@@ -131,19 +131,16 @@ _OWN = "CASE WHEN event_id % 4 = 0 THEN event_type END"
 ORACLE_SQL: dict[str, str] = {
     "redact_secrets": f"SELECT doc_id, {_redact(f'(text || {_SECRET})')} AS redacted FROM documents",
     "cap_message": f"SELECT doc_id, {_cap('text')} AS capped FROM documents",
-    "tool_result_elide": f"WITH b AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, (198 + doc_id % 6)::INT) ELSE text END AS t FROM documents) SELECT doc_id, {_elide('t')} AS body FROM b",
+    "tool_result_elide": f"WITH b AS (SELECT *, repeat('x', (196 + doc_id % 8)::INT) || lang AS t FROM documents) SELECT doc_id, {_elide('text')} AS body, {_elide('t')} AS near_the_bound FROM b",
     "turn_render": f"WITH {_TURNS} SELECT conv_id, turn, {_ROLE} AS role, {_CONTENT} AS content FROM turns",
     "user_predicate": f"WITH {_TURNS} SELECT conv_id, turn, {_REASON} AS reason FROM turns WHERE kind = 'user'",
     "drop_counts": f"WITH {_TURNS} SELECT {_REASON} AS reason, count(*) AS n FROM turns WHERE kind = 'user' GROUP BY ALL",
     "hidden_threads": f"WITH {_gated(None)} SELECT source_path, {_tag('first_text')} AS tag FROM firsts",
     "thread_gate": f"WITH {_gated('2025-05-01')} SELECT source_path, project, drop_reason FROM gated",
-    "preamble_drop": f"WITH p AS ({_PRE}), f AS (SELECT *, min(CASE WHEN role = 'user' AND NOT {_MACHINE} THEN turn END) OVER (PARTITION BY conv_id) AS first FROM p) SELECT conv_id, turn, role, length(text)::INT AS n_chars FROM f WHERE NOT (role = 'user' AND {_MACHINE} AND coalesce(turn < first, true))",
     "context_frame": f"WITH {_LONG_THREADS}, r AS (SELECT *, {_ROLE} || ':' || ({_CONTENT}) AS msg FROM turns), f AS (SELECT source_path, pos, coalesce(list(msg) OVER (PARTITION BY source_path ORDER BY pos ROWS BETWEEN 150 PRECEDING AND 1 PRECEDING), []) AS ctx FROM r) SELECT source_path, pos, len(ctx) AS n, md5(array_to_string(ctx, '|')) AS context FROM f",
     "samples_basic": f"WITH {_samples()} SELECT thread_id, pos, target, project, harness, model, split, len(ctx) AS n_context, md5(array_to_string(ctx, '|')) AS context FROM samples",
     "split_counts": f"SELECT {_SPLIT.format('conv_id::VARCHAR')} AS split, count(*) AS n FROM conversations GROUP BY ALL",
     "thread_header_fold": "SELECT user_id, arg_max(event_type, (ts, event_id)) FILTER (WHERE event_id % 3 <> 0) AS last_type, arg_min(event_type, (ts, event_id)) FILTER (WHERE event_id % 3 <> 0) AS first_type, count(*) AS n FROM events GROUP BY user_id",
-    "model_carry_forward": f"SELECT event_id, last_value({_OWN} IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS model FROM events",
-    "text_runs": "WITH r AS (SELECT *, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS run FROM events) SELECT user_id, run, string_agg(event_type, chr(10) ORDER BY ts, event_id) AS text FROM r WHERE event_type <> 'purchase' GROUP BY ALL",
     "date_cutoff": f"WITH {_gated(None)} SELECT thread_id, started_at FROM heads WHERE NOT coalesce({_STARTED} < TIMESTAMPTZ '2025-06-15 00:00:00+00', false)",
     "label_keys": f"SELECT doc_id, {_KEY.format('source', 'text')} AS key FROM documents",
     "zone_histogram": f"SELECT {_ZONE.format('text')} AS zone, count(*) AS n, max(length(text))::INT AS longest FROM documents GROUP BY ALL",
@@ -156,17 +153,16 @@ ORACLE_SQL: dict[str, str] = {
     "project_slugs": f"WITH {_PATHS} SELECT page_id, {_SLUG} AS slug FROM paths",
     "project_slugs_infer": f"WITH {_PATHS} SELECT page_id, {_SLUG2} AS slug FROM paths",
     "project_min_support": "SELECT lang || '/' || source AS project, count(*) AS n FROM documents GROUP BY ALL HAVING count(*) >= 30",
-    "prompt_lookup": "WITH s AS (SELECT source, min(lang) AS suffix FROM documents WHERE doc_id % 100 < 2 GROUP BY ALL) SELECT doc_id, suffix, 'PREFIX' || coalesce(chr(10) || chr(10) || suffix, '') || chr(10) || chr(10) || 'This is a log from model ' || lang || ' in harness h, cwd /c. Respond as the user.' AS system FROM documents LEFT JOIN s USING (source)",
-    "budget_render": f"WITH {_MESSAGES}, c AS (SELECT *, sum({_words('text')} + 4) OVER (PARTITION BY thread ORDER BY back) AS total, count(*) OVER (PARTITION BY thread) AS n FROM m) SELECT thread, any_value(n) AS n, count(*) AS kept, md5(string_agg(text, '|' {_ORDER})) AS text FROM c WHERE total <= 1500 OR back = 1 GROUP BY thread",
+    "prompt_lookup": "WITH s AS (SELECT source, min(lang) AS suffix FROM documents WHERE source NOT IN ('src3', 'src5', 'src8') GROUP BY ALL) SELECT doc_id, suffix, 'PREFIX' || coalesce(chr(10) || chr(10) || suffix, '') || chr(10) || chr(10) || 'This is a log from model ' || lang || ' in harness h, cwd /c. Respond as the user.' AS system FROM documents LEFT JOIN s USING (source)",
     "labeler_text": f"WITH {_MESSAGES} SELECT thread, md5(string_agg(role || ': ' || {_LABELER}, chr(10) {_ORDER})) AS text FROM m WHERE back <= 30 GROUP BY thread",
     "judge_context": f"WITH {_MESSAGES} SELECT thread, md5(string_agg('[' || role || ']' || chr(10) || text, chr(10) || chr(10) {_ORDER})) AS text FROM m GROUP BY thread",
     "thread_text": f"WITH {_MESSAGES} SELECT thread, md5(coalesce(string_agg('[' || upper(role) || ']: ' || text, chr(10) || chr(10) {_ORDER}) FILTER (WHERE role <> 'system'), '')) AS text, coalesce(arg_min(text, back) FILTER (WHERE role = 'system'), '') AS system, arg_min(CASE WHEN length(text) > 400 THEN substr(text, 1, 400) || '…' ELSE text END, back) FILTER (WHERE role IN ('user', 'assistant')) AS last, md5(string_agg('[' || upper(role) || ']' || chr(10) || text, chr(10) || chr(10) {_ORDER})) AS command FROM m GROUP BY thread",
     "training_row": f"WITH {_samples()}, k AS (SELECT *, {_KEY.format('thread_id', 'target')} AS key FROM samples), s AS (SELECT *, CASE WHEN key IN (SELECT key FROM k WHERE pos % 3 = 0) THEN 77 ELSE {_HEURISTIC.format('target')} END AS score FROM k) SELECT source_path, pos, 'CAN_AUTO_RESPOND: ' || score || '%' || chr(10) || 'AUTO_RESPONSE: ' || target AS target, score AS target_score, project, len(ctx) + 1 AS n, 'This is a log from model ' || model || ' in harness ' || harness || ', cwd ' || cwd || '. Respond as the user.' || chr(10) || 'Output exactly two lines:' || chr(10) || 'CAN_AUTO_RESPOND: <0-100>%' || chr(10) || 'AUTO_RESPONSE: <reply>' AS system FROM s",
-    "label_mask": f"WITH a AS (SELECT conv_id, turn, {_CODES} AS p, list_append({_CODES.replace('string_split(text', 'string_split(substr(text, 1, (20 + (conv_id * 7 + turn) % 40)::INT)')}, 2) AS t FROM conversations), b AS (SELECT *, 64 - len(t) AS room FROM a), c AS (SELECT *, list_slice(p, greatest(len(p) - room + 1, 1), len(p)) AS q FROM b WHERE room >= 16), d AS (SELECT *, 64 - len(q) - len(t) AS pads FROM c) SELECT conv_id, turn, {_ids('q || t || list_transform(range(pads), lambda x: 0)')} AS input_ids, {_ids('list_transform(range(len(q) + len(t)), lambda x: 1) || list_transform(range(pads), lambda x: 0)')} AS attention_mask, {_ids('list_transform(q, lambda x: -100) || t || list_transform(range(pads), lambda x: -100)')} AS labels FROM d",
+    "label_mask": f"WITH a AS (SELECT conv_id, turn, {_CODES} AS p, list_append({_CODES.replace('string_split(text', 'string_split(role || text')}, 2) AS t FROM conversations), b AS (SELECT *, 600 - len(t) AS room FROM a), c AS (SELECT *, list_slice(p, greatest(len(p) - room + 1, 1), len(p)) AS q FROM b WHERE room >= 16), d AS (SELECT *, 600 - len(q) - len(t) AS pads FROM c) SELECT conv_id, turn, {_ids('q || t || list_transform(range(pads), lambda x: 0)')} AS input_ids, {_ids('list_transform(range(len(q) + len(t)), lambda x: 1) || list_transform(range(pads), lambda x: 0)')} AS attention_mask, {_ids('list_transform(q, lambda x: -100) || t || list_transform(range(pads), lambda x: -100)')} AS labels FROM d",
     "cosine_clip": "SELECT a.vec_id, round(greatest(0, least(1, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
     "length_score": f"WITH {_PAIRS} SELECT item_id, round(length_score, 6)::DOUBLE AS score FROM scored",
-    "choice_parse": "WITH r AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN translate(substr(text, 1, 30), 'aAbB', '') WHEN doc_id % 4 = 1 THEN 'B' ELSE substr(text, 1, 30) END AS x FROM documents), c AS (SELECT doc_id, nullif(upper(regexp_extract(x, '[AaBb]')), '') AS choice FROM r) SELECT doc_id, choice, CASE WHEN choice IS NULL THEN 0.5 WHEN choice = CASE WHEN doc_id % 2 = 0 THEN 'A' ELSE 'B' END THEN 0.0 ELSE 1.0 END::DOUBLE AS judge FROM c",
-    "score_parse": r"WITH r AS (SELECT doc_id, substr(text, 1, 10) || CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'CAN_AUTO_RESPOND: ' || (doc_id % 130) || '%' END AS x FROM documents) SELECT doc_id, CASE WHEN regexp_matches(x, 'CAN_AUTO_RESPOND:\s*(\d{1,3})') THEN greatest(50, least(90, regexp_extract(x, 'CAN_AUTO_RESPOND:\s*(\d{1,3})', 1)::INT)) END AS score FROM r",
+    "choice_parse": "WITH r AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN translate(text, 'aAbB', '') WHEN doc_id % 4 = 1 THEN 'B' || text ELSE text END AS x FROM documents), c AS (SELECT doc_id, nullif(upper(regexp_extract(x, '[AaBb]')), '') AS choice FROM r) SELECT doc_id, choice, CASE WHEN choice IS NULL THEN 0.5 WHEN choice = CASE WHEN doc_id % 2 = 0 THEN 'A' ELSE 'B' END THEN 0.0 ELSE 1.0 END::DOUBLE AS judge FROM c",
+    "score_parse": r"WITH r AS (SELECT doc_id, text || CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'CAN_AUTO_RESPOND: ' || (doc_id % 130) || '%' END AS x FROM documents) SELECT doc_id, CASE WHEN regexp_matches(x, 'CAN_AUTO_RESPOND:\s*(\d{1,3})') THEN greatest(50, least(90, regexp_extract(x, 'CAN_AUTO_RESPOND:\s*(\d{1,3})', 1)::INT)) END AS score FROM r",
     "combined_score": f"WITH {_PAIRS} SELECT item_id, round(0.6::DOUBLE * coalesce(CASE item_id % 3 WHEN 0 THEN 0.0 WHEN 1 THEN 1.0 END, 0.5) + 0.3::DOUBLE * coalesce(CASE WHEN item_id % 4 > 0 THEN (item_id % 7) / 7 END, 0) + 0.1::DOUBLE * length_score, 6) AS score FROM scored",
     "loader_stats": f"WITH {_STATS} SELECT * FROM full_stats",
     "corpus_report": f"WITH {_STATS} {_report()}",

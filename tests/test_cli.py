@@ -28,3 +28,16 @@ def test_jobs(spark, tmp_path, capsys):
 def test_failing_command():
     with pytest.raises(Exception, match="non-zero"):
         command([sys.executable, "-c", "raise SystemExit(3)"])()("x")
+
+
+def test_answers_in_an_envelope(spark):
+    from pyspark.sql import functions as F
+
+    from loomline.operators.backends import metered_answer
+
+    say = lambda text, read="json": command([sys.executable, "-c", f"print({text!r})"], read=read)()("x")
+    assert say('{"result": "yes", "is_error": false}') == "yes"
+    with pytest.raises(RuntimeError, match="reports an error"):
+        say('{"result": "no credit", "is_error": true}')
+    answers = spark.createDataFrame([(say('{"result": "yes", "usage": {"input_tokens": 7, "output_tokens": null}}', "metered"),), (None,)], "a string")
+    assert [r.x and tuple(r.x) for r in answers.select(metered_answer(F.col("a")).alias("x")).collect()] == [("yes", 7, 0), None]

@@ -8,8 +8,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from loomline.plans.catalog import QUERIES
-from loomline.plans.oracle import ORACLE_SQL
+from loomline.plans import catalog, log_queries, oracle
+
+QUERIES, ORACLE_SQL = catalog.QUERIES | log_queries.QUERIES, oracle.ORACLE_SQL | log_queries.ORACLE_SQL
 
 
 def plain(value):
