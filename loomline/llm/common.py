@@ -38,10 +38,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df as Parquet in the shared folder, read again: for large tables that several scans follow."""
+def saved(df: DataFrame, by: str | None = None) -> DataFrame:
+    """df as Parquet in the shared folder, filed by a column if given, and read again: for large tables that several scans follow."""
     where = f"{shared_folder(df.sparkSession)}/saved-{uuid.uuid4().hex}"
-    df.write.parquet(where)
+    (df.write.partitionBy(by) if by else df.write).parquet(where)
     return df.sparkSession.read.parquet(where)
 
 

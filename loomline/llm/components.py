@@ -15,7 +15,7 @@ def _settled(edges: DataFrame) -> bool:
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """edges: u, v (long). Returns node, root for each node that has an edge to another; root is its component's least node.
+    """edges: u, v (long). Returns node, root for each node that has an edge to another; root is its component's least node. Edges with a null end or from a node to itself are left out; none give an empty result.
 
     A round takes minima of each node's neighbours (combined before they shuffle) and joins them back, so a hub's edges
     never meet in one task; the number of rounds grows with the logarithm of the size. Each round's edges are checkpointed.

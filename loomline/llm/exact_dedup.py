@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import SPACE_RE, cut
+from loomline.llm.common import SPACE_RE, cut, groups_for, saved
 
 
 def repeated_bits(hashed: DataFrame, n_bits: int) -> DataFrame:
@@ -21,14 +21,34 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are equal when identical after each run of ASCII whitespace became one space; null counts as empty. The row
     with the smallest id stays (null ids last; of rows that share id and text exactly one stays). Rows whose hash
     positions are not both set twice are unique and pass straight through; only the others shuffle, and are grouped by
-    their full SHA-256, so the filter's errors cost a little traffic and never a wrong group. The filter that is
-    broadcast takes at most max_bits / 8 bytes; on more rows than that serves, more of them shuffle. An empty table
-    gives an empty result; other columns are ignored.
+    their full SHA-256, so the filter's errors cost a little traffic and never a wrong group.
+
+    The filter grows with the rows, bits_per_row for each. A broadcast part of it takes at most max_bits / 8 bytes:
+    beyond that the hashes (not the texts) are filed by range, and each range is filtered by a part of its own, one after
+    another, so the share of rows that shuffle stays as it is at any size. An empty table gives an empty result; other
+    columns are ignored.
     """
     text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE_RE, " ")
-    hashed = cut(docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(text, 256)).alias("sha"), F.monotonically_increasing_id().alias("uid")))
-    n_bits = min(max_bits, 1 << max(10, (hashed.count() * bits_per_row).bit_length()))
-    hashed = hashed.withColumn("h", F.xxhash64("sha")).withColumns({"p1": F.col("h").bitwiseAND(n_bits - 1), "p2": F.expr(f"shiftrightunsigned(h, 32) & {n_bits - 1}")})
+    hashed = docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(text, 256)).alias("sha"), F.monotonically_increasing_id().alias("uid")).withColumn("h", F.xxhash64("sha"))
+    hashed = cut(hashed)
+    rows = hashed.count()
+    ranges = groups_for(rows * bits_per_row, max_bits)
+    if ranges == 1:
+        parts = [_by_filter(hashed, rows, bits_per_row, max_bits)]
+    else:
+        filed = saved(hashed.withColumn("range", F.pmod(F.shiftright("h", 20), F.lit(ranges)).cast("int")), "range")
+        sizes = {r["range"]: r["count"] for r in filed.groupBy("range").count().collect()}
+        parts = [_by_filter(filed.filter(F.col("range") == i).drop("range"), n, bits_per_row, max_bits) for i, n in sorted(sizes.items())]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+def _by_filter(hashed: DataFrame, rows: int, bits_per_row: int, max_bits: int) -> DataFrame:
+    """id, keep_id, group_size, kept, sha of the hashed rows of one range."""
+    n_bits = min(max_bits, 1 << max(10, (rows * bits_per_row).bit_length()))
+    hashed = hashed.withColumns({"p1": F.col("h").bitwiseAND(n_bits - 1), "p2": F.xxhash64("h", F.lit(1)).bitwiseAND(n_bits - 1)})
     bits = cut(repeated_bits(hashed, n_bits))
     tested = hashed
     for p in ("p1", "p2"):
@@ -40,4 +60,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = tested.filter("may_repeat")
     groups = cut(rest.groupBy("sha").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("first"), F.count("*").alias("group_size")))  # a plain table: Spark can then split a hot hash in the join
     met = rest.join(groups, "sha").select("id", F.col("first.id").alias("keep_id"), "group_size", (F.col("uid") == F.col("first.uid")).alias("kept"), "sha")
-    return alone.unionByName(met).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+    return alone.unionByName(met)

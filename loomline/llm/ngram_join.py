@@ -21,18 +21,20 @@ class Config:
     threshold: float = 0.8
     recall: float = 0.995  # of pairs just at the threshold
     most_hashes: int = 128
-    block: int = 512  # documents of a large component that meet in one task
+    block: int = 512  # documents of a large bucket or class that meet in one task, twice
     seed: int = 21
 
 
 def bands_for(threshold: float, recall: float, most_hashes: int) -> tuple[int, int]:
-    """(bands, rows): the most rows a band, and so the fewest chance candidates, with which 1 - (1 - threshold^rows)^bands >= recall."""
-    best = (max(1, most_hashes), 1)
+    """(bands, rows): the most rows a band, and so the fewest chance candidates, with which 1 - (1 - threshold^rows)^bands >= recall. An error if no choice within most_hashes reaches it."""
+    best = None
     for rows in range(1, 33):
         p = threshold**rows
         bands = 1 if p >= 1 else math.ceil(math.log(1 - recall) / math.log1p(-p))
         if bands * rows <= most_hashes:
             best = (bands, rows)
+    if best is None:
+        raise ValueError(f"no bands of at most {most_hashes} hashes find a similarity of {threshold} with recall {recall}")
     return best
 
 
@@ -129,17 +131,23 @@ class Joined:
 def join(docs: DataFrame, config: Config = Config(), id_col: str = "doc_id", text_col: str = "text") -> Joined:
     """Link documents whose sets of word n-grams have a Jaccard similarity of at least the threshold.
 
-    Texts of one word sequence are copies and go on as one node. Nodes that share a band's hash become candidates by an
-    edge to the bucket's least member; components of that graph are then verified on full n-gram sets, all pairs within
-    a component, in tiles of at most 2 * config.block nodes, so that no pair is listed and each link between different
-    texts is counted. A class is a component of verified links. A text of fewer words than n has one n-gram of all its
-    words; one without words (or null) links to nothing, not even its like. Ids may be null or repeated: rows are told
-    apart by id and text. An empty table gives empty results; other columns are ignored.
+    Texts of one word sequence are copies and go on as one node. Nodes that share a band's hash are a bucket, and all
+    pairs of a bucket are candidates. No candidate joins anything before it is verified on full n-gram sets:
+
+    1. each node is verified against the least node of its buckets; components of these links are families;
+    2. all pairs within a family are verified;
+    3. a bucket that holds several families has the pairs across them verified, each pair in the first band it shares.
+
+    All of them meet in tiles of at most 2 * config.block nodes, so no task holds a whole bucket or family, no pair is
+    listed, and each link between different texts is counted once. Chance candidates cost their own verification and
+    chain nothing together. A class is a component of verified links. A text of fewer words than n has one n-gram of
+    all its words; one without words (or null) links to nothing, not even its like. Ids may be null or repeated: rows
+    are told apart by id and text. An empty table gives empty results; other columns are ignored.
     """
     bands, width = bands_for(config.threshold, config.recall, config.most_hashes)
     rng = np.random.Generator(np.random.Philox(config.seed))
     factors = rng.integers(1, 1 << 63, bands * width, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    size = config.words
+    size, block, threshold = config.words, config.block, config.threshold
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["id"]
 
@@ -163,54 +171,81 @@ def join(docs: DataFrame, config: Config = Config(), id_col: str = "doc_id", tex
             has[full] = bands
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("k"), pa.array(signed(node)), list_column(signed(out.ravel()), np.cumsum(has), pa.int64())], ["id", "k", "node", "bands"])
 
-    signs = cut(rows.mapInArrow(sign, f"id {kind}, k long, node long, bands array<long>"))
-    heads = cut(signs.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k")).alias("head"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")))
-    probes = heads.select("node", F.explode("bands").alias("h"))
-    buckets = cut(probes.groupBy("h").agg(F.min("node").alias("m"), F.max("node").alias("x")).filter("m < x").select("h", "m"))
-    found = components(probes.join(buckets, "h").filter("node <> m").select(F.col("node").alias("u"), F.col("m").alias("v")))
-    found = cut(found)
-    sizes = cut(found.groupBy("root").agg(F.count("*").alias("n")))
-    block = config.block
-    placed = found.join(sizes, "root").join(heads.select("node", F.col("head.k").alias("k"), "copies"), "node").select(
-        "k", "node", "root", "copies", F.expr(f"cast((n + {block - 1}) div {block} as int)").alias("blocks"), F.expr(f"cast(pmod(xxhash64(node), (n + {block - 1}) div {block}) as int)").alias("block")
-    )
-    placed = cut(placed)
-    texts = rows.select("k", "text").join(placed, "k")
-    threshold = config.threshold
-
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             values, owner, _, _ = text_shingles(batch.column("text"), size)
             values, ends = distinct_sets(values, owner, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "root", "copies", "blocks", "block")), list_column(signed(values), ends, pa.int64())], ["node", "root", "copies", "blocks", "block", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("copies"), batch.column("bands"), list_column(signed(values), ends, pa.int64())], ["node", "copies", "bands", "grams"])
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tile in grouped(batches, ["root", "ti", "tj"]):
+    def verify(mode: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in grouped(batches, ["of", "ti", "tj"]):
             nodes, first = np.unique(tile["node"].to_numpy(), return_index=True)
-            tile = tile.take(pa.array(first))  # rows that share id and text are one
+            tile = tile.take(pa.array(first))
             n = len(nodes)
             grams = tile["grams"].combine_chunks()
             length = np.diff(grams.offsets.to_numpy())
-            row = np.repeat(np.arange(n), length)
-            met = overlaps(grams.flatten().to_numpy(), row, n)
+            met = overlaps(grams.flatten().to_numpy(), np.repeat(np.arange(n), length), n)
             similar = met >= threshold * (length[:, None] + length[None, :] - met) - 1e-6
             np.fill_diagonal(similar, False)
-            if tile["ti"][0].as_py() != tile["tj"][0].as_py():
+            of = tile["of"][0].as_py()
+            if mode == "head":
+                similar[nodes != of] = False
+            elif tile["ti"][0].as_py() != tile["tj"][0].as_py():
                 block_of = tile["block"].to_numpy()
                 similar &= block_of[:, None] != block_of[None, :]
+            if mode == "bucket":
+                family, band = tile["family"].to_numpy(), tile["bands"].combine_chunks().flatten().to_numpy().reshape(n, bands)
+                here = int(np.flatnonzero((band == of).all(0))[0])
+                earlier = (band[:, None, :here] == band[None, :, :here]).any(2) if similar.any() else similar
+                similar &= (family[:, None] != family[None, :]) & ~earlier
             a, b = np.nonzero(similar)
+            if mode == "head":
+                if len(b):
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[b]), pa.array(np.full(len(b), of)), pa.array(np.zeros(len(b), np.int64)), pa.array(np.zeros(len(b), np.int64))], ["u", "v", "text_links", "links"])
+                continue
             root = roots_of(n, a, b)
             text_links, links = similar.sum(1), similar @ tile["copies"].to_numpy()
             some = text_links > 0
             if some.any():
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(nodes[root[some]]), pa.array(text_links[some].astype(np.int64)), pa.array(links[some].astype(np.int64))], ["u", "v", "text_links", "links"])
 
-    tiles = texts.mapInArrow(sets, "node long, root long, copies long, blocks int, block int, grams array<long>")
-    tiles = tiles.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"ti": F.least("block", "other"), "tj": F.greatest("block", "other")})
-    tiles = tiles.repartition("root", "ti", "tj").sortWithinPartitions("root", "ti", "tj")
-    linked = cut(tiles.select("root", "ti", "tj", "node", "copies", "block", "grams").mapInArrow(verify, "u long, v long, text_links long, links long"))
-    classes = components(linked.select("u", "v"))
-    classes = cut(classes)
+    def blocked(places: DataFrame) -> DataFrame:
+        """places (of, node, ...) with ti, tj, block: the tiles in which the members of each `of` meet, block by block."""
+        sizes = places.groupBy("of").agg(F.count("*").alias("n"))
+        out = places.join(sizes, "of").withColumn("blocks", F.expr(f"cast((n + {block - 1}) div {block} as int)")).withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+        out = out.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        return out.withColumns({"ti": F.least("block", "other"), "tj": F.greatest("block", "other")})
+
+    def checked(tiles: DataFrame, mode: str) -> DataFrame:
+        found = tiles.join(grams, "node").select("of", "ti", "tj", "node", "copies", "block", "grams", *(["family", "bands"] if mode == "bucket" else []))
+        found = found.repartition("of", "ti", "tj").sortWithinPartitions("of", "ti", "tj")
+        return cut(found.mapInArrow(lambda batches: verify(mode, batches), "u long, v long, text_links long, links long"))
+
+    signs = cut(rows.mapInArrow(sign, f"id {kind}, k long, node long, bands array<long>"))
+    heads = cut(signs.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k")).alias("head"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")))
+    probes = heads.select("node", F.explode("bands").alias("h"))
+    buckets = cut(probes.groupBy("h").agg(F.min("node").alias("m"), F.max("node").alias("x")).filter("m < x").select("h", "m"))
+    placed = cut(probes.join(buckets, "h"))
+    wanted = heads.join(placed.select("node").distinct(), "node", "left_semi").select("node", F.col("head.k").alias("k"), "copies", "bands")
+    texts = rows.join(wanted, "k").dropDuplicates(["node"]) if _repeats(signs) else rows.join(wanted, "k")
+    grams = cut(texts.select("node", "copies", "bands", "text").mapInArrow(sets, "node long, copies long, bands array<long>, grams array<long>"))
+
+    # 1: members against their heads; a head goes to each block of its members
+    pairs = placed.filter("node <> m").select(F.col("m").alias("of"), "node").distinct()
+    many = pairs.groupBy("of").agg(F.count("*").alias("n")).withColumn("blocks", F.expr(f"cast((n + {block - 1}) div {block} as int)"))
+    members = pairs.join(many, "of").select("of", "node", F.expr("cast(pmod(xxhash64(node), blocks) as int)").alias("ti"))
+    tops = many.select("of", F.col("of").alias("node"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("ti"))
+    stars = checked(members.unionByName(tops).withColumns({"tj": F.lit(0), "block": F.lit(0)}), "head")
+    families = cut(components(stars.select("u", "v")))
+    # 2: within families
+    inner = checked(blocked(families.select(F.col("root").alias("of"), "node")), "family")
+    # 3: across the families of a bucket
+    several = placed.join(families, "node", "left").select(F.col("h").alias("of"), "node", F.coalesce("root", "node").alias("family"))
+    mixed = several.groupBy("of").agg(F.min("family").alias("low"), F.max("family").alias("high")).filter("low < high").select("of")
+    across = checked(blocked(several.join(mixed, "of")), "bucket")
+
+    linked = inner.unionByName(across)
+    classes = cut(components(linked.select("u", "v")))
     counts = cut(linked.groupBy(F.col("u").alias("node")).agg(F.sum("text_links").alias("text_links"), F.sum("links").alias("links")))
     members = cut(heads.select("node", "head", "copies").join(classes, "node", "left").join(counts, "node", "left").withColumn("root", F.coalesce("root", "node")))
     tops = cut(members.groupBy("root").agg(F.min("head").alias("top"), F.sum("copies").alias("class_size")))
@@ -221,6 +256,11 @@ def join(docs: DataFrame, config: Config = Config(), id_col: str = "doc_id", tex
     return Joined(signs.select("id", "k", "node"), cut(nodes))
 
 
+def _repeats(signs: DataFrame) -> bool:
+    """Whether any row repeats another's id and text."""
+    return bool(signs.groupBy("id", "k").count().filter("count > 1").limit(1).count())
+
+
 def mix_fast(values: np.ndarray, factor: np.uint64) -> np.ndarray:
     """One random ordering of already mixed values."""
     x = values * factor
@@ -239,6 +279,6 @@ def keep_one(docs: DataFrame, config: Config = Config(), id_col: str = "doc_id",
     made = join(docs, config, id_col, text_col)
     kept = made.nodes.filter("k = class_k").select("k")
     out = docs.withColumn("_loom_k", F.xxhash64(id_col, text_col)).join(kept.withColumnRenamed("k", "_loom_k"), "_loom_k", "left_semi")
-    if made.rows.groupBy("id", "k").count().filter("count > 1").limit(1).count():
+    if _repeats(made.rows):
         out = out.dropDuplicates(["_loom_k"])
     return out.select(*docs.columns)

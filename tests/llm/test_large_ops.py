@@ -289,7 +289,21 @@ def test_ngram_join_of_nothing(empty):
     assert ngram_join.near_duplicates(empty).count() == 0 and ngram_join.keep_one(empty).count() == 0
 
 
+def test_chance_candidates_chain_nothing(spark, monkeypatch):
+    """Texts of which each shares a band with the next, but is not similar: all are candidates in turn, and none is a family with another."""
+    chain = [" ".join(f"w{j}" for j in range(40 * i, 40 * i + 60)) for i in range(40)]
+    twins = [chain[7] + " tail", chain[7] + " tail end"]
+    docs = spark.createDataFrame(list(enumerate(chain + twins)), "doc_id long, text string")
+    monkeypatch.setattr(ngram_join, "bands_for", lambda *_: (30, 1))  # one hash a band: chance edges abound
+    rows = docs.collect()
+    root, links = brute_classes(rows)
+    got = {g.doc_id: (g.class_id, g.links) for g in ngram_join.near_duplicates(docs, ngram_join.Config(block=4)).collect()}
+    assert got == {r.doc_id: (rows[root[i]].doc_id, links[i]) for i, r in enumerate(rows)}
+
+
 def test_bands_reach_the_recall():
+    with pytest.raises(ValueError, match="recall"):
+        ngram_join.bands_for(0.01, 0.999, 16)
     for threshold in (0.5, 0.8, 0.95):
         bands, rows = ngram_join.bands_for(threshold, 0.99, 128)
         assert bands * rows <= 128 and 1 - (1 - threshold**rows) ** bands >= 0.99
