@@ -21,48 +21,74 @@ class Config:
     edits: int = 2  # of UTF-8 bytes
     least_bytes: int = 20  # shorter lines go only as exact repeats
     per_bucket: int = 1_500_000  # segment entries that meet in one task, about
+    per_key: int = 20_000  # entries of one segment that meet in one task; those of a more frequent one meet block by block
+    census: int = 64  # segments are counted for that over one distinct line in so many; it balances load and never changes a result
     most_bits: int = 1 << 27  # of a broadcast filter of line hashes
 
 
-def within(a: bytes, b: bytes, edits: int) -> bool:
-    """Whether the edit distance is at most `edits`. Common ends go first; then the band of 2 * edits + 1 diagonals is followed with a word of bits for each number of errors."""
-    if abs(len(a) - len(b)) > edits:
-        return False
-    least = min(len(a), len(b))
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    differ = np.flatnonzero(x[:least] != y[:least])
-    head = int(differ[0]) if len(differ) else least
-    rest = least - head
-    differ = np.flatnonzero(x[len(x) - rest :][::-1] != y[len(y) - rest :][::-1])
-    tail = int(differ[0]) if len(differ) else rest
-    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
-    m, n = len(a), len(b)
-    if not m or not n:
-        return max(m, n) <= edits
-    places: dict[int, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
+def _matrix(data: np.ndarray, start: np.ndarray, size: np.ndarray, width: int, fill: int) -> np.ndarray:
+    """A row for each span, padded with fill."""
+    place = np.arange(width)
+    out = data[np.minimum(start[:, None] + place, len(data) - 1)].astype(np.int16)
+    out[place >= size[:, None]] = fill
+    return out
+
+
+def within(one: list[bytes], two: list[bytes], edits: int, at_once: int = 1 << 21) -> np.ndarray:
+    """Whether the edit distance of each pair is at most `edits`.
+
+    Common ends go first. Of the rest a band of 2 * edits + 1 diagonals is followed byte by byte, a word of bits for each
+    number of errors, for many pairs at once; pairs of like length go together.
+    """
+    out = np.zeros(len(one), bool)
+    m, n = (np.array([len(x) for x in side], np.int64) for side in (one, two))
+    a, b = (np.frombuffer(b"".join(side) or b"\0", np.uint8) for side in (one, two))
+    at, bt = np.cumsum(m) - m, np.cumsum(n) - n
+    todo = np.flatnonzero(np.abs(m - n) <= edits)
+    todo = todo[np.argsort(np.maximum(m, n)[todo], kind="stable")]
+    i = 0
+    while i < len(todo):
+        size = np.maximum(m, n)[todo[i:]] + 1
+        j = i + max(1, int(np.searchsorted(np.arange(1, len(size) + 1) * size, at_once, side="right")))
+        some = todo[i:j]
+        out[some] = _band(a, at[some], m[some], b, bt[some], n[some], edits)
+        i = j
+    return out
+
+
+def _band(a: np.ndarray, at: np.ndarray, m: np.ndarray, b: np.ndarray, bt: np.ndarray, n: np.ndarray, edits: int) -> np.ndarray:
+    least, width = np.minimum(m, n), int(np.minimum(m, n).max(initial=0))
+    place = np.arange(width)
+    short = place >= least[:, None]
+    ends = []
+    for x, y in ((at[:, None] + place, bt[:, None] + place), ((at + m)[:, None] - 1 - place, (bt + n)[:, None] - 1 - place)):
+        differ = (a[np.clip(x, 0, len(a) - 1)] != b[np.clip(y, 0, len(b) - 1)]) | short
+        ends.append(np.where(differ.any(1), differ.argmax(1), least) if width else least)
+    head = ends[0]
+    tail = np.minimum(ends[1], least - head)
+    at, bt, m, n = at + head, bt + head, m - head - tail, n - head - tail
+    x, y = (_matrix(d, p, k, int(k.max(initial=0)), f) for d, p, k, f in ((a, at, m, -1), (b, bt, n, -2)))
     full = (1 << 2 * edits + 1) - 1
-    # bit d + edits of state e: some alignment of e errors has used j bytes of b and j + d of a
-    state = [1 << edits]
+    # bit d + edits of state e: some alignment of e errors has used j bytes of the second and j + d of the first
+    state = [np.full(len(m), 1 << edits, np.int64)]
     for _ in range(edits):
-        state.append(state[-1] << 1 & full)
-    for j, c in enumerate(b):
-        same = (places.get(c, 0) << edits) >> j & full
-        high = m - (j + 1) + edits
-        fits = full if high >= 2 * edits else ((2 << high) - 1 if high >= 0 else 0)
-        if j + 1 < edits:
-            fits &= full << (edits - j - 1)
-        after = []
+        state.append(state[-1] << 1 & full | state[-1])
+    x = np.pad(x, ((0, 0), (edits, edits + max(0, y.shape[1] - x.shape[1]))), constant_values=-1)
+    final = [s.copy() for s in state]
+    for j in range(y.shape[1]):
+        same = sum((x[:, j + d] == y[:, j]).astype(np.int64) << d for d in range(2 * edits + 1))
+        ok = sum(((j + 1 + d - edits >= 0) & (j + 1 + d - edits <= m)).astype(np.int64) << d for d in range(2 * edits + 1))
+        after: list[np.ndarray] = []
         for e, now in enumerate(state):
             go = now & same
             if e:
-                go |= state[e - 1] | state[e - 1] >> 1 | after[e - 1] << 1
-            after.append(go & fits)
+                go = go | state[e - 1] | state[e - 1] >> 1 | after[e - 1] << 1
+            after.append(go & ok)
         state = after
-        if not any(state):
-            return False
-    return any(s >> (m - n + edits) & 1 for s in state)
+        here = n == j + 1
+        for f, now in zip(final, state, strict=True):
+            f[here] = now[here]
+    return np.logical_or.reduce([f >> np.clip(m - n + edits, 0, 2 * edits) & 1 for f in final]).astype(bool) & (np.abs(m - n) <= edits)
 
 
 def _lines(column: pa.Array, least: int, short: bool = False) -> tuple[np.ndarray, ...]:
@@ -184,20 +210,48 @@ def dropped_lines(docs: DataFrame, config: Config, id_col: str, text_col: str) -
 
         return rows.mapInArrow(run, f"h long, id {kind}, k long, line int" + ", body binary" * texts).withColumn("none", F.col("id").isNull())
 
+    def entries(batch: pa.RecordBatch, choose) -> tuple[np.ndarray, ...]:
+        """Key, line, sketch and whether it is a probe, of each entry of a batch's distinct lines, of those whose hash is chosen."""
+        start, end, _, _, h, data, sums = _lines(batch.column("text"), least)
+        h, once = np.unique(h, return_index=True)
+        some = choose(h)
+        h, start, end = h[some], start[once[some]], end[once[some]]
+        key, owner, probe = segment_keys(start, end, sums, edits)
+        return key, h[owner], sketches(data, start, end)[owner], probe
+
+    def census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            key, line, _, _ = entries(batch, lambda h: mix(h) % np.uint64(config.census) == 0)
+            yield pa.RecordBatch.from_pydict({"key": pa.array(signed(key)), "line": pa.array(signed(line))})
+
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recent = np.zeros(0, np.uint64)  # lines that this task has sent, so that a line in many texts is sent about once
+
+        def fresh(h: np.ndarray) -> np.ndarray:
+            nonlocal recent
+            new = recent[np.minimum(np.searchsorted(recent, h), len(recent) - 1)] != h if len(recent) else np.ones(len(h), bool)
+            recent = np.union1d(recent, h) if len(recent) < 1 << 20 else h
+            return new
+
         for batch in slices(batches, "text"):
-            start, end, _, _, h, data, sums = _lines(batch.column("text"), least)
-            if not len(h):
+            key, line, sketch, probe = entries(batch, fresh)
+            if not len(key):
                 continue
-            _, once = np.unique(h, return_index=True)
-            key, owner, probe = segment_keys(start[once], end[once], sums, edits)
-            sketch = sketches(data, start[once], end[once])
+            if len(hot):
+                to = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+                n = np.where(hot[to] == key, blocks[to], 1)
+                which = np.repeat(np.arange(len(key)), n)
+                other = (np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint64)
+                key, line, sketch, probe, n = key[which], line[which], sketch[which], probe[which], n[which]
+                own = mix(line) % n.astype(np.uint64)  # an indexed line meets all blocks of probes, and a probe all blocks of lines
+                tile = np.where(probe, other << np.uint64(32) | own, own << np.uint64(32) | other)
+                key = np.where(n > 1, mix(key + mix(tile)), key)
             bucket = (key >> np.uint64(33)).astype(np.int64) % buckets
             order = np.argsort(bucket, kind="stable")
             used, first = np.unique(bucket[order], return_index=True)
             ends = np.append(first[1:], len(order))
             short = (key & np.uint64(0x7FFFFFFF)).astype(np.int64) << 1 | probe  # tells keys of a bucket apart; verification takes care of the rest
-            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), list_column((short - (1 << 31)).astype(np.int32)[order], ends, pa.int32()), list_column(signed(h[once][owner])[order], ends, pa.int64()), list_column(signed(sketch[owner])[order], ends, pa.int64())], ["bucket", "keys", "lines", "sketches"])
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), list_column((short - (1 << 31)).astype(np.int32)[order], ends, pa.int32()), list_column(signed(line)[order], ends, pa.int64()), list_column(signed(sketch)[order], ends, pa.int64())], ["bucket", "keys", "lines", "sketches"])
 
     def candidates(group: pa.Table) -> pa.Table:
         key = group["keys"].combine_chunks().flatten().to_numpy().astype(np.int64) + (1 << 31)
@@ -208,7 +262,14 @@ def dropped_lines(docs: DataFrame, config: Config, id_col: str, text_col: str) -
     seen = occurrences(short=True).groupBy("h").agg(_first().alias("first"), F.count("*").alias("n"))
     repeated = cut(seen.filter("n > 1").select("h", "first"))
     lines = occurrences().count()
-    buckets = groups_for(lines * ((edits + 1) + (edits + 1) * (edits + 2)), config.per_bucket)
+    n_entries = lines * ((edits + 1) + (edits + 1) * (edits + 2))
+    buckets = groups_for(n_entries, config.per_bucket)
+    hot, blocks = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if n_entries > config.per_key:
+        often = rows.mapInArrow(census, "key long, line long").distinct().groupBy("key").agg((F.count("*") * config.census).alias("n")).filter(F.col("n") > config.per_key).toArrow()  # at most one for per_key entries
+        hot = often["key"].to_numpy().astype(np.int64).view(np.uint64)
+        order = np.argsort(hot)
+        hot, blocks = hot[order], np.ceil(often["n"].to_numpy() / config.per_key).astype(np.int64)[order]
     pairs = cut(rows.mapInArrow(keys, "bucket int, keys array<int>, lines array<long>, sketches array<long>").groupBy("bucket").applyInArrow(candidates, "a long, b long").distinct())
     asked = cut(pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct())
     bodies = occurrences(*_filter_of(asked, "h", config.most_bits), texts=True)
@@ -219,8 +280,8 @@ def dropped_lines(docs: DataFrame, config: Config, id_col: str, text_col: str) -
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [within(a, b, edits) for a, b in zip(batch.column("body_a").to_pylist(), batch.column("body_b").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("h").filter(pa.array(good, pa.bool_()))], ["h"])
+            good = within(batch.column("body_a").to_pylist(), batch.column("body_b").to_pylist(), edits)
+            yield pa.RecordBatch.from_arrays([batch.column("h").filter(pa.array(good))], ["h"])
 
     near = cut(met.mapInArrow(verify, "h long").distinct())
     fate = cut(repeated.join(near.withColumn("near", F.lit(True)), "h", "full"))  # one plain table, so that Spark can split a hot line in the join

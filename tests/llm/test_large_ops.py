@@ -431,7 +431,9 @@ def test_within(a, edits, most):
             b.insert(at, c)
         elif at < len(b):
             b[at : at + 1] = [] if kind == 1 else [c]
-    assert line_dedup.within(a, bytes(b), most) == (distance(a, bytes(b)) <= most)
+    one, two = [a, b"", a, b"abab" + a + b"ab"], [bytes(b), a, a, b"abab" + bytes(b) + b"ab"]
+    for at_once in (1, 1 << 21):
+        assert line_dedup.within(one, two, most, at_once).tolist() == [distance(x, y) <= most for x, y in zip(one, two, strict=True)]
 
 
 def brute_lines(rows, least=20, edits=2):
@@ -460,6 +462,22 @@ def test_short_lines_go_as_exact_repeats(spark):
     assert got == {1: ("Les.\nabc\n\n  \nabd\né", 0), 2: ("\n  \nLet.", 3), 3: ("Les. ", 1)}
 
 
+def test_lines_that_share_a_very_common_segment(spark):
+    """All lines have the same first third, so one segment holds them all; it is compared block by block."""
+    r = random.Random(12)
+    tails = ["".join(r.choice("abcdef") for _ in range(24)) for _ in range(60)]
+    lines = []
+    for i in range(150):
+        t = list(r.choice(tails))
+        for _ in range(r.randint(0, 3)):
+            t[r.randrange(24)] = r.choice("abcdef")
+        lines.append((i, "the same start" + "".join(t)))
+    docs = spark.createDataFrame(lines, "doc_id long, text string")
+    got = {x.doc_id: (x.doc_id, x.text, x.lines_dropped) for x in line_dedup.line_dedup(docs, line_dedup.Config(per_bucket=300, per_key=20, census=1)).collect()}
+    want = brute_lines(docs.collect())
+    assert sum(w[2] for w in want) > 40 and sorted(got.values()) == sorted(want)
+
+
 def test_line_dedup(spark, messy, empty):
     r = random.Random(6)
     base = ["".join(r.choice("abcdefgh é") for _ in range(r.randint(18, 50))) for _ in range(10)]
