@@ -22,7 +22,7 @@ class Config:
     least_bytes: int = 20  # shorter lines go only as exact repeats
     per_bucket: int = 1_500_000  # segment entries that meet in one task, about
     per_key: int = 20_000  # entries of one segment that meet in one task; those of a more frequent one meet block by block
-    census: int = 64  # segments are counted for that over one distinct line in so many; it balances load and never changes a result
+    census: int = 64  # segments are counted over one distinct line in so many; that balances load and never changes a result
     most_bits: int = 1 << 27  # of a broadcast filter of line hashes
 
 
@@ -213,9 +213,9 @@ def dropped_lines(docs: DataFrame, config: Config, id_col: str, text_col: str) -
     def entries(batch: pa.RecordBatch, choose) -> tuple[np.ndarray, ...]:
         """Key, line, sketch and whether it is a probe, of each entry of a batch's distinct lines, of those whose hash is chosen."""
         start, end, _, _, h, data, sums = _lines(batch.column("text"), least)
-        h, once = np.unique(h, return_index=True)
-        some = choose(h)
-        h, start, end = h[some], start[once[some]], end[once[some]]
+        some = np.flatnonzero(choose(h))
+        h, once = np.unique(h[some], return_index=True)
+        start, end = start[some[once]], end[some[once]]
         key, owner, probe = segment_keys(start, end, sums, edits)
         return key, h[owner], sketches(data, start, end)[owner], probe
 
@@ -261,15 +261,13 @@ def dropped_lines(docs: DataFrame, config: Config, id_col: str, text_col: str) -
 
     seen = occurrences(short=True).groupBy("h").agg(_first().alias("first"), F.count("*").alias("n"))
     repeated = cut(seen.filter("n > 1").select("h", "first"))
-    lines = occurrences().count()
-    n_entries = lines * ((edits + 1) + (edits + 1) * (edits + 2))
+    sampled = cut(rows.mapInArrow(census, "key long, line long").distinct())
+    n_entries = sampled.count() * config.census
     buckets = groups_for(n_entries, config.per_bucket)
-    hot, blocks = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    if n_entries > config.per_key:
-        often = rows.mapInArrow(census, "key long, line long").distinct().groupBy("key").agg((F.count("*") * config.census).alias("n")).filter(F.col("n") > config.per_key).toArrow()  # at most one for per_key entries
-        hot = often["key"].to_numpy().astype(np.int64).view(np.uint64)
-        order = np.argsort(hot)
-        hot, blocks = hot[order], np.ceil(often["n"].to_numpy() / config.per_key).astype(np.int64)[order]
+    often = sampled.groupBy("key").agg((F.count("*") * config.census).alias("n")).filter(F.col("n") > config.per_key).toArrow()  # at most one for per_key entries
+    hot = often["key"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(hot)
+    hot, blocks = hot[order], np.ceil(often["n"].to_numpy() / config.per_key).astype(np.int64)[order]
     pairs = cut(rows.mapInArrow(keys, "bucket int, keys array<int>, lines array<long>, sketches array<long>").groupBy("bucket").applyInArrow(candidates, "a long, b long").distinct())
     asked = cut(pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct())
     bodies = occurrences(*_filter_of(asked, "h", config.most_bits), texts=True)

@@ -492,7 +492,7 @@ def test_line_dedup(spark, messy, empty):
             lines.append("".join(s))
         rows.append((i * 11 % 70, "\n".join(lines) if i % 9 else None, i))
     docs = spark.createDataFrame(rows, "doc_id long, text string, lines int")
-    got = {x.doc_id: (x.doc_id, x.text, x.lines_dropped) for x in line_dedup.line_dedup(docs, line_dedup.Config(per_bucket=200)).collect()}
+    got = {x.doc_id: (x.doc_id, x.text, x.lines_dropped) for x in line_dedup.line_dedup(docs, line_dedup.Config(per_bucket=200, census=1)).collect()}
     want = brute_lines(docs.collect())
     assert sum(w[2] for w in want) > 40 and sorted(got.values()) == sorted(want)
     plain = messy.dropDuplicates(["doc_id"]).filter("doc_id is not null and doc_id <> 60")
