@@ -34,7 +34,7 @@ def _matrix(data: np.ndarray, start: np.ndarray, size: np.ndarray, width: int, f
     return out
 
 
-def within(one: list[bytes], two: list[bytes], edits: int, at_once: int = 1 << 21) -> np.ndarray:
+def within(one: list[bytes], two: list[bytes], edits: int, at_once: int = 1 << 18) -> np.ndarray:
     """Whether the edit distance of each pair is at most `edits`.
 
     Common ends go first. Of the rest a band of 2 * edits + 1 diagonals is followed byte by byte, a word of bits for each
@@ -142,7 +142,7 @@ def segment_keys(start: np.ndarray, end: np.ndarray, sums: np.ndarray, edits: in
     return tuple(np.concatenate(x) for x in (keys, owner, probe))
 
 
-def paired(keys: np.ndarray, lines: np.ndarray, probe: np.ndarray, sketch: np.ndarray, edits: int, chunk: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def paired(keys: np.ndarray, lines: np.ndarray, probe: np.ndarray, sketch: np.ndarray, edits: int, chunk: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Distinct pairs of lines of which one probes a key that the other is indexed under, and whose sketches allow so few edits; in chunks of bounded size."""
     order = np.lexsort((lines, probe, keys))
     keys, lines, probe, sketch = keys[order], lines[order], probe[order], sketch[order]

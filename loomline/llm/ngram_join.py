@@ -134,7 +134,7 @@ def join(docs: DataFrame, config: Config = Config(), id_col: str = "doc_id", tex
     Texts of one word sequence are copies and go on as one node. Nodes that share a band's hash are a bucket, and all
     pairs of a bucket are candidates. No candidate joins anything before it is verified on full n-gram sets:
 
-    1. each node is verified against the least node of its buckets; components of these links are families;
+    1. each node is verified against the least node of each of its buckets; its family is the least that it is similar to, else its own;
     2. all pairs within a family are verified;
     3. a bucket that holds several families has the pairs across them verified, each pair in the first band it shares.
 
@@ -236,7 +236,8 @@ def join(docs: DataFrame, config: Config = Config(), id_col: str = "doc_id", tex
     members = pairs.join(many, "of").select("of", "node", F.expr("cast(pmod(xxhash64(node), blocks) as int)").alias("ti"))
     tops = many.select("of", F.col("of").alias("node"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("ti"))
     stars = checked(members.unionByName(tops).withColumns({"tj": F.lit(0), "block": F.lit(0)}), "head")
-    families = cut(components(stars.select("u", "v")))
+    families = stars.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+    families = cut(families.unionByName(families.select(F.col("root").alias("node"), "root").distinct().join(families.select("node"), "node", "left_anti")))
     # 2: within families
     inner = checked(blocked(families.select(F.col("root").alias("of"), "node")), "family")
     # 3: across the families of a bucket
