@@ -19,10 +19,11 @@ class Config:
     sample_rows: int = 20_000  # rows to fit codebooks on: those whose ids hash lowest; every row is indexed
     parallel_threshold: float = 0.2
     rounds: int = 8
-    rerank: int = 100  # rows of each block that are reranked exactly, for each query
-    query_block: int = 4096
+    rerank: int = 100  # rows of each block that are measured exactly for each query, at least
+    sure: float = 0.995  # share of errors of the codes that the margin for further rows covers
     least_block: int = 1024
     most_block: int = 65_536
+    block_bytes: int = 32 << 20  # of the vectors of a block, of rows or of queries
     seed: int = 3
 
 
@@ -33,6 +34,7 @@ class Quantizer:
         self.dim, self.m = dim, -(-dim // 4) * 2
         self.extra = max(0.0, (dim - 1) * config.parallel_threshold**2 / (1 - config.parallel_threshold**2) - 1)
         self.books = np.zeros((self.m, 16, 2))
+        self.spread = 1.0
 
     def _split(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         padded = np.zeros((len(x), self.m * 2))
@@ -75,6 +77,24 @@ class Quantizer:
                 self.books[j][full] = np.linalg.solve(count[full, None, None] * np.eye(2) + self.extra * gram[full], total[full][:, :, None])[:, :, 0]
         return self
 
+    def residual(self, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """x less what its codes stand for."""
+        return x - self.books[np.arange(self.m), codes].reshape(len(x), -1)[:, : self.dim]
+
+    def calibrate(self, x: np.ndarray, k: int, sure: float, asks: int = 256) -> "Quantizer":
+        """Set spread: what share of |query| |residual| the error of a near row's inner product stays within, for `sure` of all. Measured on the k nearest rows in x of some of its rows."""
+        if len(x) > k:
+            residual = self.residual(x, self.encode(x))
+            off = np.sqrt((residual**2).sum(1))
+            errors = []
+            for i in range(0, len(x), max(1, len(x) // asks)):
+                near = ((x - x[i]) ** 2).sum(1)
+                near[i] = np.inf
+                best = np.argpartition(near, k - 1)[:k]
+                errors.append(np.abs(residual[best] @ x[i]) / np.maximum(off[best] * np.sqrt((x[i] ** 2).sum()), 1e-300))
+            self.spread = min(1.0, float(np.quantile(np.concatenate(errors), sure)))
+        return self
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """(queries, m / 2, 256): the inner products of two subspaces for each byte of two four-bit codes."""
         t = np.einsum("qmd,mcd->qmc", self._split(q)[0], self.books).astype(np.float32)
@@ -99,7 +119,8 @@ def search(vectors: DataFrame, k: int = 10, queries: Column | None = None, confi
     or an unusable vector, or of another length than most (of equally frequent, the longer), take no part. Of query rows
     that share an id the smallest vector asks; as candidates all count. Rows are scanned in blocks of a bounded size,
     each against blocks of queries: nearness is maximum inner product less half the squared norm, read from tables of
-    four-bit codes, and each block's best config.rerank are measured exactly. Fewer candidates than k give fewer rows.
+    four-bit codes. Each block's best config.rerank are measured exactly, then every row whose nearness could beat the
+    k-th of those by the error of its codes, however many they are. Fewer candidates than k give fewer rows.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v")))
@@ -110,23 +131,27 @@ def search(vectors: DataFrame, k: int = 10, queries: Column | None = None, confi
     dim, total = shape[0]["dim"], shape[0]["n"]
     rows = rows.filter(F.size("v") == dim)
     sample = rows.orderBy(F.xxhash64("id"), "id", "v").limit(config.sample_rows).toArrow()
-    book = spark.sparkContext.broadcast(Quantizer(dim, config).fit(_matrix(sample["v"], dim), config))
-    block = min(config.most_block, max(config.least_block, total // 64))
+    known = _matrix(sample["v"], dim)
+    book = spark.sparkContext.broadcast(Quantizer(dim, config).fit(known, config).calibrate(known, k, config.sure))
+    most = max(1, min(config.most_block, config.block_bytes // (8 * dim)))
+    block = min(most, max(config.least_block, total // 64))
     n_data = groups_for(total, block)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            codes = book.value.encode(_matrix(batch.column("v"), dim))
+            x = _matrix(batch.column("v"), dim)
+            codes = book.value.encode(x)
+            off = np.sqrt((book.value.residual(x, codes) ** 2).sum(1))
             packed = (codes[:, ::2] | codes[:, 1::2] << 4).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array([r.tobytes() for r in packed], pa.binary())], ["id", "v", "codes"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array([r.tobytes() for r in packed], pa.binary()), pa.array(off)], ["id", "v", "codes", "off"])
 
     asks = (F.col("id") % 100 == 0) if queries is None else queries
     wanted = rows.filter(asks).groupBy("id").agg(F.min("v").alias("v"))
     wanted = cut(wanted)
-    n_query = groups_for(wanted.count(), config.query_block)
-    coded = rows.mapInArrow(index, "id long, v array<double>, codes binary")
+    n_query = groups_for(wanted.count(), most)
+    coded = rows.mapInArrow(index, "id long, v array<double>, codes binary, off double")
     coded = coded.withColumn("data_block", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(n_data)).cast("int")).withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))))
     wanted = wanted.withColumn("query_block", F.pmod(F.xxhash64("id"), F.lit(n_query)).cast("int")).withColumn("data_block", F.explode(F.sequence(F.lit(0), F.lit(n_data - 1))))
     rerank = max(config.rerank, k)
@@ -137,7 +162,7 @@ def search(vectors: DataFrame, k: int = 10, queries: Column | None = None, confi
             data = data.sort_by("id")
             ids, x = data["id"].to_numpy(), _matrix(data["v"], dim)
             codes = np.frombuffer(b"".join(data["codes"].to_pylist()), np.uint8).reshape(len(ids), -1).astype(np.intp)
-            half = ((x**2).sum(1) / 2).astype(np.float32)
+            half, margin = ((x**2).sum(1) / 2).astype(np.float32), (book.value.spread * data["off"].to_numpy()).astype(np.float32)
             qid, q = asked["id"].to_numpy(), _matrix(asked["v"], dim)
             for i in range(0, len(qid), 64):
                 tables = book.value.tables(q[i : i + 64])
@@ -148,8 +173,12 @@ def search(vectors: DataFrame, k: int = 10, queries: Column | None = None, confi
                     near[ids == qid[a]] = -np.inf
                     best = np.arange(len(ids))
                     if len(ids) > rerank:
-                        best = np.flatnonzero(near >= np.partition(near, -rerank)[-rerank])
-                        best = best[np.argsort(-near[best], kind="stable")[:rerank]]
+                        best = np.argpartition(near, -rerank)[-rerank:]
+                        square = (q[a] ** 2).sum()
+                        apart = np.where(ids[best] == qid[a], np.inf, ((x[best] - q[a]) ** 2).sum(1))
+                        kth = (square - np.partition(apart, k - 1)[k - 1]) / 2
+                        near[best] = np.inf
+                        best = np.flatnonzero(near + margin * np.float32(np.sqrt(square)) >= kth)
                     best = best[ids[best] != qid[a]]
                     score = np.sqrt(((x[best] - q[a]) ** 2).sum(1))
                     best_k = np.lexsort((ids[best], score))[:k]

@@ -195,3 +195,19 @@ def test_nearest(spark):
     assert [i for i, _ in got[700]][:3] == [3, 701, 702]  # ties go to the smaller id
     assert ann.search(df.limit(0)).count() == 0
     assert {r.vec_id for r in ann.search(df.filter("vec_id in (100, 7, 9)")).collect()} == {7, 9}
+
+
+def test_nearest_in_one_large_block_of_clusters(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(5, 32))
+    x = centres[rng.integers(0, 5, 6000)] + 0.1 * rng.normal(size=(6000, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = defaultdict(set)
+    for r in ann.search(df, config=ann.Config(least_block=65_536, rerank=20)).collect():
+        found[r.query_id].add(r.vec_id)
+    hit = 0
+    for q, ids in found.items():
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(ids & set(np.argsort(d)[:10].tolist()))
+    assert len(found) == 60 and hit >= 0.95 * 600
