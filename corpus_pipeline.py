@@ -1,4 +1,9 @@
-"""From raw documents to packed training sequences: five stages, each over all that the one before it kept."""
+"""From raw documents to packed training sequences: five stages, each over all that the one before it kept.
+
+Rows may hold nulls in any column, share ids, be equal throughout, or have empty or very long texts, and columns may be
+named as the operators name theirs; all but the last stage return the columns they are given. What each operator makes of
+such rows is told in its docstring; the stages below say what that means for a document. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 
@@ -12,28 +17,28 @@ from loomline.llm.queries import fold, table, tokenizer_path
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go. A null or empty text is scored by its statistics; without any label every score is one half and all documents are rejected."""
     machine = quality.fit(docs, table(spark, sf_dir, "labels").filter(fold(4) != 2))
     return quality.keep_good(docs, machine)
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document or line has, but for two edits, go."""
+    """Lines that an earlier document or line has, but for two edits, go. Null, empty and blank texts stay; a document whose lines all went goes too."""
     return line_dedup.clean(docs)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays."""
+    """One document of each class of near-duplicates stays: the least id, null last. Texts without words are like nothing, so each stays; of rows that share id and text one stays."""
     return ngram_join.keep_one(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each source gives its target of words, repeats included."""
+    """Each source (null is one) gives its target of words, repeats included; a document comes out once for each pass that takes words of it."""
     return mixing.mixed_documents(docs)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences, with their ids."""
+    """Pieces of token sequences, with their ids; a null or empty text is its end token."""
     return packing.pack(docs, tokenizer_path(), tokenizer_path("byte_bpe_50k.tiktoken"), with_ids=True)
 
 
@@ -50,6 +55,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir, each written to the shared folder and read again by the next."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
