@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from loomline.llm.common import cut, flat, groups_for, mix, slices, spans
 
+#: Shards whose draws are added up together.
+_LOT = 1024
+
 
 @dataclass(frozen=True)
 class Config:
@@ -55,14 +58,22 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
 
 
 def word_counts(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(id_col).alias("hash"), F.xxhash64(id_col, text_col).alias("k"), F.monotonically_increasing_id().alias("uid"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(id_col, text_col).alias("k"), F.monotonically_increasing_id().alias("uid"), F.col(text_col).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             _, _, own = spans(*flat(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(np.bincount(own, minlength=batch.num_rows).astype(np.int64))], ["id", "source", "hash", "k", "uid", "size"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(np.bincount(own, minlength=batch.num_rows).astype(np.int64))], ["id", "source", "k", "uid", "size"])
+
+    return rows.mapInArrow(count, f"id {dict(rows.dtypes)['id']}, source string, k long, uid long, size long")
+
 
-    return rows.mapInArrow(count, f"id {dict(rows.dtypes)['id']}, source string, hash long, k long, uid long, size long")
+def running(rows: DataFrame, size: str, part: str, order: list[str]) -> DataFrame:
+    """rows with at: the sum of `size` over the rows of its source_no that go before, in order of part and then `order`. Parts are added up first, so a task holds one part, or a row for each part."""
+    before = lambda w, *by: F.coalesce(F.sum(size).over(w.orderBy(*by).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = rows.groupBy("source_no", part).agg(F.sum(size).alias(size)).select("source_no", part, before(W.partitionBy("source_no"), part).alias("_before"))
+    within = rows.withColumn("_within", before(W.partitionBy("source_no", part), *order))
+    return within.join(parts, ["source_no", part]).withColumn("at", F.col("_within") + F.col("_before")).drop("_within", "_before")
 
 
 @dataclass
@@ -77,12 +88,12 @@ class Mix:
 def plan(docs: DataFrame, config: Config = Config(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> Mix:
     """The mix of all rows.
 
-    The rows of a source, in order of a hash of their ids, are one run of words that is cut into blocks; a block's length
-    is fixed for its source. Each output shard draws how many blocks it takes of each source from a multinomial with the
+    The rows of a source, in order of a hash of their ids and texts, are one run of words that is cut into blocks; a
+    block's length is fixed for its source. Rows with a null or shared id so spread by their texts. Each output shard draws how many blocks it takes of each source from a multinomial with the
     target shares. A source's blocks are then taken in turn through a permutation of their numbers, a new one for each
     pass over the source; draws beyond a source's target are dropped and what is lacking fills a last shard, so that each
     source's words come within a block of its target and no block is used more than most_repeats times. Running totals
-    are taken in two steps of about sqrt(rows) each, so no task holds a whole source.
+    over rows and over shards are taken in two steps, so no task holds a whole source.
     """
     spark = docs.sparkSession
     sized = cut(word_counts(docs, id_col, text_col, source_col))
@@ -97,11 +108,8 @@ def plan(docs: DataFrame, config: Config = Config(), id_col: str = "doc_id", tex
     sources = spark.createDataFrame(table or [(None, 0, 0, 0.0, 1, 0, 0)], "source string, source_no int, source_size long, target double, block long, n_blocks long, n_slots long")
     n_rows = sum(n for _, _, n in totals)
     bits = max(1, int(np.ceil(np.log2(max(2, n_rows)) / 2)))
-    rows = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).select("id", "uid", "hash", "k", "size", "source_no", "source_size", "target", "block", F.expr(f"shiftrightunsigned(hash, {64 - bits})").alias("part"))
-    inner = rows.groupBy("source_no", "part").agg(F.sum("size").alias("part_size"))
-    inner = inner.withColumn("before", F.sum("part_size").over(W.partitionBy("source_no").orderBy("part").rowsBetween(W.unboundedPreceding, -1))).select("source_no", "part", F.coalesce("before", F.lit(0)).alias("before"))
-    running = F.coalesce(F.sum("size").over(W.partitionBy("source_no", "part").orderBy("hash", "id", "uid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("within", running).join(inner, ["source_no", "part"]).withColumn("at", F.col("within") + F.col("before")).select("id", "uid", "k", "source_no", "size", "at", "block", "source_size", "target")
+    rows = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).select("id", "uid", "k", "size", "source_no", "source_size", "target", "block", F.expr(f"shiftrightunsigned(k, {64 - bits})").alias("part"))
+    rows = running(rows, "size", "part", ["k", "id", "uid"]).select("id", "uid", "k", "source_no", "size", "at", "block", "source_size", "target")
     span = F.sequence(F.expr("at div block"), F.expr("(at + size - 1) div block"))
     pieces = rows.filter("size > 0").withColumn("block_no", F.explode(span)).select("uid", "k", "source_no", "block_no", F.expr("greatest(block_no * block - at, 0)").alias("first"), F.expr("least((block_no + 1) * block - at, size) - greatest(block_no * block - at, 0)").alias("words"))
 
@@ -127,9 +135,8 @@ def plan(docs: DataFrame, config: Config = Config(), id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(epoch), pa.array(block)], ["shard", "source_no", "slot", "epoch", "block_no"])
 
     if quota.sum():
-        drawn = spark.range(shards).mapInArrow(draw, "shard long, source_no int, n long")
-        before = F.coalesce(F.sum("n").over(W.partitionBy("source_no").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        drawn = drawn.withColumn("from_slot", before).withColumn("to_slot", F.col("from_slot") + F.col("n"))
+        drawn = spark.range(shards).mapInArrow(draw, "shard long, source_no int, n long").withColumn("lot", F.expr(f"shard div {_LOT}"))
+        drawn = running(drawn, "n", "lot", ["shard"]).withColumn("from_slot", F.col("at")).withColumn("to_slot", F.col("at") + F.col("n"))
         ends = drawn.groupBy("source_no").agg(F.max("to_slot").alias("drawn"))
         last = sources.join(ends, "source_no", "left").select(F.lit(shards).cast("long").alias("shard"), "source_no", F.coalesce("drawn", F.lit(0)).alias("from_slot"), F.col("n_slots").alias("to_slot"))
         taken = drawn.join(F.broadcast(sources.select("source_no", "n_slots")), "source_no").select("shard", "source_no", "from_slot", F.least("to_slot", "n_slots").alias("to_slot")).unionByName(last).filter("from_slot < to_slot")

@@ -124,6 +124,23 @@ def test_pack(messy, empty):
     assert packing.pack(empty, tokenizer_path()).count() == 0
 
 
+def test_running_totals_in_two_steps(spark):
+    rows = [(s, (i * 37) % 11, i, i % 5) for s in (0, 1) for i in range(200)]
+    got = mixing.running(spark.createDataFrame(rows, "source_no int, part long, i long, n long"), "n", "part", ["i"]).collect()
+    want, total = {}, Counter()
+    for s, part, i, n in sorted(rows):
+        want[s, i] = total[s]
+        total[s] += n
+    assert {(r.source_no, r.i): r["at"] for r in got} == want
+
+
+def test_rows_without_ids_spread_by_their_texts(spark):
+    docs = spark.createDataFrame([(None, f"some words {i}", "s") for i in range(400)], "doc_id long, text string, source string")
+    parts = Counter(r.k >> 60 for r in mixing.word_counts(docs, "doc_id", "text", "source").collect())
+    assert max(parts.values()) < 100
+    assert sum(r.taken for r in mixing.mix_counts(docs).collect()) == 1200
+
+
 def test_mix(messy, empty):
     rows = messy.collect()
     got = mixing.mix_counts(messy).collect()
