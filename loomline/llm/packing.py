@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import flat, groups_for, prefix_sums, slices, span_hash
+from loomline.llm.common import flat, groups_for, mix, prefix_sums, slices, span_hash
 
 #: First bytes of characters that a Unicode white space may begin with.
 _MAYBE_SPACE = np.zeros(256, bool)
@@ -144,12 +144,13 @@ def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, ca
     """Pieces of documents in sequences of at most `capacity` tokens: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, if asked for).
 
     A document's tokens, with end_id after them, are cut into full pieces and one rest; a null text counts as empty and
-    has end_id alone. Documents are dealt to random groups of about per_group rows, and each group is packed by itself,
-    so no task holds more than its group. Ties go by id and start. Each row is packed, repeated ones too; an empty table
+    has end_id alone. Rests are dealt to random groups of about per_group rows, and each group is packed by itself, so no
+    task holds more than its group. Full pieces fill a sequence each and are dealt one by one, so that a very long document
+    burdens no group. Ties go by id and start. Each row is packed, repeated ones too; an empty table
     gives an empty result; other columns are ignored.
     """
     groups = groups_for(docs.count(), per_group)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.monotonically_increasing_id()), F.lit(groups)).cast("int").alias("bin_group"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.lit(seed), F.col(id_col), F.monotonically_increasing_id()).alias("h"))
     kind = dict(rows.dtypes)["id"]
     schema = f"bin_group int, id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
 
@@ -166,7 +167,9 @@ def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, ca
                     if with_ids:
                         bodies.append(part.astype(np.int32))
             index = pa.array(own, pa.int64())
-            columns = [batch.column("bin_group").take(index), batch.column("id").take(index), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64()), pa.array(n[own].astype(np.int64))]
+            alone = np.where(np.array(lengths) == capacity, np.array(starts) + 1, 0).astype(np.uint64)
+            group = mix(batch.column("h").to_numpy()[own].view(np.uint64) + alone * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(groups)
+            columns = [pa.array(group.astype(np.int32)), batch.column("id").take(index), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64()), pa.array(n[own].astype(np.int64))]
             if with_ids:
                 columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(np.concatenate(bodies))))
             yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in schema.split(", ")])

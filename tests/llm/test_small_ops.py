@@ -124,6 +124,14 @@ def test_pack(messy, empty):
     assert packing.pack(empty, tokenizer_path()).count() == 0
 
 
+def test_a_long_document_is_dealt_to_many_groups(spark):
+    docs = spark.createDataFrame([(None, "word " * 5000), *((i, f"short text {i}") for i in range(40))], "doc_id long, text string")
+    got = packing.pack(docs, tokenizer_path(), capacity=64, per_group=4).collect()
+    groups = Counter(g.sequence_id >> 32 for g in got if g.doc_id is None and g.length == 64)
+    assert len(groups) > 5 and max(groups.values()) < sum(groups.values()) / 3
+    assert len({g.sequence_id for g in got if g.length == 64}) == sum(groups.values())
+
+
 def test_running_totals_in_two_steps(spark):
     rows = [(s, (i * 37) % 11, i, i % 5) for s in (0, 1) for i in range(200)]
     got = mixing.running(spark.createDataFrame(rows, "source_no int, part long, i long, n long"), "n", "part", ["i"]).collect()
