@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomline.llm import line_dedup, mixing, ngram_join, packing, quality
-from loomline.llm.common import saved
+from loomline.llm.common import dropped, saved
 from loomline.llm.queries import fold, table, tokenizer_path
 
 
@@ -55,10 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir, each written to the shared folder and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents of sf_dir, each written to the shared folder and read again by the next; what a stage wrote goes once the next one has written. The last written table stays, as the result reads it."""
+    docs, held = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = saved(docs)
+            if held is not None:
+                dropped(held)
+            held = docs
     return docs
