@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
@@ -10,6 +12,7 @@ from tokenizers import Tokenizer
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
+from loomline.llm.common import shared_folder  # noqa: E402
 from loomline.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path  # noqa: E402
 
 
@@ -60,4 +63,7 @@ def test_messy_rows_pass_every_stage(spark, messy, empty, tables):
 
 
 def test_run(spark, tables):
+    left = lambda: set(Path(urlparse(shared_folder(spark)).path).glob("saved-*"))
+    before = left()
     assert corpus_pipeline.run(spark, tables).filter(F.col("length") > 0).count() > 0
+    assert len(left() - before) == 1  # what the last stage reads
