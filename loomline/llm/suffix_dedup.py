@@ -91,13 +91,13 @@ class Bundle:
             start, end, trigger, phrase = (np.concatenate([x[~cut], y]) for x, y in ((start, each), (end, each + length), (trigger, mix(own)), (phrase, own)))
         doc = np.searchsorted(self.at, start, side="right") - 1
         part = ((trigger >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
-        key = trigger << np.uint64(32) | phrase & np.uint64(0xFFFFFFFF)  # its upper half tells triggers of a part apart, its lower half phrases
-        order = np.lexsort((doc, key, part))
-        start, end, doc, part, key = (x[order] for x in (start, end, doc, part, key))
-        new = np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]))[: len(key)]
+        short = trigger.astype(np.uint32)  # with the part, it tells triggers apart; two that it confuses are only looked at together
+        order = np.lexsort((doc, phrase, short, part))
+        start, end, doc, part, phrase, short = (x[order] for x in (start, end, doc, part, phrase, short))
+        new = np.append(True, (phrase[1:] != phrase[:-1]) | (short[1:] != short[:-1]) | (part[1:] != part[:-1]))[: len(phrase)]
         self.occurrence = np.cumsum(new) - 1  # the entry of each occurrence
         self.occurs = (start, end, doc)
-        self.start, self.end, self.doc, self.part, self.key = (x[new] for x in (start, end, doc, part, key))
+        self.start, self.end, self.doc, self.part, self.phrase, self.trigger = (x[new] for x in (start, end, doc, part, phrase, short))
 
     def rows(self, keep: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
         """Parts among the kept entries, and each part's stretch of these."""
@@ -113,8 +113,8 @@ class Bundle:
 def _ids(table: pa.Table) -> np.ndarray:
     """The id of each entry, as documents() sent them."""
     out = []
-    for ids, which, key in zip(table["ids"].to_pylist(), table["which"].to_pylist(), table["keys"].to_pylist(), strict=True):
-        out.append(np.frombuffer(ids, np.int64)[np.frombuffer(which, np.uint16 if len(which) * 4 == len(key) else np.uint32)])
+    for ids, which, triggers in zip(table["ids"].to_pylist(), table["which"].to_pylist(), table["triggers"].to_pylist(), strict=True):
+        out.append(np.frombuffer(ids, np.int64)[np.frombuffer(which, np.uint16 if len(which) * 2 == len(triggers) else np.uint32)])
     return np.concatenate([np.zeros(0, np.int64), *out])
 
 
@@ -154,7 +154,7 @@ def remove_repeats(
     alike. Ids are integers. An empty table gives an empty result; other columns are ignored.
 
     Documents are parsed in bundles of about bundle_bytes. A bundle sends its distinct phrases (the dictionary, as
-    hashes) with their first documents (the parse) to parts by trigger. A part finds each phrase's first document: others
+    64-bit hashes) with their first documents (the parse) to parts by trigger. A part finds each phrase's first document: others
     are repeated as wholes. First ones whose trigger also has other phrases are asked for: their bundles send the
     strings, whose suffixes of at least `length` bytes are sorted by their bytes and then by document, some triggers at a
     time. As phrases overlap by length - 1 bytes, the suffix array of the parse is needed only as far as one phrase: it
@@ -187,21 +187,21 @@ def remove_repeats(
         b = Bundle(table, parts, length, hot)
         used, stretches = b.rows(np.ones(len(b.part), bool))
         named = [b.documents(b.doc[i:j]) for i, j in stretches]
-        return pa.table({"part": pa.array(used, pa.int32()), "bundle": pa.array(np.full(len(used), table["bundle"][0].as_py()), pa.int32()), "keys": pa.array([b.key[i:j].tobytes() for i, j in stretches], pa.binary()), "which": pa.array([w for _, w in named], pa.binary()), "ids": pa.array([i for i, _ in named], pa.binary())})
+        return pa.table({"part": pa.array(used, pa.int32()), "bundle": pa.array(np.full(len(used), table["bundle"][0].as_py()), pa.int32()), "phrases": pa.array([b.phrase[i:j].tobytes() for i, j in stretches], pa.binary()), "triggers": pa.array([b.trigger[i:j].tobytes() for i, j in stretches], pa.binary()), "which": pa.array([w for _, w in named], pa.binary()), "ids": pa.array([i for i, _ in named], pa.binary())})
 
     def judge(table: pa.Table) -> pa.Table:
-        key, ids = _joined(table, "keys", np.uint64), _ids(table)
-        order = np.lexsort((ids, key))
-        k, i = key[order], ids[order]
-        new = np.append(True, k[1:] != k[:-1])
+        phrase, trigger, ids = _joined(table, "phrases", np.uint64), _joined(table, "triggers", np.uint32), _ids(table)
+        order = np.lexsort((ids, phrase, trigger))
+        p, t, i = phrase[order], trigger[order], ids[order]
+        new = np.append(True, (p[1:] != p[:-1]) | (t[1:] != t[:-1]))
         first, of = i[new], np.cumsum(new) - 1
-        trigger = k[new] >> np.uint64(32)
+        trigger = t[new]
         begin = np.flatnonzero(np.append(True, trigger[1:] != trigger[:-1]))
         differ = np.minimum.reduceat(first, begin) != np.maximum.reduceat(first, begin)
         differ = np.repeat(differ, np.diff(np.append(begin, len(trigger))))
-        status = np.empty(len(k), np.uint8)
+        status = np.empty(len(p), np.uint8)
         status[order] = np.where(i > first[of], REPEATED, np.where(differ[of], ASK, 0))
-        return _answers(table, 0, status, np.array([len(x) // 8 for x in table["keys"].to_pylist()]))
+        return _answers(table, 0, status, np.array([len(x) // 4 for x in table["triggers"].to_pylist()]))
 
     def statuses(answers: pa.Table, kind: int) -> np.ndarray:
         found = answers.filter(pa.compute.equal(answers["kind"], kind)).sort_by("part")
@@ -211,18 +211,18 @@ def remove_repeats(
         b = Bundle(table, parts, length, hot) if table.num_rows else None
         keep = statuses(answers, 0) == ASK if b else np.zeros(0, bool)
         if not keep.any():
-            return pa.table({"part": pa.array([], pa.int32()), "bundle": pa.array([], pa.int32()), "body": pa.array([], pa.binary()), "sizes": pa.array([], pa.binary()), "keys": pa.array([], pa.binary()), "which": pa.array([], pa.binary()), "ids": pa.array([], pa.binary())})
+            return pa.table({"part": pa.array([], pa.int32()), "bundle": pa.array([], pa.int32()), "body": pa.array([], pa.binary()), "sizes": pa.array([], pa.binary()), "triggers": pa.array([], pa.binary()), "which": pa.array([], pa.binary()), "ids": pa.array([], pa.binary())})
         used, stretches = b.rows(keep)
-        start, size, key, doc = b.start[keep], (b.end - b.start)[keep], b.key[keep], b.doc[keep]
+        start, size, trigger, doc = b.start[keep], (b.end - b.start)[keep], b.trigger[keep], b.doc[keep]
         at = np.cumsum(size)
         body = b.data[np.repeat(start - (at - size), size) + np.arange(at[-1])].tobytes()
         at = np.concatenate([[0], at])
         named = [b.documents(doc[i:j]) for i, j in stretches]
-        columns = {"body": [body[at[i] : at[j]] for i, j in stretches], "sizes": [size[i:j].astype(np.uint8).tobytes() for i, j in stretches], "keys": [key[i:j].tobytes() for i, j in stretches], "which": [w for _, w in named], "ids": [i for i, _ in named]}
+        columns = {"body": [body[at[i] : at[j]] for i, j in stretches], "sizes": [size[i:j].astype(np.uint8).tobytes() for i, j in stretches], "triggers": [trigger[i:j].tobytes() for i, j in stretches], "which": [w for _, w in named], "ids": [i for i, _ in named]}
         return pa.table({"part": pa.array(used, pa.int32()), "bundle": pa.array(np.full(len(used), table["bundle"][0].as_py()), pa.int32())} | {c: pa.array(x, pa.binary()) for c, x in columns.items()})
 
     def compare(table: pa.Table) -> pa.Table:
-        size, trigger, ids, data = _joined(table, "sizes", np.uint8).astype(np.int64), _joined(table, "keys", np.uint64) >> np.uint64(32), _ids(table), _joined(table, "body", np.uint8)
+        size, trigger, ids, data = _joined(table, "sizes", np.uint8).astype(np.int64), _joined(table, "triggers", np.uint32), _ids(table), _joined(table, "body", np.uint8)
         at, suffixes = np.cumsum(size) - size, size - length + 1
         order = np.argsort(trigger, kind="stable")
         total = np.cumsum(suffixes[order])
@@ -275,9 +275,9 @@ def remove_repeats(
 
     by_bundle = rows.groupBy("bundle")
     answer = "bundle int, part int, kind int, answer binary"
-    sent = by_bundle.applyInArrow(send, "part int, bundle int, keys binary, which binary, ids binary")
+    sent = by_bundle.applyInArrow(send, "part int, bundle int, phrases binary, triggers binary, which binary, ids binary")
     whole = sent.groupBy("part").applyInArrow(judge, answer)
-    strings = by_bundle.cogroup(whole.groupBy("bundle")).applyInArrow(tell, "part int, bundle int, body binary, sizes binary, keys binary, which binary, ids binary")
+    strings = by_bundle.cogroup(whole.groupBy("bundle")).applyInArrow(tell, "part int, bundle int, body binary, sizes binary, triggers binary, which binary, ids binary")
     partly = strings.groupBy("part").applyInArrow(compare, answer)
     out = by_bundle.cogroup(whole.unionByName(partly).groupBy("bundle")).applyInArrow(strip, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
     return out.withColumnRenamed("id", id_col)
