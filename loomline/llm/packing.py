@@ -25,12 +25,14 @@ class Encoder:
 
     ranks_path, if given, holds the same byte-level BPE as ranks; it encodes plain pieces faster. Pieces that hold `<` or
     characters of three bytes and more, where libraries could differ, and those at a text's beginning go to `tokenizers`.
+    specials: whether the strings of special tokens in a text are these tokens, or plain text.
     """
 
-    def __init__(self, path: str, ranks_path: str | None):
+    def __init__(self, path: str, ranks_path: str | None, specials: bool = True):
         from tokenizers import Tokenizer
 
         self.full, self.quick = Tokenizer.from_file(path), None
+        self.full.encode_special_tokens = not specials
         if ranks_path:
             import public_tokenizers
             import tiktoken
@@ -70,7 +72,10 @@ class Encoder:
             lists = [x.ids for x in got]
             count[odd] = [len(x) for x in lists]
             parts.append(np.array([i for x in lists for i in x], np.uint32))
-        order = np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])
+        self.keep(keys, count, np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)]), parts)
+
+    def keep(self, keys: np.ndarray, count: np.ndarray, order: np.ndarray, parts: list[np.ndarray]) -> None:
+        """Store the ids of these keys, so many each, that come in the given order."""
         begin = np.empty(len(keys), np.int64)
         begin[order] = len(self.ids) + np.cumsum(count[order]) - count[order]
         self.ids = np.concatenate([self.ids, *parts])
@@ -100,13 +105,23 @@ def token_ids(data: np.ndarray, at: np.ndarray, path: str, ranks_path: str | Non
     """
     if (path, ranks_path) not in _encoders:  # one for each Python worker
         _encoders[path, ranks_path] = Encoder(path, ranks_path)
-    encoder = _encoders[path, ranks_path]
+    return encoded(_encoders[path, ranks_path], data, at, byte_pieces(data, at))
+
+
+def byte_pieces(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where a byte-level BPE may be cut: at a text's first byte, and at a space that a non-space follows."""
+    opens = np.zeros(len(data), bool)
+    if len(data):
+        np.logical_and(data[:-1] == 32, ~_MAYBE_SPACE[data[1:]], out=opens[:-1])
+        opens[at[1:-1][at[1:-1] > 0] - 1] = False  # a space at a text's end opens nothing
+        opens[at[:-1][np.diff(at) > 0]] = True
+    return opens
+
+
+def encoded(encoder: Encoder, data: np.ndarray, at: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts end to end, and where each text's begin, from pieces that begin where `opens` says."""
     if not len(data):
         return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
-    opens = np.zeros(len(data), bool)
-    np.logical_and(data[:-1] == 32, ~_MAYBE_SPACE[data[1:]], out=opens[:-1])
-    opens[at[1:-1][at[1:-1] > 0] - 1] = False  # a space at a text's end opens nothing
-    opens[at[:-1][np.diff(at) > 0]] = True
     start = np.flatnonzero(opens)
     end = np.append(start[1:], len(data))
     keys, where, which = np.unique(span_hash(prefix_sums(data), start, end), return_index=True, return_inverse=True)

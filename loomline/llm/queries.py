@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import ann, line_dedup, mixing, ngram_join, packing, pitman_yor, quality, suffix_dedup
+from loomline.llm import alignment, ann, hard_negatives, line_dedup, mixing, ngram_join, packing, pitman_yor, quality, suffix_dedup, token_counts
 from loomline.llm.exact_dedup import exact_dedup
 from loomline.llm.url_filter import PATTERN_RULES, url_filter
 
@@ -70,10 +70,33 @@ def op10_ffd_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pitman_yor, op2_fm_quality, op3_url_filter, op4_ngram_jaccard, op5_suffix_dedup, op6_exact_dedup, op7_line_dedup, op8_anisotropic_ann, op9_source_mix, op10_ffd_pack)}
+def op11_onebit_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), label=label)
+
+
+def op12_digest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"), tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pitman_yor, op2_fm_quality, op3_url_filter, op4_ngram_jaccard, op5_suffix_dedup, op6_exact_dedup, op7_line_dedup, op8_anisotropic_ann, op9_source_mix, op10_ffd_pack, op11_onebit_negatives, op12_digest_counts, op13_tokenizer_alignment)}
 
 _low = "translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_dot = "list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i]))::BIGINT"
 ORACLE_SQL: dict[str, str] = {
+    "op11_onebit_negatives": f"""
+        WITH r AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS l, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        a AS (SELECT * FROM r WHERE id % 50 = 0),
+        s AS (SELECT a.id AS anchor, a.l AS own, b.id, b.l, {_dot} AS score FROM a JOIN r b ON a.id <> b.id),
+        p AS (SELECT anchor, own, id, score FROM s WHERE l = own QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5),
+        n AS (SELECT p.anchor, p.id AS positive, p.score AS ps, s.id, s.score, row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY s.score DESC, s.id) AS rank
+              FROM p JOIN s ON s.anchor = p.anchor AND s.l <> p.own AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+        SELECT anchor AS anchor_id, positive AS positive_id, rank::INT AS rank, id AS negative_id, ps AS positive_score, score AS negative_score FROM n WHERE rank <= 3""",
     "op3_url_filter": f"""
         WITH a AS (SELECT page_id, coalesce({_low}, '') AS low, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
         b AS (SELECT page_id, low, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
