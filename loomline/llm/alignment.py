@@ -37,6 +37,8 @@ class Pieces(Encoder):
     def learn(self, data: np.ndarray, keys: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         text = data.tobytes()  # the space before each piece is the model's own
         lists = self.model.encode([text[a + 1 : b].decode(errors="replace") for a, b in zip(start.tolist(), end.tolist(), strict=True)], num_threads=1)
+        space = self.model.encode("a ")[-1:]  # a piece that is one space, at a text's end
+        lists = [x or space for x in lists]
         self.keep(keys, np.array([len(x) for x in lists], np.int64), np.arange(len(keys)), [np.array([i for x in lists for i in x], np.uint32)])
 
 
