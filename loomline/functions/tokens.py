@@ -19,6 +19,43 @@ class Tokenizer(Protocol):
     def decode(self, ids: list[int]) -> str: ...
 
 
+def encode_all(tokenizer: Tokenizer, texts: list[str]) -> list[list[int]]:
+    """Ids of many texts: by the tokenizer's encode_batch, if it has one."""
+    batch = getattr(tokenizer, "encode_batch", None)
+    return batch(texts) if batch else [tokenizer.encode(t) for t in texts]
+
+
+class FileTokenizer:
+    """A vocabulary file: .json by `tokenizers`, .model by `sentencepiece`, .tiktoken (ranks) by `tiktoken`. Special tokens' strings are plain text."""
+
+    def __init__(self, path: str, pattern: str | None = None):
+        if path.endswith(".model"):
+            import sentencepiece
+
+            model = sentencepiece.SentencePieceProcessor(model_file=path)
+            self.encode_batch, self.decode = lambda texts: model.encode(texts, num_threads=1), model.decode
+        elif path.endswith(".tiktoken"):
+            import base64
+
+            import tiktoken
+
+            with open(path, "rb") as lines:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+            coder = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+            self.encode_batch, self.decode = lambda texts: [coder.encode_ordinary(t) for t in texts], coder.decode
+        else:
+            from tokenizers import Tokenizer as Library
+
+            coder = Library.from_file(path)
+            coder.encode_special_tokens = True
+            coder.no_truncation(), coder.no_padding()
+            self.encode_batch = lambda texts: [x.ids for x in coder.encode_batch(texts, add_special_tokens=False)]
+            self.decode = lambda ids: coder.decode(ids, skip_special_tokens=False)
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_batch([text])[0]
+
+
 class CodePoints:
     """A token for each character: needs no vocabulary, and round trips."""
 
@@ -47,17 +84,31 @@ def token_counts(texts: Column, make: Maker) -> Column:
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tokenizer = _of(make)
         for lists in batches:
-            yield lists.map(lambda texts: [len(tokenizer.encode(t)) for t in texts])
+            yield lists.map(lambda texts: [len(x) for x in encode_all(tokenizer, list(texts))])
 
     return count(texts)
 
 
+def message_tokens(role: Column, content: Column, make: Maker) -> Column:
+    """What a message counts: the tokens of its content and role, and four. A role is encoded once in each worker."""
+
+    @F.pandas_udf(T.IntegerType())
+    def count(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        tokenizer, roles = _of(make), {}
+        for names, texts in batches:
+            for name in set(names) - roles.keys():
+                roles[name] = len(tokenizer.encode(name or ""))
+            yield pd.Series([len(x) + roles[n] + 4 for n, x in zip(names, encode_all(tokenizer, [t or "" for t in texts]), strict=True)], dtype="int32")
+
+    return count(role, content)
+
+
 def encode(text: Column, make: Maker) -> Column:
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tokenizer = _of(make)
         for texts in batches:
-            yield texts.map(lambda t: tokenizer.encode(t or ""))
+            yield pd.Series(encode_all(tokenizer, [t or "" for t in texts]), dtype=object)
 
     return run(text)
 

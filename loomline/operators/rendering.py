@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomline.config import DEFAULT, TRUNCATION_MARK, Settings
 from loomline.functions import messages as M
-from loomline.functions.tokens import Maker, encode, left_truncate, token_counts
+from loomline.functions.tokens import Maker, encode, left_truncate, message_tokens, token_counts
 from loomline.operators.samples import require_support, sample_key
 
 
@@ -24,17 +24,22 @@ def kept_suffix(costs: Column, budget: Column) -> Column:
 
 
 def message_costs(messages: Column, make: Maker) -> Column:
-    """Tokens of content and role, and four, of each message."""
+    """Tokens of content and role, and four, of each message of an array. Contexts of samples needn't be counted so: see render()."""
     contents = token_counts(F.transform(messages, lambda m: m["content"]), make)
     roles = token_counts(F.transform(messages, lambda m: m["role"]), make)
     return F.zip_with(contents, roles, lambda a, b: a + b + 4)
 
 
 def render(samples: DataFrame, prefix: Column, suffix: Column, make: Maker, most: int = DEFAULT.render_tokens) -> DataFrame:
-    """samples with messages: the system prompt, then as many of the last turns as fit. The last turn stays; if it doesn't fit it loses its beginning."""
+    """samples with messages: the system prompt, then as many of the last turns as fit. The last turn stays; if it doesn't fit it loses its beginning.
+
+    Samples that were built with a tokenizer bring context_tokens, the count of each message, made once for a turn however
+    many contexts it stands in; else (samples read from a store) each context is counted here.
+    """
     system = M.message("system", M.system_prompt(prefix, suffix, F.col("model"), F.col("harness"), F.col("cwd")))
     rows = samples.withColumn("_system", system)
-    rows = rows.withColumns({"_costs": message_costs(F.col("context_messages"), make), "_head": F.get(message_costs(F.array("_system"), make), 0)})
+    costs = F.col("context_tokens") if "context_tokens" in samples.columns else message_costs(F.col("context_messages"), make)
+    rows = rows.withColumns({"_costs": costs, "_head": message_tokens(F.col("_system.role"), F.col("_system.content"), make)})
     n = kept_suffix(F.col("_costs"), most - F.col("_head") - 2)
     rows = rows.withColumn("_n", n)
     some = F.size("context_messages") > 0
@@ -44,7 +49,7 @@ def render(samples: DataFrame, prefix: Column, suffix: Column, make: Maker, most
     cut = left_truncate(F.when(over, last["content"]).otherwise(""), F.greatest(most - F.col("_head") - 6, F.lit(1)), make, TRUNCATION_MARK)
     rows = rows.withColumn("_cut", cut)
     tail = F.when(over, F.array(M.message(last["role"], F.col("_cut")))).otherwise(F.slice("context_messages", F.greatest(F.size("context_messages") - F.col("_n") + 1, F.lit(1)), F.col("_n")))
-    return rows.withColumn("messages", F.concat(F.array("_system"), tail)).drop("_system", "_costs", "_head", "_n", "_cut")
+    return rows.withColumn("messages", F.concat(F.array("_system"), tail)).drop("_system", "_costs", "_head", "_n", "_cut", "context_tokens")
 
 
 def optimizer_examples(rendered: DataFrame) -> DataFrame:

@@ -19,10 +19,12 @@ TURN_REASONS = ("hook_injected", "too_short", "too_long_target", "sidechain", "w
 def loader_stats(made: Samples, s: Settings = DEFAULT) -> DataFrame:
     """One row: threads seen and kept (with a sample), dropped by reason; samples by side; turns dropped by reason, and their total.
 
-    Turns are counted by thread, beside the thread's own row, and all threads are added up once; no frame of turns is built.
+    One scan: what the gates said is counted by thread, and all threads are added up once; no frame of turns is built.
     """
-    turns = made.turns.groupBy("source_path").agg(F.count_if(F.col("drop_reason").isNull()).alias("samples"), *(F.count_if(F.col("drop_reason") == r).alias(f"turns_{r}") for r in TURN_REASONS))
-    rows = made.threads.select("source_path", "drop_reason", split_side(F.col("thread_id"), s).alias("side")).join(turns, "source_path", "left")
+    judged = F.col("thread_drop").isNull() & (F.col("kind") == "user")
+    reason = lambda r: F.count_if(judged & (F.col("drop_reason") == r)).alias(f"turns_{r}")
+    head = F.max(F.when(F.col("head"), F.struct(F.col("thread_drop").alias("drop_reason"), split_side(F.col("thread_id"), s).alias("side")))).alias("t")
+    rows = made.gated.groupBy("source_path").agg(head, F.count_if(judged & F.col("drop_reason").isNull()).alias("samples"), *map(reason, TURN_REASONS)).select("*", "t.drop_reason", "t.side")
     total = lambda x: F.coalesce(F.sum(x), F.lit(0))
     sides = (total(F.when(F.col("side") == side, F.col("samples"))).alias(side) for side in ("train", "val"))
     out = rows.agg(

@@ -17,7 +17,7 @@ from loomline.operators import labels as L
 from loomline.operators import rendering as R
 from loomline.operators import samples as P
 from loomline.operators import stats as T
-from loomline.plans.fixtures import TURNS_SQL, turns_and_threads, view
+from loomline.plans.fixtures import TURNS_SQL, sessions, view
 from loomline.sources import transcripts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,7 +42,7 @@ def _decorated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _made(spark: SparkSession, sf_dir: str, since: str | None = None) -> P.Samples:
-    return P.build_samples(*turns_and_threads(spark, sf_dir), P.parse_since(since))
+    return P.build_samples(sessions(spark, sf_dir), P.parse_since(since))
 
 
 def _joined(messages) -> F.Column:
@@ -89,7 +89,7 @@ def drop_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def hidden_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.first_user_text(turns_and_threads(spark, sf_dir)[0]).select("source_path", X.hidden_tag(F.col("first_text")).alias("tag"))
+    return P.first_user_text(sessions(spark, sf_dir)).select("source_path", X.hidden_tag(F.col("first_text")).alias("tag"))
 
 
 @query
@@ -121,8 +121,7 @@ def thread_header_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def date_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, threads = turns_and_threads(spark, sf_dir)
-    return threads.filter(~P.before_cutoff(F.col("started_at"), P.parse_since("2025-06-15"))).select("thread_id", "started_at")
+    return sessions(spark, sf_dir).filter("head").filter(~P.before_cutoff(F.col("started_at"), P.parse_since("2025-06-15"))).select("thread_id", "started_at")
 
 
 @query
@@ -314,7 +313,8 @@ def tool_input_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sample_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.sample_key(_made(spark, sf_dir).samples, "train").select("source_path", "pos", "sample_key")
+    made = _made(spark, sf_dir)
+    return P.sample_key(made.samples, "train", counts=P.thread_counts(made)).select("source_path", "pos", "sample_key")
 
 
 @query
@@ -333,5 +333,4 @@ def transcript_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
         when 'assistant' then to_json(named_struct('type', 'assistant', 'message', named_struct('model', 'm' || cast(turn as string), 'content', array(named_struct('type', 'text', 'text', text, 'name', '', 'input', map('k', 0L)), named_struct('type', 'tool_use', 'text', '', 'name', 'Run', 'input', map('k', turn)), named_struct('type', 'text', 'text', 'done', 'name', '', 'input', map('k', 0L))))))
         else to_json(named_struct('type', 'system', 'content', text)) end""")
     records = rows.select(F.concat(F.lit("/r/p/"), F.col("conv_id").cast("string")).alias("source_path"), F.lit(0).cast("long").alias("block"), F.col("turn").alias("line"), line.alias("value")).withColumn("v", F.try_parse_json("value"))
-    parsed = transcripts.assemble(transcripts.parse_a(records), records.limit(0), "claude", True)
-    return parsed.turns.join(parsed.threads, "source_path").select("source_path", "pos", "kind", "text", "turn_model", "tool_name", "tool_input", "thread_id", "model", "cwd", "n_turns")
+    return transcripts.fold(transcripts.parse_a(records), "claude", True).filter("kind is not null").select("source_path", "pos", "kind", "text", "turn_model", "tool_name", "tool_input", "thread_id", "model", "cwd", "n_turns")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 TURNS_SQL = """
-    select conv_id, turn, cast(turn as int) as pos, thread_id, source_path, cwd, started_at, model, harness,
+    select conv_id, turn, cast(turn as int) as pos, turn = first_turn as head, thread_id, source_path, cwd, started_at, model, harness,
       case when role = 'assistant' and turn % 4 = 3 then 'tool_result' when role = 'assistant' and turn % 4 = 1 and conv_id % 5 = 0 then 'tool_call' else role end as kind,
       case when role = 'user' and turn = first_user and conv_id % 33 = 3 then '"[_HIDE_TEST_] ' || text
            when role = 'user' and turn = first_user and conv_id % 33 = 14 then ' [ai-writing-tool] ' || text
@@ -22,7 +22,7 @@ TURNS_SQL = """
            else text end as text,
       case when role = 'assistant' and turn % 4 = 1 and conv_id % 5 = 0 then 'Bash' end as tool_name,
       case when role = 'assistant' and turn % 4 = 1 and conv_id % 5 = 0 then '{"n": ' || cast(turn as string) || ', "c": "AKIA' || 'ABCDEFGHIJKLMNOP"}' end as tool_input
-    from (select conv_id, turn, role, text, min(case when role = 'user' then turn end) over (partition by conv_id) as first_user,
+    from (select conv_id, turn, role, text, min(case when role = 'user' then turn end) over (partition by conv_id) as first_user, min(turn) over (partition by conv_id) as first_turn,
         't' || cast(conv_id as string) as thread_id,
         case when conv_id % 16 = 5 then '/logs/x-private-tmp-claude-y/' else '/logs/p/' end || cast(conv_id as string) || '.jsonl' as source_path,
         case conv_id % 8 when 0 then '/home/user/git/alpha.ww1-i2/src' when 1 then '/home/user/git/beta' when 2 then '/home/user/gamma' when 3 then '/home/user/git/conductor-workspaces/delta.ww3-i4'
@@ -37,8 +37,7 @@ def view(spark: SparkSession, sf_dir: str, *names: str) -> None:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
 
 
-def turns_and_threads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn with its thread's columns, as the loaders give them."""
     view(spark, sf_dir, "conversations")
-    rows = spark.sql(TURNS_SQL)
-    turns = rows.select("source_path", "pos", "kind", "text", "tool_name", "tool_input", "conv_id")
-    return turns, rows.select("source_path", "thread_id", "harness", "model", "cwd", "started_at").distinct()
+    return spark.sql(TURNS_SQL)

@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomline.config import DEFAULT, TRUNCATION_MARK
 from loomline.functions import messages as M
-from loomline.functions.tokens import CodePoints
+from loomline.functions.tokens import CodePoints, Maker
 from loomline.operators import labels as L
 from loomline.operators import rendering as R
 from loomline.operators import samples as P
 from loomline.operators import scoring as C
-from loomline.plans.fixtures import turns_and_threads
+from loomline.plans.fixtures import sessions
 from loomline.sources import jsonl, transcripts
+from loomline.sources.scratch import cut, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -33,16 +33,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.build_samples(*turns_and_threads(spark, sf_dir)).samples
-
-
-def _folder(spark: SparkSession) -> str:
-    """A new folder in the shared one that the session names; only without it, in local mode, a temporary one."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{where or tempfile.mkdtemp(prefix='loomline-')}/{uuid.uuid4().hex}"
+def _samples(spark: SparkSession, sf_dir: str, make: Maker | None = None) -> DataFrame:
+    return P.build_samples(sessions(spark, sf_dir), make=make).samples
 
 
 def _records(rows: DataFrame, line: str, path: str = "'/r/p/' || cast(conv_id as string)", number: str = "turn") -> DataFrame:
@@ -68,8 +60,7 @@ _BLOCKS = f"""
 def transcript_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dialect A with block lists: results before and after text, result bodies of all sorts, skipped records and sidechains."""
     records = _records(_table(spark, sf_dir, "conversations"), _BLOCKS)
-    logs = transcripts.assemble(transcripts.parse_a(records), records.limit(0), "claude", True)
-    return logs.turns.join(logs.threads, "source_path").select("source_path", "pos", "kind", "text", "source_uuid", "tool_name", "tool_input", "call_id", "is_error", "turn_model", "model", "cwd")
+    return transcripts.fold(transcripts.parse_a(records), "claude", True).filter("kind is not null").select("source_path", "pos", "kind", "text", "source_uuid", "tool_name", "tool_input", "call_id", "is_error", "turn_model", "model", "cwd")
 
 
 _DIALECT_B = f"""
@@ -85,14 +76,17 @@ _DIALECT_B = f"""
       else '{{"type": "response_item", "payload": {{"type": "message", "role": "assistant", "content": [{{"type": "output_text", "text": ' || {_QUOTED} || '}}]}}}}' end"""
 
 
+def _with_heads(rows: DataFrame) -> DataFrame:
+    """Two session headers before each conversation."""
+    first = F.col("turn") == F.min("turn").over(W.partitionBy("conv_id"))
+    return rows.withColumn("first", first).withColumn("turn", F.explode(F.when(F.col("first"), F.expr("array(-2L, -1L, turn)")).otherwise(F.array("turn")))).drop("first")
+
+
 @query
 def transcript_parse_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as log lines of dialect B, with two session headers each, parsed back."""
-    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    heads = rows.select("conv_id").distinct().select("conv_id", F.explode(F.expr("array(-2L, -1L)")).alias("turn"), F.lit("").alias("role"), F.lit("").alias("text"))
-    records = _records(rows.unionByName(heads), _DIALECT_B)
-    logs = transcripts.assemble(transcripts.parse_b(records), records.limit(0), "codex", False)
-    return logs.turns.join(logs.threads, "source_path").select("source_path", "pos", "kind", "text", "tool_name", "tool_input", "call_id", "is_error", "thread_id", "model", "cwd", "started_at", "n_turns")
+    records = _records(_with_heads(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")), _DIALECT_B)
+    return transcripts.fold(transcripts.parse_b(records), "codex", False).filter("kind is not null").select("source_path", "pos", "kind", "text", "tool_name", "tool_input", "call_id", "is_error", "thread_id", "model", "cwd", "started_at", "n_turns")
 
 
 @query
@@ -100,8 +94,7 @@ def preamble_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leading machine-made user messages of dialect B."""
     rows = _table(spark, sf_dir, "conversations").withColumn("text", F.expr("case when conv_id % 6 = 1 and turn < 2 then ' # AGENTS.md instructions ' || text when conv_id % 6 = 2 and turn = 0 then repeat('x', cast(1998 + conv_id % 5 as int)) when conv_id % 6 = 3 and turn = 0 then '' else text end"))
     records = _records(rows, "to_json(named_struct('type', 'response_item', 'payload', named_struct('type', 'message', 'role', if(role = 'system', 'developer', role), 'content', text)))")
-    turns = transcripts.assemble(transcripts.parse_b(records), records.limit(0), "codex", False).turns
-    return turns.select("source_path", "pos", "kind", F.length("text").alias("n_chars"))
+    return transcripts.fold(transcripts.parse_b(records), "codex", False).filter("kind is not null").select("source_path", "pos", "kind", "text")
 
 
 @query
@@ -110,7 +103,7 @@ def text_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     block = F.expr("named_struct('type', if(event_type = 'purchase', 'tool_use', 'text'), 'text', event_type, 'name', 'buy')")
     rows = _table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", block.alias("b")))), lambda x: x["b"]).alias("content"))
     records = _records(rows, "to_json(named_struct('type', 'assistant', 'message', named_struct('content', content)))", "cast(user_id as string)", "0")
-    return transcripts.assemble(transcripts.parse_a(records), records.limit(0), "claude", True).turns.select("source_path", "pos", "kind", "text")
+    return transcripts.fold(transcripts.parse_a(records), "claude", True).filter("kind is not null").select("source_path", "pos", "kind", "text")
 
 
 @query
@@ -118,38 +111,47 @@ def model_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's events as assistant records, of which some name a model."""
     line = "to_json(named_struct('type', 'assistant', 'message', named_struct('model', case when event_id % 4 = 0 then event_type when event_id % 4 = 1 then '' end, 'content', array(named_struct('type', 'text', 'text', cast(event_id as string))))))"
     records = _records(_table(spark, sf_dir, "events"), line, "cast(user_id as string)", "unix_micros(cast(ts as timestamp))")
-    return transcripts.assemble(transcripts.parse_a(records), records.limit(0), "claude", True).turns.select(F.col("text").cast("long").alias("event_id"), F.col("turn_model").alias("model"))
+    return transcripts.fold(transcripts.parse_a(records), "claude", True).filter("kind is not null").select(F.col("text").cast("long").alias("event_id"), F.col("turn_model").alias("model"))
+
+
+def _write_lines(rows: DataFrame, where: str, by: str | None = None, **options: str) -> None:
+    """A column `line` as text files, one folder for each value of `by`."""
+    out = rows.select("line", *[by] * bool(by)).write.mode("append").options(extension="jsonl", sep="\x01", quote="", escape="", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false", **options)
+    (out.partitionBy(by) if by else out).csv(where)
 
 
 @query
 def logs_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations written as log files, one folder for each, with blank and malformed lines and lines that are no objects, and loaded from there in all dialects."""
-    where = _folder(spark)
-    lines = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_BLOCKS).alias("line"))
-    bad = lines.filter("turn = 1").select("conv_id", F.lit(1).alias("turn"), F.explode(F.array(F.lit(" "), F.lit('{"type": "user"'), F.lit("[1]"))).alias("line"))
-    folders = F.concat(F.when(F.col("conv_id") % 10 == 9, "subagents/").otherwise(""), F.col("conv_id").cast("string"))
-    rows = lines.unionByName(bad).withColumn("folder", folders)
-    for part, name in ((rows.filter("folder not like 's%'"), "plain"), (rows.filter("folder like 's%'"), "subagents")):
-        part.repartition("conv_id").sortWithinPartitions("conv_id", "turn").select("conv_id", "line").write.partitionBy("conv_id").option("extension", "jsonl").csv(f"{where}/{name}", sep="\x01", quote="", escape="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    logs = transcripts.union(transcripts.load_a(spark, where), transcripts.load_b(spark, where), transcripts.load_c(spark, where))
-    of = F.regexp_extract("source_path", "conv_id=([0-9]+)", 1).cast("long").alias("conv_id")
-    rejected = logs.rejected.groupBy("source_path").agg(F.count("*").alias("n_rejected"))
-    return logs.turns.join(logs.threads.join(rejected, "source_path", "left"), "source_path").select(of, "pos", "kind", "harness", "thread_id", F.length("text").alias("n_chars"), "call_id", F.coalesce("n_rejected", F.lit(0)).alias("n_rejected"))
+    """Conversations written as log files and loaded from there in all dialects: a folder for each, some of them below `subagents`; for dialect B also a file at the root. With blank and malformed lines, and lines that are no objects."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    bad = rows.filter("turn = 1").select("conv_id", "turn", F.explode(F.array(F.lit(" "), F.lit('{"type": "user"'), F.lit("[1]"))).alias("line"))
+    with scratch(spark) as where:
+        for kind, line, of in (("a", _BLOCKS, rows), ("b", _DIALECT_B, _with_heads(rows))):
+            lines = of.select("conv_id", "turn", F.expr(line).alias("line")).unionByName(bad).repartition("conv_id").sortWithinPartitions("conv_id", "turn")
+            if kind == "a":
+                _write_lines(lines.filter("conv_id % 10 <> 9"), f"{where}/a", "conv_id")
+                _write_lines(lines.filter("conv_id % 10 = 9"), f"{where}/a/subagents", "conv_id")
+            else:
+                _write_lines(lines.filter("conv_id <> 7"), f"{where}/b", "conv_id", **{"mapreduce.output.basename": "rollout"})
+                _write_lines(lines.filter("conv_id <> 7"), f"{where}/b", "conv_id", **{"mapreduce.output.basename": "other"})
+                _write_lines(lines.filter("conv_id = 7").coalesce(1).sortWithinPartitions("turn"), f"{where}/b", **{"mapreduce.output.basename": "rollout"})
+        logs = transcripts.union(transcripts.load_a(spark, f"{where}/a"), transcripts.load_b(spark, f"{where}/b"), transcripts.load_c(spark, where))
+        return cut(logs.sessions.filter("kind is not null").select("harness", "thread_id", "pos", "kind", "text", "tool_name", "tool_input", "call_id", "model", "cwd", "started_at", "n_turns", "n_rejected"))
 
 
 @query
 def samples_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples written by split and read again from both sides, and a side that isn't there: the first 200."""
-    where = _folder(spark)
-    jsonl.write_samples(_samples(spark, sf_dir), where)
-    got = jsonl.read_samples(spark, [f"{where}/split=train", f"{where}/split=val", f"{where}/split=none"], 200)
-    return got.select("source_path", "pos", "target", "thread_id", "project", F.size("context_messages").alias("n_context"))
+    with scratch(spark) as where:
+        jsonl.write_samples(_samples(spark, sf_dir), where)
+        got = jsonl.read_samples(spark, [f"{where}/split=train", f"{where}/split=val", f"{where}/split=none"], 200)
+        return cut(got.select("source_path", "pos", "target", "thread_id", "project", F.md5(F.array_join(F.transform("context_messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|")).alias("context")))
 
 
 @query
 def budget_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts within 1,200 tokens, a token for each character: the oldest turns go, and a last one that is too long loses its beginning."""
-    got = R.render(_samples(spark, sf_dir), F.lit("PREFIX"), F.lit(None).cast("string"), CodePoints, 1200)
+    got = R.render(_samples(spark, sf_dir, CodePoints), F.lit("PREFIX"), F.lit(None).cast("string"), CodePoints, 1200)
     total = F.aggregate(R.message_costs(F.col("messages"), CodePoints), F.lit(2), lambda a, b: a + b)
     return got.select("source_path", "pos", F.size("messages").alias("n"), F.md5(F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|")).alias("text"), total.alias("tokens"))
 
@@ -250,23 +252,29 @@ def _sql() -> dict[str, str]:
         heads AS (SELECT conv_id, coalesce(arg_max('m' || turn, turn) FILTER (WHERE role = 'assistant'), '') AS model FROM made GROUP BY conv_id HAVING bool_or(role = 'assistant' OR (role = 'user' AND len(turns) > 0))),
         parts AS (SELECT conv_id, turn, unnest(turns) AS t, generate_subscripts(turns, 1) AS spot FROM made),
         placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, spot) - 1 AS pos FROM parts JOIN heads USING (conv_id))"""
+    dialect_b = """
+            made AS (SELECT *, CASE WHEN turn = 0 AND role <> 'user' THEN CASE WHEN conv_id % 3 = 0 THEN 'system' END WHEN role = 'user' THEN 'user' WHEN turn % 4 = 1 AND conv_id % 4 < 3 THEN 'tool_call' WHEN turn % 4 = 3 THEN 'tool_result' ELSE 'assistant' END AS kind FROM conversations),
+            flat AS (SELECT *, CASE WHEN kind = 'tool_call' THEN NULL WHEN kind = 'user' AND turn % 4 <> 0 THEN text || chr(10) || 'z' WHEN kind = 'tool_result' AND conv_id % 2 = 0 THEN '{"o": ' || turn || '}' ELSE text END AS body FROM made WHERE kind IS NOT NULL),
+            b AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, kind, body AS text, CASE WHEN kind = 'tool_call' THEN ['f', 'g', 'h'][conv_id % 4 + 1] END AS tool_name,
+              CASE WHEN kind = 'tool_call' THEN ['{"b": ' || turn || '}', '{"_raw": "not json"}', '{"_raw": [1, 2]}'][conv_id % 4 + 1] END AS tool_input, CASE WHEN kind = 'tool_result' OR (kind = 'tool_call' AND conv_id % 4 < 2) THEN 'k' END AS call_id, false AS is_error,
+              's' || conv_id AS thread_id, 'm' || conv_id % 3 AS model, '/w-1' AS cwd, '2025-01-01' AS started_at, (count(*) OVER (PARTITION BY conv_id))::INT AS n_turns FROM flat)"""
+    rejected = "(SELECT count(*) FROM conversations c WHERE c.conv_id = x.conv_id AND turn = 1) AS n_rejected"
     return {
         "transcript_blocks": f"""{blocks} SELECT '/r/p/' || conv_id AS source_path, pos, t.kind AS kind, t.text AS text, CASE WHEN t.kind = 'user' THEN 'u' || turn END AS source_uuid, CASE WHEN t.kind = 'tool_call' THEN 'Run' END AS tool_name,
             CASE WHEN t.kind = 'tool_call' THEN '{{"z": ' || turn || ', "a": [1, 2]}}' END AS tool_input, t.call AS call_id, t.err AS is_error, CASE WHEN t.kind = 'assistant' THEN 'm' || turn END AS turn_model, model, '' AS cwd FROM placed""",
-        "transcript_parse_b": """
-            WITH made AS (SELECT *, CASE WHEN turn = 0 AND role <> 'user' THEN CASE WHEN conv_id % 3 = 0 THEN 'system' END WHEN role = 'user' THEN 'user' WHEN turn % 4 = 1 AND conv_id % 4 < 3 THEN 'tool_call' WHEN turn % 4 = 3 THEN 'tool_result' ELSE 'assistant' END AS kind FROM conversations),
-            flat AS (SELECT *, CASE WHEN kind = 'tool_call' THEN NULL WHEN kind = 'user' AND turn % 4 <> 0 THEN text || chr(10) || 'z' WHEN kind = 'tool_result' AND conv_id % 2 = 0 THEN '{"o": ' || turn || '}' ELSE text END AS body FROM made WHERE kind IS NOT NULL)
-            SELECT '/r/p/' || conv_id AS source_path, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, kind, body AS text, CASE WHEN kind = 'tool_call' THEN ['f', 'g', 'h'][conv_id % 4 + 1] END AS tool_name,
-              CASE WHEN kind = 'tool_call' THEN ['{"b": ' || turn || '}', '{"_raw": "not json"}', '{"_raw": [1, 2]}'][conv_id % 4 + 1] END AS tool_input, CASE WHEN kind = 'tool_result' OR (kind = 'tool_call' AND conv_id % 4 < 2) THEN 'k' END AS call_id, false AS is_error,
-              's' || conv_id AS thread_id, 'm' || conv_id % 3 AS model, '/w-1' AS cwd, '2025-01-01' AS started_at, (count(*) OVER (PARTITION BY conv_id))::INT AS n_turns FROM flat""",
-        "preamble_drop": f"WITH p AS ({o._PRE}), f AS (SELECT *, min(CASE WHEN role = 'user' AND NOT {o._MACHINE} THEN turn END) OVER (PARTITION BY conv_id) AS first FROM p) SELECT '/r/p/' || conv_id AS source_path, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, role AS kind, length(text)::INT AS n_chars FROM f WHERE NOT (role = 'user' AND {o._MACHINE} AND coalesce(turn < first, true))",
+        "transcript_parse_b": f"""
+            WITH {dialect_b} SELECT '/r/p/' || conv_id AS source_path, pos, kind, text, tool_name, tool_input, call_id, is_error, thread_id, model, cwd, started_at, n_turns FROM b""",
+        "preamble_drop": f"WITH p AS ({o._PRE}), f AS (SELECT *, min(CASE WHEN role = 'user' AND NOT {o._MACHINE} THEN turn END) OVER (PARTITION BY conv_id) AS first FROM p) SELECT '/r/p/' || conv_id AS source_path, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, role AS kind, text FROM f WHERE NOT (role = 'user' AND {o._MACHINE} AND coalesce(turn < first, true))",
         "text_runs": """
             WITH r AS (SELECT *, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM events),
             g AS (SELECT user_id, run * 2 + CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END AS spot, any_value(CASE WHEN event_type = 'purchase' THEN 'tool_call' ELSE 'assistant' END) AS kind, string_agg(CASE WHEN event_type <> 'purchase' THEN event_type END, chr(10) ORDER BY ts, event_id) AS text FROM r GROUP BY ALL)
             SELECT user_id::VARCHAR AS source_path, row_number() OVER (PARTITION BY user_id ORDER BY spot) - 1 AS pos, kind, text FROM g""",
         "model_carry_forward": f"SELECT event_id, last_value({o._OWN} IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS model FROM events",
-        "logs_scan": f"{blocks} SELECT conv_id, pos, t.kind AS kind, 'claude' AS harness, 's' || conv_id AS thread_id, length(t.text)::INT AS n_chars, t.call AS call_id, (SELECT count(*) FROM conversations c WHERE c.conv_id = placed.conv_id AND turn = 1) AS n_rejected FROM placed WHERE conv_id % 10 <> 9",
-        "samples_store": f"WITH {samples} SELECT source_path, pos, target, thread_id, project, len(ctx)::INT AS n_context FROM samples ORDER BY source_path, pos LIMIT 200",
+        "logs_scan": f"""{blocks}, {dialect_b.replace("made AS", "made_b AS").replace("FROM made ", "FROM made_b ")}
+            SELECT 'claude' AS harness, 's' || conv_id AS thread_id, pos, t.kind AS kind, t.text AS text, CASE WHEN t.kind = 'tool_call' THEN 'Run' END AS tool_name, CASE WHEN t.kind = 'tool_call' THEN '{{"z": ' || turn || ', "a": [1, 2]}}' END AS tool_input, t.call AS call_id,
+              model, '' AS cwd, NULL::VARCHAR AS started_at, (count(*) OVER (PARTITION BY conv_id))::INT AS n_turns, {rejected} FROM placed x WHERE conv_id % 10 <> 9
+            UNION ALL SELECT 'codex', thread_id, pos, kind, text, tool_name, tool_input, call_id, model, cwd, started_at, n_turns, {rejected} FROM b x""",
+        "samples_store": f"WITH {samples} SELECT source_path, pos, target, thread_id, project, md5(array_to_string(ctx, '|')) AS context FROM samples ORDER BY source_path, pos LIMIT 200",
         "budget_render": f"""WITH {samples},
             s AS (SELECT source_path, pos, ctx, 'system:PREFIX' || chr(10) || chr(10) || {line} AS sys FROM samples),
             c AS (SELECT *, 1200 - (length(sys) - 1 + 4) - 2 AS room, list_transform(range(1, len(ctx) + 1), lambda i: list_sum(list_transform(list_slice(ctx, i, len(ctx)), lambda x: length(x) - 1 + 4))) AS upto FROM s),

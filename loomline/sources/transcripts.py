@@ -1,16 +1,16 @@
-"""Session logs in JSON Lines, in three dialects, as turns and threads.
+"""Session logs in JSON Lines, in three dialects, as one table of sessions: a row for each turn, with its thread's columns.
 
-turns: source_path, pos, kind (user, assistant, tool_call, tool_result, system), text, turn_model, source_uuid,
-tool_name, tool_input (JSON), call_id, is_error. threads: source_path, thread_id, harness, model, cwd, started_at,
-n_turns. A file is one thread. Malformed lines are skipped; lines that are JSON but no objects are set aside in
-`rejected`, and the rest of the file is read on.
+A file is one thread. Its records meet in one shuffle and are folded in order, in one pass: the head (thread_id, model,
+cwd, started_at), the running model, the places of turns and their number all come from one window. Malformed lines are
+skipped; lines that are JSON but no objects are counted (n_rejected) and set aside in `rejected`, and the file is read on.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,12 +25,26 @@ TURN = "struct<kind:string,text:string,turn_model:string,source_uuid:string,tool
 TURN_COLUMNS = ("kind", "text", "turn_model", "source_uuid", "tool_name", "tool_input", "call_id", "is_error")
 
 
+#: Columns of the turn of a session's row; kind is user, assistant, tool_call, tool_result or system, tool_input is JSON.
+TURN_OUT = ("source_path", "pos", *TURN_COLUMNS)
+THREAD_OUT = ("source_path", "thread_id", "harness", "model", "cwd", "started_at", "n_turns", "n_rejected")
+
+
 @dataclass
 class Logs:
-    turns: DataFrame
-    threads: DataFrame
+    """sessions: the columns of THREAD_OUT and TURN_OUT, and head, which marks one row of each thread. A thread without turns has that row alone, of kind null."""
+
+    sessions: DataFrame
     rejected: DataFrame
 
+    @property
+    def turns(self) -> DataFrame:
+        return self.sessions.filter("kind is not null").select(*TURN_OUT)
+
+    @property
+    def threads(self) -> DataFrame:
+        return self.sessions.filter("head").select(*THREAD_OUT)
+
 
 @F.pandas_udf(T.StringType())
 def spaced_json(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -39,23 +53,45 @@ def spaced_json(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([None if t is None else json.dumps(json.loads(t), ensure_ascii=False) for t in texts], dtype=object)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _all_spaced(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """spaced_json of each item of a list; a null list, as most are, stays null."""
+    for lists in batches:
+        yield pd.Series([None if ts is None else [None if t is None else json.dumps(json.loads(t), ensure_ascii=False) for t in ts] for ts in lists], dtype=object)
+
+
 def _plain(path: str) -> str:
     return path.removeprefix("file://").removeprefix("file:").rstrip("/")
 
 
-def read_records(spark: SparkSession, root: str, pattern: str) -> tuple[DataFrame, DataFrame]:
-    """(records, rejected). Order within a file: (block, line), taken in the scan, before any shuffle."""
+def plain_path(uri: Column) -> Column:
+    """The path of a file as written, from its URI."""
+    return F.url_decode(F.replace(F.regexp_replace(uri, "^file:(?://)?", ""), F.lit("+"), F.lit("%2B")))
+
+
+def read_records(spark: SparkSession, root: str, pattern: str, wanted: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The JSON lines of all files: source_path, block, line, value, v. Order within a file is (block, line), taken in the scan, before any shuffle.
+
+    wanted: of a file's path, whether to read it. It stands right on the scan and looks at nothing but the path, so
+    Spark leaves files out as it lists them and never opens them.
+    """
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        lines = reader.text(root).select(F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), F.expr("make_valid_utf8(value)").alias("value"))
+        lines = reader.text(root)
+        lines = lines.filter(wanted(plain_path(F.col("_metadata.file_path")))) if wanted else lines
+        lines = lines.select(F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), F.expr("make_valid_utf8(value)").alias("value"))
     else:
         lines = spark.createDataFrame([], "uri string, block long, line long, value string")
-    name = F.url_decode(F.replace(F.regexp_replace("uri", "^file:(?://)?", ""), F.lit("+"), F.lit("%2B")))
-    lines = lines.select(name.alias("source_path"), "block", "line", "value").withColumn("v", F.try_parse_json("value")).filter("v is not null")
-    is_object = F.expr("schema_of_variant(v) like 'OBJECT%'")
-    return lines.filter(is_object), lines.filter(~is_object).select("source_path", "block", "line", "value", F.lit("not an object").alias("reason"))
+    return lines.select(plain_path(F.col("uri")).alias("source_path"), "block", "line", "value").withColumn("v", F.try_parse_json("value")).filter("v is not null")
+
+
+_IS_OBJECT = "schema_of_variant(v) like 'OBJECT%'"
+
+
+def rejected_lines(records: DataFrame) -> DataFrame:
+    return records.filter(f"not {_IS_OBJECT}").select("source_path", "block", "line", "value", F.lit("not an object").alias("reason"))
 
 
 def _text(path: str, of: str = "v") -> Column:
@@ -105,9 +141,11 @@ def _blocks() -> Column:
 
 
 def parse_a(records: DataFrame) -> DataFrame:
-    """Turns and head of each record of dialect A: source_path, block, line, turns, saw, cwd, session, started, model."""
+    """Turns and head of each record of dialect A: source_path, block, line, turns, saw, cwd, session, started, model, rejected."""
     rows = records.withColumn("type", _text("$.type")).filter(F.coalesce(~F.col("type").isin(*SKIPPED_RECORDS), F.lit(True)) & ~_truthy(_text("$.isSidechain")))
-    rows = rows.withColumn("texts", F.expr("from_json(value, 'message struct<content array<string>>').message.content")).withColumn("blocks", _blocks())
+    # blocks as written are needed for tools alone; their names are in the line as they are, or with escapes
+    tools = F.expr("contains(value, 'tool_use') or contains(value, 'tool_result') or contains(value, '\\\\u')")
+    rows = rows.withColumn("texts", F.when(tools, F.expr("from_json(value, 'message struct<content array<string>>').message.content"))).withColumn("blocks", _blocks())
     rows = rows.withColumns({"content_kind": _kind("$.message.content"), "uuid": _text("$.uuid"), "own_model": F.when(F.col("type") == "assistant", F.nullif(_text("$.message.model"), F.lit("")))})
     rows = rows.withColumn("parts", F.expr(f"""
         transform(blocks, x -> named_struct('type', try_variant_get(x.b, '$.type', 'string'), 'text', coalesce(try_variant_get(x.b, '$.text', 'string'), ''),
@@ -138,7 +176,7 @@ def parse_a(records: DataFrame) -> DataFrame:
     turns = F.when(F.col("type") == "user", user).when(F.col("type") == "assistant", answered).when(F.col("type") == "system", system).otherwise(_no_turns())
     rows = rows.withColumn("turns", turns)
     saw = (F.col("type") == "assistant") | ((F.col("type") == "user") & (F.size("turns") > 0))
-    return rows.select("source_path", "block", "line", "turns", F.coalesce(saw, F.lit(False)).alias("saw"), _text("$.cwd").alias("cwd"), _text("$.sessionId").alias("session"), _text("$.timestamp").alias("started"), F.col("own_model").alias("model"))
+    return rows.select("source_path", "block", "line", "turns", F.coalesce(saw, F.lit(False)).alias("saw"), _text("$.cwd").alias("cwd"), _text("$.sessionId").alias("session"), _text("$.timestamp").alias("started"), F.col("own_model").alias("model"), F.expr(f"not {_IS_OBJECT}").alias("rejected"))
 
 
 def parse_b(records: DataFrame, s: Settings = DEFAULT) -> DataFrame:
@@ -176,7 +214,7 @@ def parse_b(records: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     first_real = F.min(F.when(is_user & ~preamble(text, s), order)).over(W.partitionBy("source_path"))
     rows = rows.withColumn("real", first_real).filter(~(F.coalesce(is_user, F.lit(False)) & preamble(text, s) & F.coalesce(order < F.col("real"), F.lit(True))))
     head = lambda p: F.when(meta, _text(f"$.payload.{p}"))
-    return rows.select("source_path", "block", "line", "turns", (F.size("turns") > 0).alias("saw"), head("cwd").alias("cwd"), head("id").alias("session"), head("timestamp").alias("started"), head("model").alias("model"))
+    return rows.select("source_path", "block", "line", "turns", (F.size("turns") > 0).alias("saw"), head("cwd").alias("cwd"), head("id").alias("session"), head("timestamp").alias("started"), head("model").alias("model"), F.expr(f"not {_IS_OBJECT}").alias("rejected"))
 
 
 def preamble(text: Column, s: Settings = DEFAULT) -> Column:
@@ -184,44 +222,56 @@ def preamble(text: Column, s: Settings = DEFAULT) -> Column:
     return F.coalesce((text != "") & (lstrip(text).startswith(PREAMBLE_MARK) | (F.length(text) > s.preamble_chars)), F.lit(False))
 
 
-def assemble(rows: DataFrame, rejected: DataFrame, harness: str, first_start: bool) -> Logs:
-    order = F.struct("block", "line")
-    heads = rows.groupBy("source_path").agg(
-        latest(F.col("session"), order).alias("session"), latest(F.col("model"), order).alias("model"), latest(F.col("cwd"), order).alias("cwd"),
-        latest(F.col("started"), order, first_start).alias("started_at"), F.max("saw").alias("saw"), F.sum(F.size("turns")).cast("int").alias("n_turns"),
+def fold(rows: DataFrame, harness: str, first_start: bool) -> DataFrame:
+    """Sessions of parsed records (as from parse_a, parse_b): one shuffle by file, one sort, one window.
+
+    Python respaces JSON before the shuffle, as Spark takes rows that come from it for dealt at random.
+    """
+    has_json = lambda t: t["tool_input"].isNotNull() | F.coalesce(t["as_json"], F.lit(False))
+    raw = F.transform("turns", lambda t: F.when(has_json(t), F.coalesce(t["tool_input"], t["text"])))
+    rows = rows.withColumn("_json", _all_spaced(F.when(F.exists("turns", has_json), raw)))
+    w = W.partitionBy("source_path").orderBy("block", "line")
+    whole, upto, before = (w.rowsBetween(W.unboundedPreceding, end) for end in (W.unboundedFollowing, W.currentRow, -1))
+    last = lambda c: F.last(F.nullif(F.col(c), F.lit("")), True).over(whole)
+    started = F.first(F.nullif(F.col("started"), F.lit("")), True).over(whole) if first_start else last("started")
+    n = F.size("turns")
+    folded = rows.withColumns({
+        "_saw": F.max("saw").over(whole), "_session": last("session"), "_model": last("model"), "_cwd": last("cwd"), "started_at": started, "n_turns": F.sum(n).over(whole).cast("int"),
+        "n_rejected": F.sum(F.col("rejected").cast("long")).over(whole), "_so_far": F.last("model", True).over(upto), "_from": F.coalesce(F.sum(n).over(before), F.lit(0)), "_at": F.row_number().over(w),
+    })
+    placed = folded.filter((F.col("_saw")) & ((n > 0) | (F.col("_at") == 1)))
+    placed = placed.select("*", F.posexplode_outer("turns").alias("at", "turn"))
+    spaced = F.get("_json", F.col("at"))
+    body = F.when(F.coalesce("turn.as_json", F.lit(False)), spaced).otherwise(F.col("turn.text"))
+    return placed.select(
+        "source_path", F.coalesce("_session", "source_path").alias("thread_id"), F.lit(harness).alias("harness"), F.coalesce("_model", F.lit("")).alias("model"), F.coalesce("_cwd", F.lit("")).alias("cwd"), "started_at", "n_turns", "n_rejected",
+        (F.coalesce("at", F.lit(0)) + F.col("_at") == 1).alias("head"), F.when(F.col("at").isNotNull(), F.col("_from") + F.col("at")).cast("int").alias("pos"), "turn.kind", body.alias("text"),
+        F.when(F.col("turn.kind") == "assistant", F.coalesce("turn.turn_model", "_so_far")).alias("turn_model"), "turn.source_uuid", "turn.tool_name", F.when(F.col("turn.tool_input").isNotNull(), spaced).alias("tool_input"), "turn.call_id", F.coalesce("turn.is_error", F.lit(False)).alias("is_error"),
     )
-    threads = heads.filter("saw").select("source_path", F.coalesce("session", "source_path").alias("thread_id"), F.lit(harness).alias("harness"), F.coalesce("model", F.lit("")).alias("model"), F.coalesce("cwd", F.lit("")).alias("cwd"), "started_at", "n_turns")
-    w = W.partitionBy("source_path")
-    models = rows.withColumn("so_far", F.last("model", True).over(w.orderBy("block", "line").rowsBetween(W.unboundedPreceding, W.currentRow)))
-    placed = models.select("source_path", "block", "line", "so_far", F.posexplode("turns").alias("at", "turn")).withColumn("pos", F.row_number().over(w.orderBy("block", "line", "at")) - 1)
-    model = F.when(F.col("turn.kind") == "assistant", F.coalesce("turn.turn_model", "so_far"))
-    body = F.when(F.coalesce("turn.as_json", F.lit(False)), spaced_json(F.when(F.coalesce("turn.as_json", F.lit(False)), F.col("turn.text")))).otherwise(F.col("turn.text"))
-    turns = placed.select("source_path", "pos", "turn.kind", body.alias("text"), model.alias("turn_model"), "turn.source_uuid", "turn.tool_name", spaced_json("turn.tool_input").alias("tool_input"), "turn.call_id", F.coalesce("turn.is_error", F.lit(False)).alias("is_error"))
-    return Logs(turns.join(threads.select("source_path"), "source_path", "left_semi"), threads, rejected)
 
 
 def load_a(spark: SparkSession, root: str) -> Logs:
     """Files *.jsonl at any depth below a subfolder of root, but for folders named subagents."""
-    records, rejected = read_records(spark, root, "*.jsonl")
-    below = F.substring(F.col("source_path"), len(_plain(root)) + 2, 1 << 20)
-    wanted = F.contains(below, F.lit("/")) & ~F.contains(F.concat(F.lit("/"), F.col("source_path"), F.lit("/")), F.lit("/subagents/"))
-    return assemble(parse_a(records.filter(wanted)), rejected.filter(wanted), "claude", True)
+    start = len(_plain(root)) + 2
+
+    def wanted(path: Column) -> Column:
+        return F.contains(F.substring(path, start, 1 << 20), F.lit("/")) & ~F.contains(path, F.lit("/subagents/"))
+
+    records = read_records(spark, root, "*.jsonl", wanted)
+    return Logs(fold(parse_a(records), "claude", True), rejected_lines(records))
 
 
 def load_b(spark: SparkSession, root: str, s: Settings = DEFAULT) -> Logs:
     """Files rollout-*.jsonl at any depth."""
-    records, rejected = read_records(spark, root, "rollout-*.jsonl")
-    return assemble(parse_b(records, s), rejected, "codex", False)
+    records = read_records(spark, root, "rollout-*.jsonl")
+    return Logs(fold(parse_b(records, s), "codex", False), rejected_lines(records))
 
 
 def load_c(spark: SparkSession, root: str) -> Logs:
     """Dialect C has no known format: it yields nothing."""
-    records, rejected = read_records(spark, root, "*.jsonl")
-    logs = assemble(parse_b(records.filter("false")), rejected.filter("false"), "gemini", False)
-    return logs
+    none = spark.createDataFrame([], "source_path string, block long, line long, value string").withColumn("v", F.try_parse_json("value"))
+    return Logs(fold(parse_b(none), "gemini", False), rejected_lines(none))
 
 
 def union(*logs: Logs) -> Logs:
-    from functools import reduce
-
-    return Logs(*(reduce(DataFrame.unionByName, (getattr(x, part) for x in logs)) for part in ("turns", "threads", "rejected")))
+    return Logs(*(reduce(DataFrame.unionByName, (getattr(x, part) for x in logs)) for part in ("sessions", "rejected")))
