@@ -1,56 +1,46 @@
-"""Graders, judges and generators that run as commands. Anything that makes a function from text to text will do in their place."""
+"""Graders, judges and generators that run as commands. Anything that makes a function from text to text will do in their place.
+
+A command's output is kept as it is; what it says is read from it as columns.
+"""
 
 from __future__ import annotations
 
-import json
 import subprocess
 from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-Reader = Callable[[str], str]
-
-
-def plain(output: str) -> str:
-    return output.strip()
+from loomline.operators.calls import Ask
 
+ENVELOPE = "result string, is_error boolean, usage struct<input_tokens long, output_tokens long>"
 
-def _envelope(output: str) -> tuple[str, dict]:
-    """The answer and the usage of an output that is one JSON object with result, is_error and usage; one that reports an error raises."""
-    answer = json.loads(output)
-    if answer.get("is_error"):
-        raise RuntimeError(f"the command reports an error: {str(answer.get('result'))[:300]}")
-    return answer["result"], answer.get("usage") or {}
 
+def plain(output: Column) -> Column:
+    """All of the output, without the spaces and newlines around it."""
+    return F.regexp_replace(output, r"\A\s+|\s+\z", "")
 
-def enveloped(output: str) -> str:
-    return _envelope(output)[0]
 
+def enveloped(output: Column) -> Column:
+    """The result of an output that is one JSON object; null if it isn't one, or reports an error."""
+    told = F.from_json(output, ENVELOPE)
+    return F.when(~F.coalesce(told["is_error"], F.lit(False)), told["result"])
 
-def metered(output: str) -> str:
-    """The answer with its token counts, for metered_answer()."""
-    text, usage = _envelope(output)
-    return json.dumps({"text": text, "prompt_tokens": int(usage.get("input_tokens") or 0), "completion_tokens": int(usage.get("output_tokens") or 0)})
 
+def usage(output: Column) -> Column:
+    """struct(prompt_tokens, completion_tokens) of such an output, zeros where it names none: for stats.costs()."""
+    told = F.from_json(output, ENVELOPE)["usage"]
+    return F.struct(*(F.coalesce(told[a], F.lit(0).cast("long")).alias(b) for a, b in (("input_tokens", "prompt_tokens"), ("output_tokens", "completion_tokens"))))
 
-def metered_answer(answer: Column) -> Column:
-    """struct(text, prompt_tokens, completion_tokens) of what metered() gave: rows for costs()."""
-    return F.from_json(answer, "text string, prompt_tokens long, completion_tokens long")
 
+#: How the answer is read from a command's output, by name.
+READERS: dict[str, Callable[[Column], Column]] = {"plain": plain, "json": enveloped}
 
-#: How a command's output is read, by name.
-READERS: dict[str, Reader] = {"plain": plain, "json": enveloped, "metered": metered}
 
-
-def command(argv: list[str], timeout: float = 60.0, read: str = "plain") -> Callable[[], Callable[[str], str]]:
-    """A backend that gives the prompt to a command's standard input and reads its output; a failure or timeout raises, and so leaves a null."""
-    reader = READERS[read]
+def command(argv: list[str], timeout: float = 60.0) -> Ask:
+    """A backend that gives the prompt to a command's standard input and returns its output; a failure or timeout raises."""
 
     def make() -> Callable[[str], str]:
-        def ask(prompt: str) -> str:
-            return reader(subprocess.run(argv, input=prompt, capture_output=True, text=True, timeout=timeout, check=True).stdout)
-
-        return ask
+        return lambda prompt: subprocess.run(argv, input=prompt, capture_output=True, text=True, timeout=timeout, check=True).stdout
 
     return make

@@ -14,8 +14,10 @@ from loomline.config import DEFAULT, Settings
 from loomline.functions import messages as M
 from loomline.functions import scoring as S
 from loomline.functions.keys import label_key
+from loomline.operators.calls import Ask, Caller, Calls
 
 LABEL_SCHEMA = "key string, score int, method string, target_len int, thread_id string"
+LABEL_COLUMNS = ("key", "score", "method", "target_len", "thread_id")
 #: A grader's question. {convo} and {reply} are filled in; the answer has to hold a line CAN_AUTO_RESPOND: <number>%.
 GRADER_PROMPT = """\
 Recent conversation:
@@ -61,35 +63,38 @@ def heuristic_labels(samples: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     return rows.select("key", score.alias("score"), F.concat(F.lit("heuristic_"), "zone").alias("method"), "target_len", "thread_id")
 
 
-def grade(prompt: Column, ask: Callable[[], Callable[[str], str]]) -> Column:
-    """Answers of an external grader; `ask` makes it, once in each Python worker. An error gives null."""
+def grade(prompt: Column, ask: Ask, calls: Calls = Calls()) -> Column:
+    """Answers of an external grader, in the order of the rows; several calls at once, see Calls. A call that fails for good gives null."""
 
     @F.pandas_udf(T.StringType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        grader = ask()
-
-        def safe(text: str) -> str | None:
-            try:
-                return grader(text)
-            except Exception:  # one failed call leaves its row for the next run
-                return None
-
-        for texts in batches:
-            yield texts.map(safe)
+        with Caller(ask, calls) as caller:
+            for texts in batches:
+                yield pd.Series(caller.all(texts.tolist()), index=texts.index, dtype=object)
 
     return run(prompt)
 
 
-def graded_labels(samples: DataFrame, labels: DataFrame, ask: Callable[[], Callable[[str], str]], name: str, limit: int | None = None, prompt: str = GRADER_PROMPT, s: Settings = DEFAULT, lot: tuple[int, int] = (0, 1)) -> DataFrame:
-    """Records for the middle zone. The limit counts labeled ones too; rows without an answer stay unlabeled. lot: (i, n) asks for one of n lots of keys only."""
+def questions(samples: DataFrame, labels: DataFrame, limit: int | None = None, prompt: str = GRADER_PROMPT, s: Settings = DEFAULT) -> DataFrame:
+    """key, question, target_len, thread_id of the middle zone's samples without a label. The limit counts labeled ones too."""
     rows = samples.filter("zone = 'middle'")
     rows = rows.orderBy("source_path", "pos").limit(limit) if limit is not None else rows
-    rows = unlabeled(first_wins(rows), labels).filter(F.pmod(F.xxhash64("key"), F.lit(lot[1])) == lot[0])
     question = F.replace(F.replace(F.lit(prompt), F.lit("{convo}"), M.labeler_text(F.col("context_messages"), s)), F.lit("{reply}"), F.col("target"))
-    rows = rows.withColumn("score", S.parse_score(grade(question, ask))).filter("score is not null")
+    return unlabeled(first_wins(rows), labels).select("key", question.alias("question"), "target_len", "thread_id")
+
+
+def answered_labels(answers: DataFrame, name: str, read: Callable[[Column], Column] = lambda x: x) -> DataFrame:
+    """Records from answers (key, answer, target_len, thread_id); one without a score stays unlabeled. read: the answer in an output."""
+    rows = answers.withColumn("score", S.parse_score(read(F.col("answer")))).filter("score is not null")
     return rows.select("key", "score", F.lit(f"grader:{name}").alias("method"), "target_len", "thread_id")
 
 
+def graded_labels(samples: DataFrame, labels: DataFrame, ask: Ask, name: str, limit: int | None = None, prompt: str = GRADER_PROMPT, s: Settings = DEFAULT, calls: Calls = Calls()) -> DataFrame:
+    """Records for the middle zone, asked for as the rows are read. plans.dataset.label_dataset keeps each answer as it comes."""
+    asked = questions(samples, labels, limit, prompt, s)
+    return answered_labels(asked.withColumn("answer", grade(F.col("question"), ask, calls)), name)
+
+
 def training_rows(samples: DataFrame, labels: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """messages, target, target_score, project (and source_path, pos): the label's score where there is one, else that by length. Spark broadcasts the labels if they are small."""
     rows = keyed(samples, s).join(labels.select("key", F.col("score").alias("given")), "key", "left")

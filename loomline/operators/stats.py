@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomline.config import DEFAULT, OTHER_PRICE, PRICES, Settings
 from loomline.functions.keys import split_side
+from loomline.operators.calls import BudgetExceeded
 from loomline.operators.samples import Samples
 
 THREAD_REASONS = ("date", "cwd", "slug", "hide_test", "ai_writing", "worker")
@@ -64,10 +65,6 @@ def costs(usage: DataFrame, prices: DataFrame) -> DataFrame:
     return sums.join(prices, "model", "left").select("model", "prompt_tokens", "completion_tokens", usd.alias("usd"))
 
 
-class BudgetExceeded(RuntimeError):
-    """More was spent than allowed."""
-
-
 def check_budget(usage: DataFrame, prices: DataFrame, most_usd: float) -> float:
     spent = costs(usage, prices).agg(F.coalesce(F.sum("usd"), F.lit(0.0))).first()[0]
     if spent > most_usd:

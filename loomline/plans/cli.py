@@ -8,6 +8,7 @@ import shlex
 from pyspark.sql import SparkSession
 
 from loomline.operators.backends import READERS, command
+from loomline.operators.calls import Budget, Calls, json_tokens
 from loomline.operators.stats import corpus_report
 from loomline.plans.dataset import build_dataset, label_dataset, training_dataset
 
@@ -25,7 +26,11 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     label.add_argument("--samples", nargs="+", required=True)
     label.add_argument("--labels", required=True)
     label.add_argument("--grader", help="a command that reads a prompt and answers for the middle zone")
-    label.add_argument("--answers", choices=[r for r in READERS if r != "metered"], default="plain", help="plain text, or a JSON object with result, is_error and usage")
+    label.add_argument("--answers", choices=list(READERS), default="plain", help="plain text, or a JSON object with result, is_error and usage")
+    label.add_argument("--in-flight", type=int, default=4, help="calls of a task at a time")
+    label.add_argument("--per-second", type=float, help="calls that the job may start a second")
+    label.add_argument("--budget", type=float, help="dollars; beyond them nothing more is asked. Needs --answers json")
+    label.add_argument("--model", default="", help="whose prices the budget counts by")
     label.add_argument("--limit", type=int)
     label.add_argument("--dry-run", action="store_true", help="only count the zones")
     rows = jobs.add_parser("rows")
@@ -44,8 +49,9 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
 
         zone_histogram(keyed(read_samples(spark, a.samples))).show()
     elif a.job == "label":
-        grader = command(shlex.split(a.grader), read=a.answers) if a.grader else None
-        label_dataset(spark, a.samples, a.labels, grader, a.grader or "", a.limit).show()
+        grader = command(shlex.split(a.grader)) if a.grader else None
+        budget = Budget(a.budget, a.model, json_tokens) if a.budget is not None else None
+        label_dataset(spark, a.samples, a.labels, grader, a.grader or "", a.limit, read=READERS[a.answers], calls=Calls(a.in_flight), per_second=a.per_second, budget=budget).show()
     else:
         training_dataset(spark, a.samples, a.labels).write.mode("overwrite").parquet(a.out)
 

@@ -12,13 +12,18 @@ from pyspark.sql import functions as F
 
 from loomline.config import DEFAULT, TRUNCATION_MARK
 from loomline.functions import messages as M
-from loomline.functions.tokens import CodePoints, Maker
+from loomline.functions.tokens import CodePoints, FileTokenizer, Maker
 from loomline.operators import labels as L
 from loomline.operators import rendering as R
 from loomline.operators import samples as P
 from loomline.operators import scoring as C
+from loomline.operators import stats as T
+from loomline.operators.backends import command, enveloped, usage
+from loomline.operators.calls import Calls
+from loomline.plans.dataset import label_dataset
 from loomline.plans.fixtures import sessions
 from loomline.sources import jsonl, transcripts
+from loomline.sources.label_store import LabelStore
 from loomline.sources.scratch import cut, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -197,7 +202,7 @@ def _embedder() -> Callable[[list[str]], np.ndarray]:
 @query
 def reply_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A judge that fails or can't tell, and an embedder that sees lengths."""
-    got = C.score_replies(_replies(spark, sf_dir), _judge, _embedder)
+    got = C.score_replies(_replies(spark, sf_dir), _judge, _embedder, calls=_CALLS)
     return got.select("source_path", "pos", "judge", F.round("embed", 5).alias("embed"), F.round("length", 6).alias("length"), F.round("combined", 5).alias("combined"))
 
 
@@ -211,15 +216,85 @@ def _grader() -> Callable[[str], str]:
     return ask
 
 
+def _sure_grader() -> Callable[[str], str]:
+    return lambda prompt: "CAN_AUTO_RESPOND: 50%"
+
+
+#: Quick second attempts: these graders and judges fail for good or not at all.
+_CALLS = Calls(in_flight=8, attempts=2, pause=0.001)
+
+
 @query
 def graded_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The middle zone by a grader that fails on some, without those labeled before."""
     samples = L.keyed(_samples(spark, sf_dir))
-    return L.graded_labels(samples, samples.filter("pos % 4 = 2"), _grader, "lengths").select("key", "score", "method", "target_len", "thread_id")
+    return L.graded_labels(samples, samples.filter("pos % 4 = 2"), _grader, "lengths", calls=_CALLS).select("key", "score", "method", "target_len", "thread_id")
+
+
+@query
+def stored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way into a label store: samples from disk, heuristic zones, then answers of a grader kept as they come; a second run with a grader that always answers labels what the first left; old and new versions of the store."""
+    with scratch(spark) as where:
+        jsonl.write_samples(_samples(spark, sf_dir), f"{where}/samples")
+        for ask, name in ((_grader, "lengths"), (_sure_grader, "sure")):
+            label_dataset(spark, [f"{where}/samples"], f"{where}/labels", ask, name, calls=_CALLS, buckets=8)
+        store = LabelStore(spark, f"{where}/labels", 8)
+        store.compact()
+        return cut(store.read())
+
+
+@query
+def command_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outputs of a command that gives back its input: answers, errors and usage read as columns, and what each model costs."""
+    made = F.expr("""case when doc_id % 7 = 0 then 'no json' else to_json(named_struct('result', source || ' says ' || lang, 'is_error', doc_id % 5 = 0, 'usage', if(doc_id % 3 = 0, null, named_struct('input_tokens', n_chars, 'output_tokens', doc_id % 10)))) end""")
+    rows = _table(spark, sf_dir, "documents").select("doc_id", "lang", made.alias("prompt"))
+    output = rows.withColumn("output", L.grade(F.col("prompt"), command(["cat"]), _CALLS))
+    told = output.select("lang", enveloped(F.col("output")).alias("answer"), usage(F.col("output")).alias("u"))
+    sums = T.costs(told.select(F.expr("case lang when 'en' then 'openai/gpt-4o' else 'lang/' || lang end").alias("model"), "u.prompt_tokens", "u.completion_tokens"), T.price_table(spark))
+    answers = told.groupBy(F.expr("case lang when 'en' then 'openai/gpt-4o' else 'lang/' || lang end").alias("model")).agg(F.count("answer").alias("answers"), F.count("*").alias("calls"))
+    return sums.join(answers, "model").select("model", "prompt_tokens", "completion_tokens", F.round("usd", 6).alias("usd"), "answers", "calls")
+
+
+@query
+def prompt_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A candidate log, its best prompt of each project written to the store, some of them twice, and samples that look theirs up."""
+    docs = _table(spark, sf_dir, "documents")
+    with scratch(spark) as where:
+        for stage in ("prefix", "suffix"):
+            jsonl.append_candidates(docs.select(F.lit(stage).alias("stage"), F.col("source").alias("project"), F.concat(F.lit(stage), F.lit(": "), "lang").alias("candidate"), (F.col("n_chars") % 1000 / 8).alias("score"), F.lit(0.5).alias("wall_time"), F.col("doc_id").cast("string").alias("extra")), f"{where}/log")
+        log = jsonl.read_candidates(spark, f"{where}/log").filter("stage = 'suffix' and project <> 'src3'")
+        best = log.groupBy("project").agg(F.max_by("candidate", F.struct("score", F.col("extra").cast("long"))).alias("suffix"))
+        jsonl.write_prompt(spark, f"{where}/prompts", "PREFIX\nline two")
+        for r in best.toLocalIterator():  # one small file for each project
+            jsonl.write_prompt(spark, f"{where}/prompts", "to be replaced", r["project"])
+            jsonl.write_prompt(spark, f"{where}/prompts", r["suffix"], r["project"])
+        prefix, suffixes = jsonl.read_prompts(spark, f"{where}/prompts")
+        rows = R.join_prompts(docs.select("doc_id", F.col("source").alias("project"), F.col("lang").alias("model")), prefix, suffixes)
+        return cut(rows.select("doc_id", "suffix", M.system_prompt(F.col("prefix"), F.col("suffix"), F.col("model"), F.lit("h"), F.lit("/c")).alias("system")))
+
+
+@query
+def vocabulary_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training rows as ids of a real vocabulary with the prompt masked."""
+    rows = L.training_rows(_samples(spark, sf_dir), spark.createDataFrame([], L.LABEL_SCHEMA))
+    return R.token_rows(rows, _vocabulary, 1, 0, 2048).select("source_path", "pos", "input_ids", "attention_mask", "labels")
+
+
+@query
+def vocabulary_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts within 300 tokens of a real vocabulary."""
+    got = R.render(_samples(spark, sf_dir, _vocabulary), F.lit("PREFIX"), F.lit("SUFFIX"), _vocabulary, 300)
+    return got.select("source_path", "pos", "messages")
+
+
+def _vocabulary() -> FileTokenizer:
+    import public_tokenizers
+
+    return FileTokenizer(str(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 def _echo() -> Callable[[str], str]:
-    return lambda prompt: prompt[-30:] + " "
+    return lambda prompt: prompt + " "
 
 
 @query
@@ -293,7 +368,14 @@ def _sql() -> dict[str, str]:
         "graded_labels": f"""WITH {samples}, k AS (SELECT *, {o._KEY.format('thread_id', 'target')} AS key FROM samples WHERE length(target) > 150 AND length(target) <= 800), f AS (SELECT key, arg_min(target, (source_path, pos)) AS target, any_value(thread_id) AS thread_id FROM k GROUP BY key),
             done AS (SELECT {o._KEY.format('thread_id', 'target')} AS key FROM samples WHERE pos % 4 = 2)
             SELECT key, greatest(50, least(90, length(target) % 100))::INT AS score, 'grader:lengths' AS method, length(target)::INT AS target_len, thread_id FROM f WHERE key NOT IN (SELECT key FROM done) AND length(target) % 4 <> 0""",
-        "generated_replies": f"WITH {samples} SELECT source_path, pos, trim(right('[SYSTEM]' || chr(10) || 'Be brief.' || chr(10) || chr(10) || '[USER]' || chr(10) || target, 30), ' ') AS reply FROM samples",
+        "generated_replies": f"WITH {samples} SELECT source_path, pos, trim('[SYSTEM]' || chr(10) || 'Be brief.' || chr(10) || chr(10) || '[USER]' || chr(10) || target, ' ') AS reply FROM samples",
+        "stored_labels": f"""WITH {samples}, k AS (SELECT *, {o._KEY.format('thread_id', 'target')} AS key, length(target)::INT AS n FROM samples), f AS (SELECT key, arg_min(n, (source_path, pos)) AS target_len, any_value(thread_id) AS thread_id FROM k GROUP BY key)
+            SELECT key, target_len, thread_id, (CASE WHEN target_len <= 150 THEN round(100 - 10 * target_len / 150) WHEN target_len > 800 THEN greatest(0, round(50 * exp(-0.002 * (target_len - 800)))) WHEN target_len % 4 <> 0 THEN greatest(50, least(90, target_len % 100)) ELSE 50 END)::INT AS score,
+              CASE WHEN target_len <= 150 THEN 'heuristic_short' WHEN target_len > 800 THEN 'heuristic_long' WHEN target_len % 4 <> 0 THEN 'grader:lengths' ELSE 'grader:sure' END AS method FROM f""",
+        "command_costs": """WITH u AS (SELECT CASE lang WHEN 'en' THEN 'openai/gpt-4o' ELSE 'lang/' || lang END AS model, CASE WHEN doc_id % 7 = 0 OR doc_id % 3 = 0 THEN 0 ELSE n_chars END AS i, CASE WHEN doc_id % 7 = 0 OR doc_id % 3 = 0 THEN 0 ELSE doc_id % 10 END AS o, doc_id % 7 <> 0 AND doc_id % 5 <> 0 AS fine FROM documents)
+            SELECT model, sum(i)::BIGINT AS prompt_tokens, sum(o)::BIGINT AS completion_tokens, round((sum(i) * CASE WHEN model LIKE 'openai%' THEN 2.5 ELSE 1.0 END + sum(o) * CASE WHEN model LIKE 'openai%' THEN 10.0 ELSE 3.0 END)::DOUBLE / 1000000, 6) AS usd, count(*) FILTER (WHERE fine) AS answers, count(*) AS calls FROM u GROUP BY model""",
+        "prompt_store": """WITH best AS (SELECT source, 'suffix: ' || arg_max(lang, (n_chars % 1000, doc_id)) AS suffix FROM documents WHERE source <> 'src3' GROUP BY source)
+            SELECT doc_id, suffix, 'PREFIX' || chr(10) || 'line two' || coalesce(chr(10) || chr(10) || suffix, '') || chr(10) || chr(10) || 'This is a log from model ' || lang || ' in harness h, cwd /c. Respond as the user.' AS system FROM documents LEFT JOIN best USING (source)""",
         "prefix_strip": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN regexp_replace(text, '^\\n+', '') WHEN 1 THEN regexp_replace(text, '^\\n+', '') ELSE CASE WHEN starts_with(text || source, source) THEN regexp_replace(substr(text || source, length(source) + 1), '^\\n+', '') ELSE text || source END END AS rest FROM documents",
     }
 

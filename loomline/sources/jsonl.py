@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.operators.labels import LABEL_SCHEMA, last_wins, unlabeled
+from loomline.operators.labels import LABEL_COLUMNS, LABEL_SCHEMA, last_wins
+from loomline.sources.scratch import delete, exists, file_system, names
 
+CANDIDATE_SCHEMA = "stage string, project string, candidate string, score double, wall_time double, extra string"
 SAMPLE_SCHEMA = "context_messages array<struct<role: string, content: string>>, target string, project string, harness string, model string, cwd string, source_path string, thread_id string, pos int"
 
 
 def _there(spark: SparkSession, paths: list[str]) -> list[str]:
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    hadoop = [jvm.org.apache.hadoop.fs.Path(p) for p in paths]
-    return [p for p, h in zip(paths, hadoop, strict=True) if h.getFileSystem(conf).exists(h)]
+    return [p for p in paths if exists(spark, p)]
 
 
 def read_samples(spark: SparkSession, paths: list[str] | str, n: int | None = None) -> DataFrame:
@@ -29,16 +31,16 @@ def write_samples(samples: DataFrame, path: str) -> None:
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """One record a key, the last written; none if the store isn't there yet."""
-    if not _there(spark, [path]):
+    """Labels from elsewhere, as JSON Lines: one record a key, the last by file name and line. What this library writes is in a LabelStore."""
+    if not exists(spark, path):
         return spark.createDataFrame([], LABEL_SCHEMA)
-    rows = spark.read.schema(LABEL_SCHEMA).json(path).withColumns({"_at": F.struct(F.col("_metadata.file_modification_time"), F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())})
+    rows = spark.read.schema(LABEL_SCHEMA).json(path).withColumn("_at", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()))
     return last_wins(rows, "_at").drop("_at")
 
 
-def append_labels(labels: DataFrame, path: str) -> None:
-    """Appends those whose key isn't there, so a rerun adds nothing."""
-    unlabeled(labels, read_labels(labels.sparkSession, path)).select("key", "score", "method", "target_len", "thread_id").write.mode("append").json(path)
+def write_labels(labels: DataFrame, path: str) -> None:
+    """A store's labels as JSON Lines, for those who read these."""
+    labels.select(*LABEL_COLUMNS).write.mode("overwrite").json(path)
 
 
 def append_candidates(rows: DataFrame, path: str) -> None:
@@ -46,20 +48,42 @@ def append_candidates(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+def read_candidates(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of a candidate log; none if it isn't there yet."""
+    return spark.read.schema(CANDIDATE_SCHEMA).json(path) if exists(spark, path) else spark.createDataFrame([], CANDIDATE_SCHEMA)
+
+
 def write_prompt(spark: SparkSession, folder: str, text: str, project: str | None = None) -> None:
-    """Replaces the shared prefix, or a project's suffix."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/prefix.txt" if project is None else f"{folder}/suffix/{project}.txt")
-    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    """Replaces the shared prefix, or a project's suffix. It is written aside and renamed under the next version's name, so a reader sees the old text or the new one, never half of either."""
+    where = folder if project is None else f"{folder}/suffix"
+    name = "prefix" if project is None else project
+    fs, aside = file_system(spark, f"{where}/_new-{uuid.uuid4().hex}")
+    out = fs.create(aside, True)
     out.write(bytearray(text.encode()))
     out.close()
+    version = max(_versions(spark, where, name), default=0) + 1
+    while not fs.rename(aside, file_system(spark, f"{where}/{name}.{version:08d}.txt")[1]):  # another writer was first
+        version += 1
+        if version > 10**8 - 1:
+            raise OSError(f"{where}/{name}: no further version")
+    for old in _versions(spark, where, name):
+        if old < version - 1:  # the last but one stays for those who have just listed it
+            delete(spark, f"{where}/{name}.{old:08d}.txt")
+
+
+def _versions(spark: SparkSession, where: str, name: str) -> list[int]:
+    return [int(n[len(name) + 1 : -4]) for n in names(spark, where) if n.startswith(f"{name}.") and n.endswith(".txt") and n[len(name) + 1 : -4].isdigit()]
 
 
 def read_prompts(spark: SparkSession, folder: str) -> tuple[str, DataFrame]:
-    """The shared prefix, and project and suffix of each file suffix/<project>.txt. A missing prefix is an error."""
-    if not _there(spark, [f"{folder}/prefix.txt"]):
-        raise FileNotFoundError(f"{folder}/prefix.txt")
-    prefix = spark.read.text(f"{folder}/prefix.txt", wholetext=True).first()["value"]
-    if not _there(spark, [f"{folder}/suffix"]):
+    """The shared prefix, and project and suffix of each project that has one. A missing prefix is an error. Files without a version, prefix.txt and suffix/<project>.txt, count where there is none with one."""
+    versions = _versions(spark, folder, "prefix")
+    found = f"{folder}/prefix.{max(versions):08d}.txt" if versions else f"{folder}/prefix.txt"
+    if not exists(spark, found):
+        raise FileNotFoundError(found)
+    prefix = spark.read.text(found, wholetext=True).first()["value"]
+    if not exists(spark, f"{folder}/suffix"):
         return prefix, spark.createDataFrame([], "project string, suffix string")
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.txt$", 1)
-    return prefix, spark.read.text(f"{folder}/suffix", wholetext=True, pathGlobFilter="*.txt").select(name.alias("project"), F.col("value").alias("suffix"))
+    rows = spark.read.text(f"{folder}/suffix", wholetext=True, pathGlobFilter="*.txt")
+    part = lambda i: F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.(\d{8}))?\.txt$", i)
+    return prefix, rows.groupBy(part(1).alias("project")).agg(F.max_by("value", part(2)).alias("suffix"))

@@ -32,9 +32,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def delete(spark: SparkSession, path: str) -> None:
+def file_system(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it takes it."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = file_system(spark, path)
+    return fs.exists(where)
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder; none if it isn't there."""
+    fs, where = file_system(spark, folder)
+    return sorted(f.getPath().getName() for f in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, where = file_system(spark, path)
+    fs.delete(where, True)
 
 
 @contextmanager

@@ -5,8 +5,11 @@ import sys
 
 import pytest
 
-from loomline.operators.backends import command
+from pyspark.sql import functions as F
+
+from loomline.operators.backends import command, enveloped, plain, usage
 from loomline.plans.cli import main
+from loomline.sources.label_store import LabelStore
 
 
 def test_jobs(spark, tmp_path, capsys):
@@ -20,7 +23,7 @@ def test_jobs(spark, tmp_path, capsys):
     main(["label", "--samples", samples, "--labels", labels, "--dry-run"], spark)
     grader = f"{sys.executable} -c \"print('CAN_AUTO_RESPOND: 55%')\""
     main(["label", "--samples", samples, "--labels", labels, "--grader", grader], spark)
-    assert sorted(r.score for r in spark.read.json(labels).collect()) == [55, 99]
+    assert sorted(r.score for r in LabelStore(spark, labels).read().collect()) == [55, 99]
     main(["rows", "--samples", samples, "--labels", labels, "--out", rows], spark)
     assert sorted(r.target_score for r in spark.read.parquet(rows).collect()) == [55, 99]
 
@@ -31,13 +34,8 @@ def test_failing_command():
 
 
 def test_answers_in_an_envelope(spark):
-    from pyspark.sql import functions as F
-
-    from loomline.operators.backends import metered_answer
-
-    say = lambda text, read="json": command([sys.executable, "-c", f"print({text!r})"], read=read)()("x")
-    assert say('{"result": "yes", "is_error": false}') == "yes"
-    with pytest.raises(RuntimeError, match="reports an error"):
-        say('{"result": "no credit", "is_error": true}')
-    answers = spark.createDataFrame([(say('{"result": "yes", "usage": {"input_tokens": 7, "output_tokens": null}}', "metered"),), (None,)], "a string")
-    assert [r.x and tuple(r.x) for r in answers.select(metered_answer(F.col("a")).alias("x")).collect()] == [("yes", 7, 0), None]
+    outputs = ['{"result": "yes", "is_error": false, "usage": {"input_tokens": 7, "output_tokens": null}}', '{"result": "no credit", "is_error": true, "usage": {"input_tokens": 3}}', '{"result": "plain"}', "no json", None]
+    rows = spark.createDataFrame(list(enumerate(outputs)), "i int, x string").orderBy("i").select(enveloped(F.col("x")).alias("a"), usage(F.col("x")).alias("u"), plain(F.concat(F.lit(" \n"), "x", F.lit("\n\n"))).alias("p"))
+    assert [(r.a, *r.u) for r in rows.collect()] == [("yes", 7, 0), (None, 3, 0), ("plain", 0, 0), (None, 0, 0), (None, 0, 0)]
+    assert [r.p for r in rows.collect()] == outputs
+    assert command([sys.executable, "-c", "print(input())"])()("hello") == "hello\n"

@@ -8,6 +8,7 @@ from loomline.config import Settings
 from loomline.operators import samples as P
 from loomline.plans.dataset import build_dataset, label_dataset, training_dataset
 from loomline.sources import jsonl
+from loomline.sources.label_store import LabelStore
 from loomline.sources import transcripts as T
 from loomline.streaming.labels import label_stream
 
@@ -115,15 +116,17 @@ def test_from_logs_to_training_rows(spark, root_a, tmp_path):
     store = str(tmp_path / "labels")
     for _ in range(2):  # a rerun adds nothing
         label_dataset(spark, [str(tmp_path / "samples")], store)
-        assert spark.read.json(store).count() == 6
+        assert LabelStore(spark, store).read().count() == 6 == spark.read.parquet(f"{store}/v1").count()
     rows = training_dataset(spark, [str(tmp_path / "samples")], store).collect()
     assert len(rows) == 6 and all(r.messages[0].role == "system" and r.target.startswith("CAN_AUTO_RESPOND: ") for r in rows)
     streamed = str(tmp_path / "streamed")
     for _ in range(2):
         label_stream(spark, str(tmp_path / "samples"), streamed, str(tmp_path / "checkpoint")).awaitTermination()
-    assert spark.read.json(streamed).count() == 6
-    spark.createDataFrame([(spark.read.json(store).first()["key"], 3, "m", 1, "t")], jsonl.LABEL_SCHEMA).write.mode("append").json(store)
-    assert jsonl.read_labels(spark, store).filter("score = 3").count() == 1  # the last record of a key counts
+    assert LabelStore(spark, streamed).read().count() == 6 == spark.read.parquet(f"{streamed}/v1").count()
+    lines = str(tmp_path / "lines")
+    jsonl.write_labels(LabelStore(spark, store).read(), lines)
+    (tmp_path / "lines" / "z.json").write_text("".join(json.dumps({"key": spark.read.json(lines).first()["key"], "score": n}) + "\n" for n in (2, 3)))
+    assert jsonl.read_labels(spark, lines).count() == 6 and jsonl.read_labels(spark, lines).filter("score = 3").count() == 1  # the last record of a key counts
     assert jsonl.read_labels(spark, str(tmp_path / "no labels")).count() == 0
 
 
