@@ -36,7 +36,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if ranges == 1:
         parts = [_by_filter(hashed, rows, bits_per_row, max_bits)]
     else:
-        filed = saved(hashed.withColumn("range", F.pmod(F.shiftright("h", 20), F.lit(ranges)).cast("int")), "range")
+        # by another hash than the filter's positions, so that these stay free in each range; a range lies in one task's files
+        filed = saved(hashed.withColumn("range", F.pmod(F.xxhash64("h", F.lit(2)), F.lit(ranges)).cast("int")).repartition("range"), "range")
         sizes = {r["range"]: r["count"] for r in filed.groupBy("range").count().collect()}
         parts = [_by_filter(filed.filter(F.col("range") == i).drop("range"), n, bits_per_row, max_bits) for i, n in sorted(sizes.items())]
     out = parts[0]
@@ -45,8 +46,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
-def _by_filter(hashed: DataFrame, rows: int, bits_per_row: int, max_bits: int) -> DataFrame:
-    """id, keep_id, group_size, kept, sha of the hashed rows of one range."""
+def sifted(hashed: DataFrame, rows: int, bits_per_row: int, max_bits: int) -> DataFrame:
+    """id, sha, uid and may_repeat of the hashed rows of one range."""
     n_bits = min(max_bits, 1 << max(10, (rows * bits_per_row).bit_length()))
     hashed = hashed.withColumns({"p1": F.col("h").bitwiseAND(n_bits - 1), "p2": F.xxhash64("h", F.lit(1)).bitwiseAND(n_bits - 1)})
     bits = cut(repeated_bits(hashed, n_bits))
@@ -55,7 +56,12 @@ def _by_filter(hashed: DataFrame, rows: int, bits_per_row: int, max_bits: int) -
         side = bits.select(F.col("word").alias(f"{p}_word"), F.col("bits").alias(f"{p}_bits"))
         tested = tested.join(F.broadcast(side), F.expr(f"shiftright({p}, 6) = {p}_word"), "left")
     hit = " and ".join(f"coalesce(shiftrightunsigned({p}_bits, cast({p} & 63 as int)) & 1, 0) = 1" for p in ("p1", "p2"))
-    tested = tested.select("id", "sha", "uid", F.expr(hit).alias("may_repeat"))
+    return tested.select("id", "sha", "uid", F.expr(hit).alias("may_repeat"))
+
+
+def _by_filter(hashed: DataFrame, rows: int, bits_per_row: int, max_bits: int) -> DataFrame:
+    """id, keep_id, group_size, kept, sha of the hashed rows of one range."""
+    tested = sifted(hashed, rows, bits_per_row, max_bits)
     alone = tested.filter("not may_repeat").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     rest = tested.filter("may_repeat")
     groups = cut(rest.groupBy("sha").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("first"), F.count("*").alias("group_size")))  # a plain table: Spark can then split a hot hash in the join

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -57,15 +57,23 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
     return x.astype(np.int64)
 
 
-def word_counts(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(id_col, text_col).alias("k"), F.monotonically_increasing_id().alias("uid"), F.col(text_col).alias("text"))
+def _row_hash(columns: list[str]) -> Column:
+    """Of all these columns; which of them are null counts too."""
+    return F.xxhash64(*columns, *(F.col(c).isNull() for c in columns))
+
+
+def word_counts(docs: DataFrame, id_col: str, text_col: str, source_col: str, by: list[str] | None = None) -> DataFrame:
+    """id, source, k, uid, size of each row, and r, the hash of its columns `by`, if these are given."""
+    r = [_row_hash(by).alias("r")] if by else []
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(id_col, text_col).alias("k"), F.monotonically_increasing_id().alias("uid"), *r, F.col(text_col).alias("text"))
+    names = rows.columns[:-1]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             _, _, own = spans(*flat(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(np.bincount(own, minlength=batch.num_rows).astype(np.int64))], ["id", "source", "k", "uid", "size"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.bincount(own, minlength=batch.num_rows).astype(np.int64))], [*names, "size"])
 
-    return rows.mapInArrow(count, f"id {dict(rows.dtypes)['id']}, source string, k long, uid long, size long")
+    return rows.mapInArrow(count, f"id {dict(rows.dtypes)['id']}, source string, k long, uid long, {'r long, ' * bool(by)}size long")
 
 
 def running(rows: DataFrame, size: str, part: str, order: list[str]) -> DataFrame:
@@ -85,8 +93,8 @@ class Mix:
     pieces: DataFrame
 
 
-def plan(docs: DataFrame, config: Config = Config(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> Mix:
-    """The mix of all rows.
+def plan(docs: DataFrame, config: Config = Config(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", by: list[str] | None = None) -> Mix:
+    """The mix of all rows. by: columns whose hash, r, goes with the pieces.
 
     The rows of a source, in order of a hash of their ids and texts, are one run of words that is cut into blocks; a
     block's length is fixed for its source. Rows with a null or shared id so spread by their texts. Each output shard draws how many blocks it takes of each source from a multinomial with the
@@ -96,7 +104,7 @@ def plan(docs: DataFrame, config: Config = Config(), id_col: str = "doc_id", tex
     over rows and over shards are taken in two steps, so no task holds a whole source.
     """
     spark = docs.sparkSession
-    sized = cut(word_counts(docs, id_col, text_col, source_col))
+    sized, r = cut(word_counts(docs, id_col, text_col, source_col, by)), ["r"] * bool(by)
     totals = [(r["source"], r["size"], r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()]  # one row a source
     totals.sort(key=lambda r: (r[0] is None, r[0] or ""))
     want = targets([s for _, s, _ in totals], config)
@@ -108,10 +116,10 @@ def plan(docs: DataFrame, config: Config = Config(), id_col: str = "doc_id", tex
     sources = spark.createDataFrame(table or [(None, 0, 0, 0.0, 1, 0, 0)], "source string, source_no int, source_size long, target double, block long, n_blocks long, n_slots long")
     n_rows = sum(n for _, _, n in totals)
     bits = max(1, int(np.ceil(np.log2(max(2, n_rows)) / 2)))
-    rows = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).select("id", "uid", "k", "size", "source_no", "source_size", "target", "block", F.expr(f"shiftrightunsigned(k, {64 - bits})").alias("part"))
-    rows = running(rows, "size", "part", ["k", "id", "uid"]).select("id", "uid", "k", "source_no", "size", "at", "block", "source_size", "target")
+    rows = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).select("id", "uid", "k", *r, "size", "source_no", "source_size", "target", "block", F.expr(f"shiftrightunsigned(k, {64 - bits})").alias("part"))
+    rows = running(rows, "size", "part", ["k", "id", "uid"]).select("id", "uid", "k", *r, "source_no", "size", "at", "block", "source_size", "target")
     span = F.sequence(F.expr("at div block"), F.expr("(at + size - 1) div block"))
-    pieces = rows.filter("size > 0").withColumn("block_no", F.explode(span)).select("uid", "k", "source_no", "block_no", F.expr("greatest(block_no * block - at, 0)").alias("first"), F.expr("least((block_no + 1) * block - at, size) - greatest(block_no * block - at, 0)").alias("words"))
+    pieces = rows.filter("size > 0").withColumn("block_no", F.explode(span)).select("uid", "k", *r, "source_no", "block_no", F.expr("greatest(block_no * block - at, 0)").alias("first"), F.expr("least((block_no + 1) * block - at, size) - greatest(block_no * block - at, 0)").alias("words"))
 
     quota = np.array([t[6] for t in table], np.int64)
     blocks = np.array([t[5] for t in table], np.int64)
@@ -158,16 +166,17 @@ def mixed_documents(docs: DataFrame, config: Config = Config(), id_col: str = "d
     """The mix as rows of docs: one for each document and pass over its source that takes words of it, its text cut to
     the words taken (runs of blocks that don't touch are joined by a newline; a text taken whole stays as it was), and
     length_col, where docs has it, set to the new length. Other columns stay. Rows come out up to most_repeats times."""
-    made = plan(docs, config, id_col, text_col, source_col)
+    whole = [c for c, t in docs.dtypes if "map<" not in t]  # maps can't be hashed; rows that differ in these alone come out with those of one of them
+    made = plan(docs, config, id_col, text_col, source_col, whole)
     taken = made.pieces.join(made.slots.select("source_no", "block_no", "epoch"), ["source_no", "block_no"])
-    taken = cut(taken.groupBy("uid", "k", "epoch").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("parts")))
+    taken = cut(taken.groupBy("uid", "r", "epoch").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("parts")))
     columns = docs.columns
     names = [f"c{i}" for i in range(len(columns))]
     body = names[columns.index(text_col)]
-    rows = docs.select(F.xxhash64(id_col, text_col).alias("k"), *(F.col(c).alias(n) for c, n in zip(columns, names, strict=True)))
-    if made.rows.groupBy("k").count().filter("count > 1").limit(1).count():
-        rows = rows.dropDuplicates(["k"])  # rows alike in id and text: each has its own entry in `taken`
-    joined = rows.join(taken, "k").select(*names, F.col("parts.first").alias("first"), F.col("parts.words").alias("words"))
+    rows = docs.select(_row_hash(whole).alias("r"), *(F.col(c).alias(n) for c, n in zip(columns, names, strict=True)))
+    if made.rows.groupBy("r").count().filter("count > 1").limit(1).count():
+        rows = rows.dropDuplicates(["r"])  # rows alike in all columns: each has its own entry in `taken`
+    joined = rows.join(taken, "r").select(*names, F.col("parts.first").alias("first"), F.col("parts.words").alias("words"))
 
     def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, body):

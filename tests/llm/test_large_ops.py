@@ -213,6 +213,27 @@ def test_quality_on_held_out(spark, messy, empty):
     assert quality.fit(empty, labels).bias == 0
 
 
+def test_scores_are_plain_pairwise_sums(spark, messy):
+    """The score of whole documents, from each pair of their features one by one."""
+    docs, labels = labelled(spark)
+    machine = quality.fit(docs, labels.filter(fold(4) != 2))
+    some = docs.limit(4).unionByName(messy.filter("doc_id in (0, 50, 51, 54, 61)").select("doc_id", "text", "n_chars", F.lit("x").alias("predicted"))).collect()
+    got = {(r.doc_id, round(r.score, 4)) for r in quality.score(spark.createDataFrame(some, docs.schema), machine).collect()}
+    want = set()
+    for r in some:
+        one = quality.pa.RecordBatch.from_pydict({"text": quality.pa.array([r.text], quality.pa.string()), "meta": quality.pa.array([r.n_chars], quality.pa.float64())})
+        _, index, x = machine.inputs(*quality.features(one, 16))
+        words = Counter(w.translate(LOWER) for w in WORD.findall(r.text or ""))
+        assert sorted(x[len(quality.STRUCTURE) :]) == pytest.approx(sorted(n / math.sqrt(sum(c * c for c in words.values())) for n in words.values()), rel=1e-4)
+        margin = float(machine.bias)
+        for i in range(len(x)):
+            margin += float(machine.w[index[i]]) * float(x[i])
+            for j in range(i):
+                margin += float(machine.v[index[i]].astype(float) @ machine.v[index[j]].astype(float)) * float(x[i]) * float(x[j])
+        want.add((r.doc_id, 1 / (1 + math.exp(-margin))))
+    assert len(got) == len(want) and all(a == b and abs(p - q) < 2e-3 for (a, p), (b, q) in zip(sorted(got), sorted(want), strict=True))
+
+
 def test_sum_of_squares_identity():
     m = quality.Machine(quality.Config(word_bits=4, rank=3), np.zeros(16), np.ones(16), 0.3)
     rng = np.random.default_rng(0)
@@ -510,6 +531,9 @@ def test_line_dedup(spark, messy, empty):
     plain = messy.dropDuplicates(["doc_id"]).filter("doc_id is not null and doc_id <> 60")
     assert sorted(map(str, brute_lines(plain.collect()))) == sorted(str((x.doc_id, x.text, x.lines_dropped)) for x in line_dedup.line_dedup(plain).collect())
     assert line_dedup.line_dedup(messy).count() == messy.count() and line_dedup.line_dedup(empty).count() == 0
+    blank = re.compile(r"[\x20\x09-\x0D]*\Z")
+    want = {x.doc_id: (text, len(text) if gone else x.n_chars) for x in plain.collect() for i, text, gone in brute_lines([*plain.collect()]) if i == x.doc_id and text is not None and not (gone and blank.match(text))}
+    assert {x.doc_id: (x.text, x.n_chars) for x in line_dedup.clean(plain).collect() if x.text is not None} == want
     clean = line_dedup.clean(messy)
     assert clean.columns == messy.columns and line_dedup.clean(empty).count() == 0
     kept = {x.doc_id for x in clean.collect()}

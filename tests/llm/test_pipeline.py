@@ -18,7 +18,7 @@ from loomline.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path  # noqa: E4
 
 def test_stages_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "line dedup", "n-gram Jaccard join", "source mixing", "packing"]
-    assert {q.split("_")[0] for q in QUERIES} == {f"op{i}" for i in range(1, 11)} and set(ORACLE_SQL) <= set(QUERIES)
+    assert {q.split("_")[0] for q in QUERIES} == {f"op{i}" for i in range(1, 14)} and set(ORACLE_SQL) <= set(QUERIES)
 
 
 @pytest.fixture(scope="module")

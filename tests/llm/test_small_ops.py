@@ -14,7 +14,9 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from loomline.llm import ann, common, mixing, packing
-from loomline.llm.exact_dedup import exact_dedup
+from pyspark.sql import functions as F
+
+from loomline.llm.exact_dedup import exact_dedup, sifted
 from loomline.llm.queries import tokenizer_path
 from loomline.llm.url_filter import PATTERN_RULES, domain_rule, pattern_rule, url_filter
 
@@ -53,6 +55,20 @@ def test_exact_dedup(messy, empty):
     assert exact_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("ranges", [1, 16, 32])
+def test_few_unique_hashes_shuffle_in_any_range(spark, ranges):
+    """The filter's positions are free in each range, also where the number of ranges is a power of two."""
+    rows = 20_000
+    hashed = spark.range(rows).select("id", F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("sha"), F.col("id").alias("uid")).withColumn("h", F.xxhash64("sha"))
+    some = hashed.withColumn("range", F.pmod(F.xxhash64("h", F.lit(2)), F.lit(ranges))).filter("range = 0").drop("range")
+    n = some.count()
+    assert 0.8 * rows / ranges < n < 1.2 * rows / ranges
+    most = 1 << (n * 16).bit_length() - 1
+    assert sifted(some, n, 16, most).filter("may_repeat").count() < 0.05 * n
+    twice = some.unionByName(some.withColumn("uid", F.col("uid") + rows))
+    assert sifted(twice, 2 * n, 16, 2 * most).filter("may_repeat").count() == 2 * n
+
+
 def test_url_filter(spark):
     urls = ["https://a.example.net/en/1", "http://EXAMPLE.net/de/", "http://x.net", "http://x.net?q=/", "https://www.example.com/de/x?y", "https://example.com/DE/x", "ftp://org/fr/", "https://notexample.net.org/fr/z", "no scheme", "", None, "https://b.io/ads/1", "https://b.io/x?PHPSESSID=1", "https://u@h.net:80/p#f", "://", "https://a.example.net/en/1"]
     rows = spark.createDataFrame([(i, u, "h", 1) for i, u in enumerate(urls)], "page_id long, url string, host string, rule int")
@@ -184,6 +200,21 @@ def test_mixed_documents_hold_what_is_taken(messy):
     assert +want == +taken
 
 
+def test_mixed_rows_keep_their_own_columns(spark):
+    """Rows alike in id and text, but not in source, lang or what is null, come out with their own."""
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, text, "a", "en"), (1, text, "b", "de"), (1, text, None, "fr"), (1, text, "fr", None), (2, text, "a", "en"), (1, text, "a", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    out = mixing.mixed_documents(docs)
+    taken = Counter()
+    for r in out.collect():
+        assert (r.doc_id, r.source, r.lang) in {(i, s, x) for i, _, s, x in rows}
+        taken[r.source] += len(WORD.findall(r.text))
+    plan = mixing.plan(docs)
+    uses = plan.slots.groupBy("source_no", "block_no").count().join(plan.pieces, ["source_no", "block_no"]).join(plan.rows.select("uid", "source_size", "target"), "uid")
+    assert sum(taken.values()) == uses.selectExpr("sum(count * words)").first()[0] and set(taken) == {"a", "b", "fr", None}
+
+
 def test_targets():
     assert mixing.targets([100, 100, 100]) == [187.5, 75.0, 37.5]
     assert mixing.targets([10, 100, 100]) == [30.0, 120.0, 60.0]
