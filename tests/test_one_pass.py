@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomline.config import Settings
 from loomline.functions.tokens import CodePoints, FileTokenizer
-from loomline.operators import rendering, samples
+from loomline.operators import labels, rendering, samples
 from loomline.operators.stats import loader_stats
 from loomline.plans import catalog, log_queries
 from loomline.plans.fixtures import sessions
@@ -153,3 +153,41 @@ def test_vocabularies(spark):
         ids[name] = t.encode_batch(texts)
         assert [t.decode(x) for x in ids[name]] == texts and t.encode(texts[0]) == ids[name][0]
     assert ids["byte_bpe_50k.json"] == ids["byte_bpe_50k.tiktoken"]
+
+
+def brute_budget(head: str, context: list[tuple[str, str]], count, decode, most: int) -> list[tuple[str, str]]:
+    """The newest messages that fit beside the system prompt; a last one that doesn't fit alone loses its beginning."""
+    cost = lambda role, text: len(count(text)) + len(count(role)) + 4
+    kept = list(context)
+    while len(kept) > 1 and cost("system", head) + sum(cost(*m) for m in kept) + 2 > most:
+        kept.pop(0)
+    if len(kept) == 1 and cost("system", head) + cost(*kept[0]) + 2 > most:
+        mark = "…[truncated]…"
+        room = max(most - cost("system", head) - 6, 1) - len(count(mark)) - 8
+        kept = [(kept[0][0], mark + (decode(count(kept[0][1])[-room:]) if room > 0 else ""))]
+    return [("system", head), *kept]
+
+
+def test_prompts_by_a_vocabulary(spark, small):
+    tokenizer = log_queries._vocabulary()
+    want = {}
+    for r in log_queries._samples(spark, small).collect():
+        head = f"PREFIX\n\nSUFFIX\n\nThis is a log from model {r.model} in harness {r.harness}, cwd {r.cwd}. Respond as the user."
+        want[r.source_path, r.pos] = brute_budget(head, [tuple(m) for m in r.context_messages], tokenizer.encode, tokenizer.decode, 300)
+    got = {(r.source_path, r.pos): [tuple(m) for m in r.messages] for r in log_queries.vocabulary_render(spark, small).collect()}
+    assert got == want and any(len(m) < 3 for m in want.values())
+
+
+def test_token_rows_by_a_vocabulary(spark, small):
+    tokenizer = log_queries._vocabulary()
+    got = {(r.source_path, r.pos): (r.input_ids, r.attention_mask, r.labels) for r in log_queries.vocabulary_rows(spark, small).collect()}
+    want = {}
+    for r in labels.training_rows(log_queries._samples(spark, small), spark.createDataFrame([], labels.LABEL_SCHEMA)).collect():
+        prompt = "".join(f"<|{m.role}|>\n{m.content}\n" for m in r.messages) + "<|assistant|>\n"
+        target = [*tokenizer.encode(r.target), 1]
+        room = 2048 - len(target)
+        if room >= 16:
+            ids = tokenizer.encode(prompt)[-room:]
+            pads = 2048 - len(ids) - len(target)
+            want[r.source_path, r.pos] = (ids + target + [0] * pads, [1] * (2048 - pads) + [0] * pads, [-100] * len(ids) + target + [-100] * pads)
+    assert got == want and got

@@ -27,7 +27,7 @@ def duck(small):
     return c
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query(name, spark, small, duck):
     df = QUERIES[name](spark, small)
     columns = sorted(df.columns)
@@ -40,5 +40,6 @@ def test_query(name, spark, small, duck):
 
 
 def test_entry(spark, small):
-    assert set(QUERIES) == set(ORACLE_SQL) and set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(QUERIES) == set(ORACLE_SQL) | {"vocabulary_rows", "vocabulary_render"}  # these are held against brute force in test_one_pass.py
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
