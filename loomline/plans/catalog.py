@@ -332,5 +332,5 @@ def transcript_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
         when 'user' then to_json(named_struct('type', 'user', 'sessionId', 's' || cast(conv_id as string), 'cwd', if(turn % 2 = 0, '/w' || cast(turn as string), ''), 'message', named_struct('content', if(turn % 3 = 0, to_json(named_struct('x', text)), text))))
         when 'assistant' then to_json(named_struct('type', 'assistant', 'message', named_struct('model', 'm' || cast(turn as string), 'content', array(named_struct('type', 'text', 'text', text, 'name', '', 'input', map('k', 0L)), named_struct('type', 'tool_use', 'text', '', 'name', 'Run', 'input', map('k', turn)), named_struct('type', 'text', 'text', 'done', 'name', '', 'input', map('k', 0L))))))
         else to_json(named_struct('type', 'system', 'content', text)) end""")
-    records = rows.select(F.concat(F.lit("/r/p/"), F.col("conv_id").cast("string")).alias("source_path"), F.lit(0).cast("long").alias("block"), F.col("turn").alias("line"), line.alias("value")).withColumn("v", F.try_parse_json("value"))
+    records = transcripts.parsed(rows.select(F.concat(F.lit("/r/p/"), F.col("conv_id").cast("string")).alias("source_path"), F.lit(0).cast("long").alias("block"), F.col("turn").alias("line"), line.alias("value")))
     return transcripts.fold(transcripts.parse_a(records), "claude", True).filter("kind is not null").select("source_path", "pos", "kind", "text", "turn_model", "tool_name", "tool_input", "thread_id", "model", "cwd", "n_turns")

@@ -44,7 +44,7 @@ def _samples(spark: SparkSession, sf_dir: str, make: Maker | None = None) -> Dat
 
 def _records(rows: DataFrame, line: str, path: str = "'/r/p/' || cast(conv_id as string)", number: str = "turn") -> DataFrame:
     """Log lines as the scan gives them."""
-    return rows.select(F.expr(path).alias("source_path"), F.lit(0).cast("long").alias("block"), F.expr(number).cast("long").alias("line"), F.expr(line).alias("value")).withColumn("v", F.try_parse_json("value"))
+    return transcripts.parsed(rows.select(F.expr(path).alias("source_path"), F.lit(0).cast("long").alias("block"), F.expr(number).cast("long").alias("line"), F.expr(line).alias("value")))
 
 
 _QUOTED = "substr(to_json(named_struct('x', text)), 6, length(to_json(named_struct('x', text))) - 6)"

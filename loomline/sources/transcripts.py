@@ -84,10 +84,16 @@ def read_records(spark: SparkSession, root: str, pattern: str, wanted: Callable[
         lines = lines.select(F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), F.expr("make_valid_utf8(value)").alias("value"))
     else:
         lines = spark.createDataFrame([], "uri string, block long, line long, value string")
-    return lines.select(plain_path(F.col("uri")).alias("source_path"), "block", "line", "value").withColumn("v", F.try_parse_json("value")).filter("v is not null")
+    return parsed(lines.select(plain_path(F.col("uri")).alias("source_path"), "block", "line", "value"))
 
 
-_IS_OBJECT = "schema_of_variant(v) like 'OBJECT%'"
+def parsed(lines: DataFrame) -> DataFrame:
+    """The lines that are JSON, with it as v. It comes out of a generator, so that no filter on it is moved before it and parses the line again."""
+    return lines.select("*", F.explode(F.array(F.try_parse_json("value"))).alias("v")).filter("v is not null")
+
+
+#: Of a line that is JSON, by its first character: naming the schema of a whole record would cost more than parsing it.
+_IS_OBJECT = r"value rlike '^\\s*\\{'"
 
 
 def rejected_lines(records: DataFrame) -> DataFrame:
@@ -123,21 +129,24 @@ def latest(x: Column, order: Column, first: bool = False) -> Column:
 
 
 _RESULT_BODY = """
-    case when schema_of_variant(try_variant_get(b, '$.content', 'variant')) is null then ''
-         when schema_of_variant(try_variant_get(b, '$.content', 'variant')) = 'STRING' then try_variant_get(b, '$.content', 'string')
-         when try_variant_get(b, '$.content', 'array<variant>') is not null then array_join(transform(try_variant_get(b, '$.content', 'array<variant>'),
-              x -> case when schema_of_variant(x) like 'OBJECT%' then coalesce(try_variant_get(x, '$.text', 'string'), '')
-                        when schema_of_variant(x) = 'VOID' then 'None'
-                        when schema_of_variant(x) = 'BOOLEAN' then initcap(try_variant_get(x, '$', 'string'))
-                        else try_variant_get(x, '$', 'string') end), '\\n')
-         else raw.content end"""
+    case when schema_of_variant(try_variant_get(x.b, '$.content', 'variant')) is null then ''
+         when try_variant_get(x.b, '$.content', 'array<variant>') is not null then array_join(transform(try_variant_get(x.b, '$.content', 'array<variant>'),
+              y -> case when schema_of_variant(y) like 'OBJECT%' then coalesce(try_variant_get(y, '$.text', 'string'), '')
+                        when schema_of_variant(y) = 'VOID' then 'None'
+                        when schema_of_variant(y) = 'BOOLEAN' then initcap(try_variant_get(y, '$', 'string'))
+                        else try_variant_get(y, '$', 'string') end), '\\n')
+         when schema_of_variant(try_variant_get(x.b, '$.content', 'variant')) = 'STRING' then try_variant_get(x.b, '$.content', 'string')
+         else coalesce(x.raw.content, 'null') end"""
+_BODY_IS_JSON = """
+    schema_of_variant(try_variant_get(x.b, '$.content', 'variant')) is not null and try_variant_get(x.b, '$.content', 'array<variant>') is null
+    and schema_of_variant(try_variant_get(x.b, '$.content', 'variant')) <> 'STRING'"""
 
 
 def _blocks() -> Column:
-    """The objects among a message's content blocks. raw: the same block with its JSON as written, as variants sort keys."""
-    return F.expr(f"""
-        filter(transform(try_variant_get(v, '$.message.content', 'array<variant>'), (b, i) -> struct(b, from_json(get(texts, i), 'input string, content string') as raw)),
-               x -> schema_of_variant(x.b) like 'OBJECT%')""").alias("blocks")
+    """The texts, tool calls and tool results among a message's content blocks. raw: the same block with its JSON as written, as variants sort keys."""
+    return F.expr("""
+        filter(transform(try_variant_get(v, '$.message.content', 'array<variant>'), (b, i) -> named_struct('type', try_variant_get(b, '$.type', 'string'), 'b', b, 'raw', from_json(get(texts, i), 'input string, content string'))),
+               x -> x.type in ('text', 'tool_use', 'tool_result'))""").alias("blocks")
 
 
 def parse_a(records: DataFrame) -> DataFrame:
@@ -146,13 +155,13 @@ def parse_a(records: DataFrame) -> DataFrame:
     # blocks as written are needed for tools alone; their names are in the line as they are, or with escapes
     tools = F.expr("contains(value, 'tool_use') or contains(value, 'tool_result') or contains(value, '\\\\u')")
     rows = rows.withColumn("texts", F.when(tools, F.expr("from_json(value, 'message struct<content array<string>>').message.content"))).withColumn("blocks", _blocks())
-    rows = rows.withColumns({"content_kind": _kind("$.message.content"), "uuid": _text("$.uuid"), "own_model": F.when(F.col("type") == "assistant", F.nullif(_text("$.message.model"), F.lit("")))})
+    content_kind = F.when(F.col("blocks").isNull(), _kind("$.message.content"))
+    rows = rows.withColumns({"content_kind": content_kind, "uuid": _text("$.uuid"), "own_model": F.when(F.col("type") == "assistant", F.nullif(_text("$.message.model"), F.lit("")))})
     rows = rows.withColumn("parts", F.expr(f"""
-        transform(blocks, x -> named_struct('type', try_variant_get(x.b, '$.type', 'string'), 'text', coalesce(try_variant_get(x.b, '$.text', 'string'), ''),
-            'name', coalesce(try_variant_get(x.b, '$.name', 'string'), ''), 'id', try_variant_get(x.b, '$.id', 'string'), 'for_id', try_variant_get(x.b, '$.tool_use_id', 'string'),
-            'input', x.raw.input, 'error', try_variant_get(x.b, '$.is_error', 'string'),
-            'as_json', schema_of_variant(try_variant_get(x.b, '$.content', 'variant')) is not null and schema_of_variant(try_variant_get(x.b, '$.content', 'variant')) <> 'STRING' and try_variant_get(x.b, '$.content', 'array<variant>') is null,
-            'body', {_RESULT_BODY.replace("(b,", "(x.b,").replace("raw.content", "coalesce(x.raw.content, 'null')")}))"""))
+        transform(blocks, x -> named_struct('type', x.type, 'text', case when x.type = 'text' then coalesce(try_variant_get(x.b, '$.text', 'string'), '') end,
+            'name', case when x.type = 'tool_use' then coalesce(try_variant_get(x.b, '$.name', 'string'), '') end, 'id', case when x.type = 'tool_use' then try_variant_get(x.b, '$.id', 'string') end, 'input', x.raw.input,
+            'for_id', case when x.type = 'tool_result' then try_variant_get(x.b, '$.tool_use_id', 'string') end, 'error', case when x.type = 'tool_result' then try_variant_get(x.b, '$.is_error', 'string') end,
+            'as_json', x.type = 'tool_result' and {_BODY_IS_JSON}, 'body', case when x.type = 'tool_result' then {_RESULT_BODY} end))"""))
     texts = F.transform(F.filter("parts", lambda p: p["type"] == "text"), lambda p: p["text"])
     results = F.transform(F.filter("parts", lambda p: p["type"] == "tool_result"), lambda p: _turn("tool_result", p["body"], call_id=p["for_id"], is_error=_truthy(p["error"]), as_json=p["as_json"]))
     said = F.when(F.size(texts) > 0, F.array(_turn("user", F.array_join(texts, "\n"), source_uuid=F.col("uuid")))).otherwise(_no_turns())
