@@ -107,9 +107,12 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & fine & F.exists(vector, lambda x: x != 0)
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+
+
+def _packed(column: pa.ChunkedArray, kind: np.dtype, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, dim).astype(np.float64)
 
 
 def search(vectors: DataFrame, k: int = 10, queries: Column | None = None, config: Config = Config(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -123,7 +126,9 @@ def search(vectors: DataFrame, k: int = 10, queries: Column | None = None, confi
     k-th of those by the error of its codes, however many they are. Fewer candidates than k give fewer rows.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v")))
+    single = dict(vectors.dtypes)[vector_col] == "array<float>"
+    kind = np.dtype(np.float32 if single else np.float64)  # as vectors are sent; they are measured as doubles
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v")))
     schema = "query_id long, rank int, vec_id long, score double"
     shape = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dim")).limit(1).collect()
     if not shape:
@@ -131,7 +136,7 @@ def search(vectors: DataFrame, k: int = 10, queries: Column | None = None, confi
     dim, total = shape[0]["dim"], shape[0]["n"]
     rows = rows.filter(F.size("v") == dim)
     sample = rows.orderBy(F.xxhash64("id"), "id", "v").limit(config.sample_rows).toArrow()
-    known = _matrix(sample["v"], dim)
+    known = _matrix(sample["v"].combine_chunks(), dim)
     book = spark.sparkContext.broadcast(Quantizer(dim, config).fit(known, config).calibrate(known, k, config.sure))
     most = max(1, min(config.most_block, config.block_bytes // (8 * dim)))
     block = min(most, max(config.least_block, total // 64))
@@ -145,13 +150,13 @@ def search(vectors: DataFrame, k: int = 10, queries: Column | None = None, confi
             codes = book.value.encode(x)
             off = np.sqrt((book.value.residual(x, codes) ** 2).sum(1))
             packed = (codes[:, ::2] | codes[:, 1::2] << 4).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array([r.tobytes() for r in packed], pa.binary()), pa.array(off)], ["id", "v", "codes", "off"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array([r.tobytes() for r in a], pa.binary()) for a in (x.astype(kind), packed)), pa.array(off)], ["id", "x", "codes", "off"])
 
     asks = (F.col("id") % 100 == 0) if queries is None else queries
     wanted = rows.filter(asks).groupBy("id").agg(F.min("v").alias("v"))
     wanted = cut(wanted)
     n_query = groups_for(wanted.count(), most)
-    coded = rows.mapInArrow(index, "id long, v array<double>, codes binary, off double")
+    coded = rows.mapInArrow(index, "id long, x binary, codes binary, off double")
     coded = coded.withColumn("data_block", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(n_data)).cast("int")).withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))))
     wanted = wanted.withColumn("query_block", F.pmod(F.xxhash64("id"), F.lit(n_query)).cast("int")).withColumn("data_block", F.explode(F.sequence(F.lit(0), F.lit(n_data - 1))))
     rerank = max(config.rerank, k)
@@ -160,10 +165,10 @@ def search(vectors: DataFrame, k: int = 10, queries: Column | None = None, confi
         found: list[tuple[np.ndarray, ...]] = []
         if data.num_rows and asked.num_rows:
             data = data.sort_by("id")
-            ids, x = data["id"].to_numpy(), _matrix(data["v"], dim)
+            ids, x = data["id"].to_numpy(), _packed(data["x"], kind, dim)
             codes = np.frombuffer(b"".join(data["codes"].to_pylist()), np.uint8).reshape(len(ids), -1).astype(np.intp)
             half, margin = ((x**2).sum(1) / 2).astype(np.float32), (book.value.spread * data["off"].to_numpy()).astype(np.float32)
-            qid, q = asked["id"].to_numpy(), _matrix(asked["v"], dim)
+            qid, q = asked["id"].to_numpy(), _matrix(asked["v"].combine_chunks(), dim)
             for i in range(0, len(qid), 64):
                 tables = book.value.tables(q[i : i + 64])
                 for a, table in zip(range(i, i + len(tables)), tables, strict=True):

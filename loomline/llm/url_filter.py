@@ -88,5 +88,7 @@ def url_filter(pages: DataFrame, rules: tuple[Rule, ...] = DOMAIN_RULES + PATTER
         F.max(F.when((F.col("kind") == "pattern") & (F.col("action") == "block"), 1).otherwise(0)).alias("bad"),
     )
     verdict = F.coalesce("best.action", F.when(F.col("bad") == 1, "block").otherwise("allow"))
-    out = base.join(matched, "url", "left").withColumns(parts)
+    # a second key spreads null urls, which match nothing, over the join's tasks
+    spread = F.when(F.col("url").isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(1024))).otherwise(F.length("url") % 1).cast("int")
+    out = base.withColumn("spread", spread).join(matched.withColumn("spread", (F.length("url") % 1).cast("int")), ["url", "spread"], "left").withColumns(parts)
     return out.select(F.col("id").alias(id_col), "host", "path", F.col("best.name").alias("rule"), verdict.alias("verdict"), F.array_join("patterns", ",").alias("patterns"))

@@ -83,6 +83,18 @@ def test_url_filter(spark):
     assert {r.page_id for r in url_filter(rows, only).filter("verdict = 'block'").collect()} == {11, 12, 2, 3, 4, 5}
 
 
+def test_null_urls_are_spread(spark):
+    rows = spark.range(3000).select(F.col("id").alias("page_id"), F.when(F.col("id") % 100 == 0, F.lit("http://x.net/")).alias("url"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = url_filter(rows)
+        assert re.search(r"hashpartitioning\(url#\d+, spread#\d+", got._jdf.queryExecution().executedPlan().toString())
+        assert {(r.verdict, r["count"]) for r in got.groupBy("verdict").count().collect()} == {("allow", 2970), ("block", 30)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_each_alternative_of_a_rule_is_fetched(spark):
     names = ["ad", "ads", "xad", "adsx", "sessionid", "jsessionid", "phpsessionid", "xsessionid", "phpsessid", "print", "banner", "login", "signup", "cart", "checkout"]
     urls = [u for n in names for u in (f"https://b.io/{n}/1", f"https://b.io/{n}", f"https://b.io/x?{n}=1", f"https://b.io/x;{n.upper()}=y", f"https://b.io/x?a=1&{n}=1")] + ["https://b.io/a.ics?x", "https://b.io/ads/x;jsessionid=1?sessionid=2", "https://b.io/ad/ads/"]
@@ -253,6 +265,14 @@ def test_nearest(spark):
     assert {r.vec_id for r in ann.search(df.filter("vec_id in (100, 7, 9)")).collect()} == {7, 9}
 
 
+def test_single_precision_is_measured_in_double(spark):
+    """Vectors of floats are sent as such; distances are those of their values as doubles."""
+    x = np.random.default_rng(2).normal(size=(300, 7)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    for r in ann.search(df).collect():
+        assert r.score == pytest.approx(np.sqrt(((x[r.vec_id].astype(float) - x[r.query_id].astype(float)) ** 2).sum()), rel=1e-14)
+
+
 def test_nearest_in_one_large_block_of_clusters(spark):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(5, 32))
