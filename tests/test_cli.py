@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomline.operators.backends import command, enveloped, plain, usage
+from loomline.operators.calls import BudgetExceeded
 from loomline.plans.cli import main
 from loomline.sources.label_store import LabelStore
 
@@ -39,3 +40,21 @@ def test_answers_in_an_envelope(spark):
     assert [(r.a, *r.u) for r in rows.collect()] == [("yes", 7, 0), (None, 3, 0), ("plain", 0, 0), (None, 0, 0), (None, 0, 0)]
     assert [r.p for r in rows.collect()] == outputs
     assert command([sys.executable, "-c", "print(input())"])()("hello") == "hello\n"
+
+
+def test_a_budget_on_the_command_line(spark, tmp_path):
+    """The answers that were paid for become labels; the job says that it stopped, and a rerun with more to spend has nothing left to ask."""
+    (tmp_path / "logs" / "p").mkdir(parents=True)
+    say = lambda i: json.dumps({"type": "user", "sessionId": "s", "message": {"content": f"question {i} " + "n" * 200}})
+    (tmp_path / "logs" / "p" / "x.jsonl").write_text("\n".join(map(say, range(3))))
+    samples, labels, asked = (str(tmp_path / x) for x in ("samples", "labels", "asked"))
+    main(["build", "--root-a", str(tmp_path / "logs"), "--out", samples], spark)
+    script = tmp_path / "grader.py"
+    script.write_text(f"open({asked!r}, 'a').write('x'); print('{{\"result\": \"CAN_AUTO_RESPOND: 77%\", \"usage\": {{\"input_tokens\": 1000000, \"output_tokens\": 0}}}}')")
+    job = ["label", "--samples", samples, "--labels", labels, "--grader", f"{sys.executable} {script}", "--answers", "json", "--model", "openai/gpt-4o", "--in-flight", "1", "--budget"]
+    with pytest.raises(BudgetExceeded, match="spent"):
+        main([*job, "2.4999"], spark)
+    stored = {r.score for r in LabelStore(spark, labels).read().collect()}
+    assert stored == {77} and (tmp_path / "asked").stat().st_size == LabelStore(spark, labels).read().count()
+    main([*job, "100"], spark)
+    assert LabelStore(spark, labels).read().count() == 3 == (tmp_path / "asked").stat().st_size
