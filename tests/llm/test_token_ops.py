@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import bisect
 import hashlib
 import random
 from collections import Counter
@@ -175,10 +176,12 @@ def brute_alignment(rows, libraries):
         common = sorted(set(ends[0]) & set(ends[1]))
         pairs = [(ends[0][e], ends[1][e]) for e in common]
         links.update(pairs)
-        groups, start = [], 0
+        groups, at = [], [0, 0]
+        places = [sorted(upto) for upto in ends]
         for e in common:
-            groups.append("|".join(",".join(str(upto[x]) for x in sorted(upto) if start < x <= e) for upto in ends))
-            start = e
+            to = [bisect.bisect(p, e) for p in places]
+            groups.append("|".join(",".join(str(upto[x]) for x in p[a:b]) for upto, p, a, b in zip(ends, places, at, to, strict=True)))
+            at = to
         parsed.append((i, len(a), len(b), pairs, ";".join(groups)))
     best = Counter()
     for (_, t), n in links.items():
