@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 from loomline.llm import ann, common, mixing, packing
 from pyspark.sql import functions as F
 
-from loomline.llm.exact_dedup import exact_dedup, sifted
+from loomline.llm.exact_dedup import _set_twice, exact_dedup, may_repeat, sifted
 from loomline.llm.queries import tokenizer_path
 from loomline.llm.url_filter import PATTERN_RULES, domain_rule, pattern_rule, url_filter
 
@@ -49,24 +49,45 @@ def test_exact_dedup(messy, empty):
         assert sorted(map(str, ids)) == sorted(str(g.doc_id) for g in own)
         assert {(g.keep_id, g.group_size) for g in own} == {(least, len(ids))}
         assert [g.doc_id for g in own if g.kept] == [least]
-    assert exact_dedup(messy, bits_per_row=0, max_bits=64).filter("kept").count() == len(groups)  # a full filter only costs traffic
+    assert exact_dedup(messy, bits_per_row=0, max_bits=64).filter("kept").count() == len(groups)  # full filters only cost traffic
     key = lambda rows: sorted(map(str, rows))
-    assert key(exact_dedup(messy, max_bits=128).collect()) == key(got)  # nine ranges with a filter each
+    assert key(exact_dedup(messy, per_range=8, max_bits=128).collect()) == key(got)  # nine ranges with a filter each
     assert exact_dedup(empty).count() == 0
 
 
-@pytest.mark.parametrize("ranges", [1, 16, 32])
-def test_few_unique_hashes_shuffle_in_any_range(spark, ranges):
-    """The filter's positions are free in each range, also where the number of ranges is a power of two."""
-    rows = 20_000
-    hashed = spark.range(rows).select("id", F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("sha"), F.col("id").alias("uid")).withColumn("h", F.xxhash64("sha"))
-    some = hashed.withColumn("range", F.pmod(F.xxhash64("h", F.lit(2)), F.lit(ranges))).filter("range = 0").drop("range")
-    n = some.count()
-    assert 0.8 * rows / ranges < n < 1.2 * rows / ranges
-    most = 1 << (n * 16).bit_length() - 1
-    assert sifted(some, n, 16, most).filter("may_repeat").count() < 0.05 * n
-    twice = some.unionByName(some.withColumn("uid", F.col("uid") + rows))
-    assert sifted(twice, 2 * n, 16, 2 * most).filter("may_repeat").count() == 2 * n
+@pytest.mark.parametrize("ranges", [1, 16, 37])
+def test_few_unique_hashes_shuffle_at_any_number_of_ranges(spark, ranges):
+    """Unique rows pass, repeated ones never do, and one job serves all ranges."""
+    rows = 40_000
+    some = spark.range(rows).select("id", F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("sha"), F.col("id").alias("uid")).withColumn("h", F.xxhash64("sha"))
+    sift = lambda df, n: sifted(df, n, 16, -(-n // ranges), 1 << 25)
+    assert sift(some, rows).filter("may_repeat").count() < 0.05 * rows
+    mixed = some.unionByName(some.filter("id < 2000").withColumn("uid", F.col("uid") + rows))
+    got = sift(mixed, rows + 2000)
+    assert got.filter("may_repeat and id < 2000").count() == 4000
+    assert got.filter("may_repeat and id >= 2000").count() < 0.08 * rows
+
+
+def test_a_frequent_hash_is_sent_a_few_times(spark):
+    """A third of all rows alike: a chunk names their place once, and their range's task holds no more for it."""
+    rows = spark.range(30_000, numPartitions=3).select(F.lit(0).alias("range"), F.when(F.col("id") % 3 == 0, 5).otherwise(F.pmod(F.xxhash64("id"), F.lit(1 << 27))).cast("int").alias("place"))
+    assert {(r.range, r.place) for r in may_repeat(rows, 1, 1 << 15).filter("place = 5").collect()} == {(0, 5)}
+    assert may_repeat(rows, 1, 1 << 15).count() < 0.05 * 20_000
+
+
+def test_places_set_twice_against_counting():
+    r = np.random.default_rng(5)
+    for words in (1, 4, 64):
+        chunks = [r.integers(0, words * 4096, r.integers(1, 200)) for _ in range(4)]
+        every = np.concatenate(chunks)
+        n = defaultdict(int)
+        for x in every.tolist():
+            for p in {(x >> 12, x & 63), (x >> 12, x >> 6 & 63)}:
+                n[p] += 1
+        right = {x for x in every.tolist() if n[x >> 12, x & 63] > 1 and n[x >> 12, x >> 6 & 63] > 1}
+        sent = np.concatenate([np.unique(c) for c in chunks]).astype(np.int32)
+        again = np.concatenate([np.unique(c)[np.unique(c, return_counts=True)[1] > 1] for c in chunks]).astype(np.int32)
+        assert set(_set_twice(sent, again, words).tolist()) == right
 
 
 def test_url_filter(spark):
