@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from loomline.llm.common import LOWER, flat, groups_for, mix, prefix_sums, signe
 
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _TRAIN = np.uint16(1 << 15)
+SUMS = ("all_tables", "some", "once", "twice")  # of a context that is dealt to several restaurants: their tables, and its words with any, one and two of them
 
 
 @dataclass(frozen=True)
@@ -115,10 +117,10 @@ class Part:
     """One task's restaurants: leaves for two words before, and above them one for each word before; whole but for the root, which all tasks share.
 
     Tokens come as context (the word before), leaf (class of the word before that, within the context) and word, each a
-    number; those that `learn` seat a customer.
+    number; those that `learn` seat a customer. family: of each context, in order, the one that it is a share of, else 0.
     """
 
-    def __init__(self, context: np.ndarray, leaf: np.ndarray, word: np.ndarray, learn: np.ndarray, n_words: int, config: Config, seed: tuple[int, ...]):
+    def __init__(self, context: np.ndarray, leaf: np.ndarray, word: np.ndarray, learn: np.ndarray, family: np.ndarray, n_words: int, config: Config, seed: tuple[int, ...]):
         self.config, self.rng, self.n_words = config, np.random.default_rng(seed), n_words
         order = np.lexsort((word, leaf, context))
         context, leaf, word = context[order], leaf[order], word[order]
@@ -136,6 +138,7 @@ class Part:
         self.dish[by_dish] = np.cumsum(new) - 1
         self.dish_word, self.dish_top = self.word[by_dish][new], top[by_dish][new]
         self.n_leaves, self.n_tops = int(self.leaf[-1]) + 1, int(top[-1]) + 1
+        self.dish_family = family[self.dish_top]
         self.leaf_total = self._sum(self.leaf, self.count, self.n_leaves)
         self.words_seen = np.bincount(self.word, weights=self.count, minlength=n_words).astype(np.int64)
         # each dish begins with one table
@@ -155,37 +158,52 @@ class Part:
         self.strength = strength_of(self.leaf_total, self.leaf_t, self.d)
         self.above_strength = strength_of(self.top_total, self.top_t, self.above_d)
 
-    def _above(self, customers: np.ndarray, tables: np.ndarray, dish: np.ndarray, root: np.ndarray) -> np.ndarray:
+    def _above(self, customers: np.ndarray, tables: np.ndarray, dish: np.ndarray, parent: np.ndarray) -> np.ndarray:
         top = self.dish_top[dish]
-        return (customers - self.above_d * tables + (self.above_strength + self.above_d * self.top_t[top]) * root[self.dish_word[dish]]) / (self.above_strength + self.top_total[top])
+        return (customers - self.above_d * tables + (self.above_strength + self.above_d * self.top_t[top]) * parent[dish]) / (self.above_strength + self.top_total[top])
 
-    def sweep(self, root: np.ndarray) -> None:
-        """One Gibbs sweep: a gamma variable for each restaurant, given which its dishes are independent; then the tables of all dishes from their full conditionals, leaves first. root: the probability of each word in the root."""
+    def sweep(self, parent: np.ndarray) -> None:
+        """One Gibbs sweep: a gamma variable for each restaurant, given which its dishes are independent; then the tables of all dishes from their full conditionals, leaves first. parent: the probability of each dish's word one level up."""
         self._totals()
         many = np.flatnonzero(self.count > 1)
         extra = self.t[many] - 1  # the dish's own further tables don't vouch for it above
         customers = self.above[self.dish[many]] - extra
-        p = self._above(customers, np.minimum(self.above_t[self.dish[many]], customers), self.dish[many], root)
+        p = self._above(customers, np.minimum(self.above_t[self.dish[many]], customers), self.dish[many], parent)
         weight = self.rng.gamma(self.strength / self.d + self.leaf_t)
         self.t[many] = self.draw.draw(self.count[many], self.d * weight[self.leaf[many]] * p, self.rng)
         self.above = self._sum(self.dish, self.t, len(self.above))
         weight = self.rng.gamma(self.above_strength / self.above_d + self.top_t)
-        self.above_t = self.above_draw.draw(self.above, self.above_d * weight[self.dish_top] * root[self.dish_word], self.rng)
+        self.above_t = self.above_draw.draw(self.above, self.above_d * weight[self.dish_top] * parent, self.rng)
 
-    def predictive(self, root: np.ndarray) -> np.ndarray:
+    def predictive(self, parent: np.ndarray) -> np.ndarray:
         """The probability of each type's word after its two words."""
         self._totals()
-        p = self._above(self.above, self.above_t, np.arange(len(self.above)), root)[self.dish]
+        p = self._above(self.above, self.above_t, np.arange(len(self.above)), parent)[self.dish]
         total, tables = self.leaf_total[self.leaf], self.leaf_t[self.leaf]
         return np.where(total > 0, (self.count - self.d * self.t + (self.strength + self.d * tables) * p) / (self.strength + np.maximum(total, 1)), p)
 
     def own_root(self) -> np.ndarray:
-        """A root of this task's words alone, for the first sweeps."""
+        """The dishes' words in a root of this task alone, for the first sweeps."""
         own = np.bincount(self.dish_word, weights=self.above_t, minlength=self.n_words) + self.config.root_mass
-        return own / (own.sum() + self.config.root_mass)
+        return own[self.dish_word] / (own.sum() + self.config.root_mass)
 
     def root_customers(self) -> np.ndarray:
-        return self._sum(self.dish_word, self.above_t, self.n_words)
+        """Of each word, but for the tables in shares of a context: these are customers of the whole one."""
+        return self._sum(self.dish_word, np.where(self.dish_family == 0, self.above_t, 0), self.n_words)
+
+    def shared_dishes(self, owner: np.ndarray) -> np.ndarray:
+        """Dishes of contexts that are dealt to several restaurants, in order of owner (of each word), family and word."""
+        some = np.flatnonzero(self.dish_family)
+        return some[np.lexsort((self.dish_word[some], self.dish_family[some], owner[self.dish_word[some]]))]
+
+
+def whole_context(customers: np.ndarray, root: np.ndarray, total: np.ndarray, words: np.ndarray, once: np.ndarray, twice: np.ndarray) -> np.ndarray:
+    """The probability of words in restaurants that several shares have as their parent, with one table a dish: of each word its customers and probability in the root, and of its restaurant all customers, words, and words with one and two customers."""
+    kinds, of = np.unique(np.stack([total, words, once, twice]), axis=1, return_inverse=True)
+    d = np.clip((kinds[2] + 6) / (kinds[2] + 2 * kinds[3] + 8), 0.1, 0.95)
+    strength = np.array([strength_of(c[None], t[None], x) for c, t, x in zip(kinds[0], kinds[1], d, strict=True)])
+    d, strength = d[of.ravel()], strength[of.ravel()]
+    return (customers - d * np.minimum(customers, 1) + (strength + d * words) * root) / (strength + total)
 
 
 def _bytes(x: np.ndarray) -> bytes:
@@ -233,9 +251,10 @@ def model_scores(docs: DataFrame, train: Column, config: Config = Config(), id_c
     of discount 0 whose base gives each training word, and all others as one, the same. Tokens shuffle once, by the word
     before, so a task holds whole restaurants of both lower levels and seats their customers by Gibbs sampling. A
     restaurant of more than a quarter of a task's tokens is dealt to several by the class of the word before that, and a
-    pair that is still too frequent by text; each share is a restaurant of its own under the root. First the tasks sweep
-    with roots of their own words; the tables that come out are the root's customers, added up over all tasks. Then they
-    sweep anew with the root of all, and each token is scored by its predictive probability averaged over samples.
+    pair that is still too frequent by text; the shares have one parent, the restaurant of the whole context, which stands
+    between them and the root. First the tasks sweep with roots of their own words. The tables that come out, added up
+    over all tasks, are the customers of the whole contexts (each of whose dishes has one table) and of the root. Then the
+    tasks sweep anew under these, and each token is scored by its predictive probability averaged over samples.
     base_score is that of the smoothed unigram counts.
     """
     spark = docs.sparkSession
@@ -293,19 +312,20 @@ def model_scores(docs: DataFrame, train: Column, config: Config = Config(), id_c
             if (again > 1).any():
                 text = mix(np.add.reduceat(word, np.cumsum(size) - size))  # copies of a text stay together
                 context = context + mix(text[own] % again)
-            context = np.where((split > 1) | (again > 1), mix(context), before)
+            dealt = (split > 1) | (again > 1)
+            context, family = np.where(dealt, mix(context), before), np.where(dealt, before, np.uint64(0))
             part = ((context >> np.uint64(32)) % np.uint64(n_groups)).astype(np.int32)
             low = context.astype(np.uint32)
             order = np.lexsort((word, leaf, low, part))
-            part, low, leaf, word = part[order], low[order], leaf[order], word[order]
+            part, low, leaf, word, family = part[order], low[order], leaf[order], word[order], family[order]
             text = own[order].astype(np.uint16) | np.where(batch.column("train").to_numpy(zero_copy_only=False), _TRAIN, np.uint16(0))[own[order]]
             begin = np.flatnonzero(firsts(part))
             ends = np.append(begin[1:], len(part))
-            columns: dict[str, list[bytes]] = {c: [] for c in ("contexts", "runs", "leaf", "words", "word", "text")}
+            columns: dict[str, list[bytes]] = {c: [] for c in ("contexts", "families", "runs", "leaf", "words", "word", "text")}
             for a, b in zip(begin.tolist(), ends.tolist(), strict=True):
                 first = np.flatnonzero(firsts(low[a:b]))
                 words, at = np.unique(word[a:b], return_inverse=True)
-                for c, x in zip(columns, (_steps(low[a:b][first]), _bytes(np.diff(np.append(first, b - a)).astype(np.uint32)), _bytes(leaf[a:b]), _steps(words), _narrow(at), _bytes(text[a:b])), strict=True):
+                for c, x in zip(columns, (_steps(low[a:b][first]), _bytes(family[a:b][first]), _bytes(np.diff(np.append(first, b - a)).astype(np.uint32)), _bytes(leaf[a:b]), _steps(words), _narrow(at), _bytes(text[a:b])), strict=True):
                     columns[c].append(x)
             once = np.concatenate([[0], np.full(len(begin), n)]).astype(np.int32)
             yield pa.RecordBatch.from_pydict(
@@ -327,8 +347,10 @@ def model_scores(docs: DataFrame, train: Column, config: Config = Config(), id_c
         rank = np.empty(len(every), np.int64)
         rank[order] = np.cumsum(new) - 1
         words = every[order][new]
-        context = np.repeat(_all(group, "contexts", np.uint32, True), _all(group, "runs", np.uint32))
-        out = Part(context, _all(group, "leaf", np.uint16), rank[number], text >= _TRAIN, len(words), config, (config.seed, step, group["part"][0].as_py()))
+        context = _all(group, "contexts", np.uint32, True)
+        family = _all(group, "families", np.uint64)[np.unique(context, return_index=True)[1]]
+        context = np.repeat(context, _all(group, "runs", np.uint32))
+        out = Part(context, _all(group, "leaf", np.uint16), rank[number], text >= _TRAIN, family, len(words), config, (config.seed, step, group["part"][0].as_py()))
         return out, words, np.searchsorted(words % np.uint64(owners), np.arange(owners), side="right"), (text & ~_TRAIN).astype(np.int64), np.repeat(np.arange(group.num_rows), per_row)
 
     def seat(group: pa.Table) -> pa.Table:
@@ -337,32 +359,53 @@ def model_scores(docs: DataFrame, train: Column, config: Config = Config(), id_c
         for _ in range(config.burn_in):
             part.sweep(part.own_root())
         customers, counts = part.root_customers(), part.words_seen
+        shared = part.shared_dishes(np.searchsorted(ends, np.arange(len(words)), side="right"))
+        dish_word, at = part.dish_word[shared], np.searchsorted(np.searchsorted(ends, part.dish_word[shared], side="right"), np.arange(owners + 1))
         cuts = [(i, a, b) for i, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)) if b > a]
         return pa.table(
             {"owner": pa.array([i for i, _, _ in cuts], pa.int32()), "part": pa.array([group["part"][0].as_py()] * len(cuts), pa.int32())}
             | {c: pa.array([pack(x[a:b]) for _, a, b in cuts], pa.binary()) for c, x, pack in (("words", words, _steps), ("customers", customers, _bytes), ("counts", counts, _bytes))}
+            | {"families": pa.array([_bytes(part.dish_family[shared[at[i] : at[i + 1]]]) for i, _, _ in cuts], pa.binary())}
+            | {"dishes": pa.array([_bytes((dish_word[at[i] : at[i + 1]] - a).astype(np.uint32)) for i, a, _ in cuts], pa.binary())}
+            | {"tables": pa.array([_bytes(part.above_t[shared[at[i] : at[i + 1]]].astype(np.uint32)) for i, _, _ in cuts], pa.binary())}
         )
 
     def root(group: pa.Table) -> pa.Table:
-        """Sums over all tasks, for each of them in the order of its words; and the owner's totals, once."""
+        """Sums over all tasks, for each of them in the order of its words and shared dishes; and the owner's totals, once."""
         words, at = np.unique(_all(group, "words", np.uint64, True), return_inverse=True)
         customers, counts = (np.bincount(at, weights=_all(group, c, np.int64), minlength=len(words)).astype(np.int64) for c in ("customers", "counts"))
-        ends = np.cumsum([len(x) // 8 for x in group["words"].to_pylist()]).tolist()
-        mine = [at[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        ends = np.cumsum([len(x) // 8 for x in group["words"].to_pylist()])
+        each = np.array([len(x) // 8 for x in group["families"].to_pylist()])
+        known, family = np.unique(_all(group, "families", np.uint64), return_inverse=True)
+        dish, of = np.unique(family * len(words) + at[_all(group, "dishes", np.uint32) + np.repeat(ends - np.diff(ends, prepend=0), each)], return_inverse=True)
+        tables = np.bincount(of, weights=_all(group, "tables", np.uint32), minlength=len(dish)).astype(np.int64)
+        customers += np.bincount(dish[tables > 0] % len(words), minlength=len(words))  # one table a dish
+        sums = [np.bincount(dish // len(words), weights=x, minlength=len(known)).astype(np.int64).tolist() for x in (tables, tables > 0, tables == 1, tables == 2)]
+        cut_at = lambda x, ends: [x[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
         once = lambda x: pa.array([int(x)] + [0] * (group.num_rows - 1))
-        return pa.table({"part": group["part"], "owner": group["owner"], "customers": pa.array([_bytes(customers[i]) for i in mine], pa.binary()), "counts": pa.array([_bytes(counts[i]) for i in mine], pa.binary()), "vocabulary": once((counts > 0).sum()), "total": once(customers.sum())})
+        return pa.table(
+            {"part": group["part"], "owner": group["owner"], "vocabulary": once((counts > 0).sum()), "total": once(customers.sum())}
+            | {c: pa.array([_bytes(x[i]) for i in cut_at(at, ends)], pa.binary()) for c, x in (("customers", customers), ("counts", counts))}
+            | {"shared": pa.array([_bytes(tables[i]) for i in cut_at(of, np.cumsum(each))], pa.binary())}
+            | {"has": pa.array([signed(known[np.unique(i)]) for i in cut_at(family, np.cumsum(each))], pa.list_(pa.int64()))}
+            | {"sums": pa.array([[dict(zip(("family", *SUMS), x, strict=True)) for x in zip(signed(known).tolist(), *sums, strict=True)]] + [[]] * (group.num_rows - 1), pa.list_(pa.struct([(c, pa.int64()) for c in ("family", *SUMS)])))}
+        )
 
     def score(group: pa.Table, known: pa.Table) -> pa.Table:
-        part, _, _, text, row = part_of(group, 1)
-        known = known.sort_by("owner")
+        part, words, ends, text, row = part_of(group, 1)
+        families, known = known.filter(pc.is_valid(known["family"])).sort_by("family"), known.filter(pc.is_valid(known["owner"])).sort_by("owner")
         counts, customers = _all(known, "counts", np.int64), _all(known, "customers", np.int64)
         vocabulary, root_total = known["all_words"][0].as_py(), known["all_customers"][0].as_py()
         p_root = (customers + config.root_mass) / (root_total + config.root_mass * (vocabulary + 1))
+        parent, shared = p_root[part.dish_word], part.shared_dishes(np.searchsorted(ends, np.arange(len(words)), side="right"))
+        if len(shared):
+            of = np.searchsorted(families["family"].to_numpy(), signed(part.dish_family[shared]))
+            parent[shared] = whole_context(_all(known, "shared", np.int64), parent[shared], *(families[c].to_numpy()[of] for c in SUMS))
         p = np.zeros(len(part.count))
         for step in range(config.burn_in + config.samples):
-            part.sweep(p_root)
+            part.sweep(parent)
             if step >= config.burn_in:
-                p += part.predictive(p_root) / config.samples
+                p += part.predictive(parent) / config.samples
         base = np.log10((counts + 0.5) / (n_train + 0.5 * (vocabulary + 1)))
         of, width = part.type_of, int(text.max(initial=0)) + 1
         keys, at = np.unique(row * width + text, return_inverse=True)
@@ -376,11 +419,15 @@ def model_scores(docs: DataFrame, train: Column, config: Config = Config(), id_c
         known, base, scored = (np.bincount(text, weights=_all(group, c, k), minlength=len(ids)) for c, k in (("known", np.uint32), ("base", np.float64), ("score", np.float32)))
         return pa.table({"id": ids, "n_tokens": group["sizes"].combine_chunks().flatten(), "n_known": pa.array(known.astype(np.int64)), "base_score": pa.array(base), "score": pa.array(scored)})
 
-    sent = rows.mapInArrow(tokens, f"part int, batch long, contexts binary, runs binary, leaf binary, words binary, word binary, text binary, ids array<{kind}>, sizes array<long>")
-    seated = sent.groupBy("part").applyInArrow(seat, "owner int, part int, words binary, customers binary, counts binary")
-    shared = seated.groupBy("owner").applyInArrow(root, "part int, owner int, customers binary, counts binary, vocabulary long, total long")
+    sent = rows.mapInArrow(tokens, f"part int, batch long, contexts binary, families binary, runs binary, leaf binary, words binary, word binary, text binary, ids array<{kind}>, sizes array<long>")
+    seated = sent.groupBy("part").applyInArrow(seat, "owner int, part int, words binary, customers binary, counts binary, families binary, dishes binary, tables binary")
+    sums = ", ".join(f"{c}: long" for c in ("family", *SUMS))
+    shared = seated.groupBy("owner").applyInArrow(root, f"part int, owner int, vocabulary long, total long, customers binary, counts binary, shared binary, has array<long>, sums array<struct<{sums}>>")
     totals = shared.agg(F.sum("vocabulary").alias("all_words"), F.sum("total").alias("all_customers"))
-    told = shared.drop("vocabulary", "total").join(F.broadcast(totals))  # of one row
+    told = shared.select("part", "owner", "customers", "counts", "shared").join(F.broadcast(totals))  # of one row
+    whole = shared.select(F.inline("sums")).groupBy("family").agg(*(F.sum(c).alias(c) for c in SUMS))
+    whole = shared.select("part", F.explode("has").alias("family")).distinct().join(whole, "family")
+    told = told.unionByName(whole, allowMissingColumns=True)
     scored = sent.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(score, f"batch long, text binary, known binary, base binary, score binary, ids array<{kind}>, sizes array<long>")
     out = scored.groupBy("batch").applyInArrow(gather, f"id {kind}, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")

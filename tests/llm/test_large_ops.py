@@ -5,7 +5,7 @@ import math
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -68,6 +68,34 @@ def test_tasks_share_their_root_and_deal_hot_restaurants(spark):
     assert at[0].perplexity < 0.5 * at[0].base_perplexity and at[1].base_perplexity == pytest.approx(at[0].base_perplexity)
 
 
+def test_shares_of_a_context_have_one_parent(spark):
+    """A word that follows a frequent word in the other shares alone is likelier there than one that never does, however many shares there are."""
+    r = random.Random(2)
+    rows = [(i, f"v{i % 50} a x{r.randrange(40)}", True) for i in range(3000)]
+    rows += [(3000 + i, " ".join(f"y{r.randrange(40)}" for _ in range(3)), True) for i in range(2000)]
+    rows += [(10_000 + i, f"new{i} a {k}{i}", False) for i in range(40) for k in "xy"]  # leaves that no training text has
+    docs = spark.createDataFrame(rows, "doc_id long, text string, learn boolean")
+    gains = {}
+    for per_group in (1_600_000, 4000, 800):
+        got = pitman_yor.model_scores(docs, F.col("learn"), pitman_yor.Config(per_group=per_group)).filter("doc_id >= 10000").collect()
+        by = defaultdict(list)
+        for g in got:
+            by[g.doc_id].append(g.score)
+        gains[per_group] = sum(max(x) - min(x) for x in by.values()) / len(by)
+    assert gains[4000] == pytest.approx(gains[1_600_000], rel=0.25) and gains[800] == pytest.approx(gains[1_600_000], rel=0.25)
+    assert gains[1_600_000] > 0.5
+
+
+def test_a_whole_context_adds_up_to_one():
+    rng = np.random.default_rng(4)
+    c, root = rng.integers(0, 4, 500), rng.dirichlet(np.ones(500))
+    same = [np.full(500, int(x)) for x in (c.sum(), (c > 0).sum(), (c == 1).sum(), (c == 2).sum())]
+    p = pitman_yor.whole_context(c, root, *same)
+    assert p.sum() == pytest.approx(1) and p.min() > 0
+    nothing = [np.zeros(500, int)] * 4
+    assert pitman_yor.whole_context(nothing[0], root, *nothing) == pytest.approx(root)
+
+
 def part_of_chain(config=pitman_yor.Config()):
     """One task's restaurants of some texts, with a token that doesn't learn for each word after each leaf."""
     tokens = [(w[i - 1], w[i - 2], w[i]) for _, t, _ in chain(n=12) for w in [t.split()] for i in range(2, len(w))]
@@ -78,13 +106,13 @@ def part_of_chain(config=pitman_yor.Config()):
     asked = np.array([[c, leaf, w] for c, leaf in leaves for w in range(len(words) + 1)])
     context, leaf, word = np.concatenate([seen, asked]).T
     learn = np.arange(len(word)) < len(seen)
-    part = pitman_yor.Part(context, leaf, word, learn, len(words) + 1, config, (1, 2, 3))
+    part = pitman_yor.Part(context, leaf, word, learn, np.zeros(len(words), np.uint64), len(words) + 1, config, (1, 2, 3))
     return part, seen, len(words) + 1, part.type_of[len(seen) :].reshape(len(leaves), -1), leaves
 
 
 def test_probabilities_add_up():
     part, _, n, asked, _ = part_of_chain()
-    root = np.random.default_rng(0).dirichlet(np.ones(n))
+    root = np.random.default_rng(0).dirichlet(np.ones(n))[part.dish_word]
     for _ in range(3):
         part.sweep(root)
         assert part.predictive(root)[asked].sum(1) == pytest.approx(np.ones(len(asked)))
@@ -139,8 +167,8 @@ def test_sampling_agrees_with_one_customer_at_a_time():
     root = np.full(n, 1 / n)
     fast = np.zeros(asked.shape)
     for step in range(60):
-        part.sweep(root)
-        fast += part.predictive(root)[asked] / 50 if step >= 10 else 0
+        part.sweep(root[part.dish_word])
+        fast += part.predictive(root[part.dish_word])[asked] / 50 if step >= 10 else 0
     rng = random.Random(3)
     tops = {c: Restaurant(part.above_d, Root(root), rng) for c in np.unique(seen[:, 0]).tolist()}
     low = {tuple(u): Restaurant(part.d, tops[u[0]], rng) for u in leaves.tolist()}
