@@ -16,7 +16,6 @@ from loomline.llm.common import LOWER, flat, groups_for, mix, prefix_sums, signe
 
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _TRAIN = np.uint16(1 << 15)
-SUMS = ("all_tables", "some", "once", "twice")  # of a context that is dealt to several restaurants: their tables, and its words with any, one and two of them
 
 
 @dataclass(frozen=True)
@@ -138,7 +137,7 @@ class Part:
         self.dish[by_dish] = np.cumsum(new) - 1
         self.dish_word, self.dish_top = self.word[by_dish][new], top[by_dish][new]
         self.n_leaves, self.n_tops = int(self.leaf[-1]) + 1, int(top[-1]) + 1
-        self.dish_family = family[self.dish_top]
+        self.dish_family, self.families = family[self.dish_top], np.unique(family[family > 0])
         self.leaf_total = self._sum(self.leaf, self.count, self.n_leaves)
         self.words_seen = np.bincount(self.word, weights=self.count, minlength=n_words).astype(np.int64)
         # each dish begins with one table
@@ -361,17 +360,18 @@ def model_scores(docs: DataFrame, train: Column, config: Config = Config(), id_c
         customers, counts = part.root_customers(), part.words_seen
         shared = part.shared_dishes(np.searchsorted(ends, np.arange(len(words)), side="right"))
         dish_word, at = part.dish_word[shared], np.searchsorted(np.searchsorted(ends, part.dish_word[shared], side="right"), np.arange(owners + 1))
-        cuts = [(i, a, b) for i, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)) if b > a]
+        cuts = [(i, a, b) for i, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True))]
         return pa.table(
             {"owner": pa.array([i for i, _, _ in cuts], pa.int32()), "part": pa.array([group["part"][0].as_py()] * len(cuts), pa.int32())}
             | {c: pa.array([pack(x[a:b]) for _, a, b in cuts], pa.binary()) for c, x, pack in (("words", words, _steps), ("customers", customers, _bytes), ("counts", counts, _bytes))}
+            | {"held": pa.array([_bytes(part.families)] * owners, pa.binary())}
             | {"families": pa.array([_bytes(part.dish_family[shared[at[i] : at[i + 1]]]) for i, _, _ in cuts], pa.binary())}
             | {"dishes": pa.array([_bytes((dish_word[at[i] : at[i + 1]] - a).astype(np.uint32)) for i, a, _ in cuts], pa.binary())}
             | {"tables": pa.array([_bytes(part.above_t[shared[at[i] : at[i + 1]]].astype(np.uint32)) for i, _, _ in cuts], pa.binary())}
         )
 
     def root(group: pa.Table) -> pa.Table:
-        """Sums over all tasks, for each of them in the order of its words and shared dishes; and the owner's totals, once."""
+        """Sums over all tasks, for each of them in the order of its words and shared dishes; with the owner's totals, and those of each shared context that the task holds: its tables, and its words with any, one and two of them."""
         words, at = np.unique(_all(group, "words", np.uint64, True), return_inverse=True)
         customers, counts = (np.bincount(at, weights=_all(group, c, np.int64), minlength=len(words)).astype(np.int64) for c in ("customers", "counts"))
         ends = np.cumsum([len(x) // 8 for x in group["words"].to_pylist()])
@@ -379,28 +379,28 @@ def model_scores(docs: DataFrame, train: Column, config: Config = Config(), id_c
         known, family = np.unique(_all(group, "families", np.uint64), return_inverse=True)
         dish, of = np.unique(family * len(words) + at[_all(group, "dishes", np.uint32) + np.repeat(ends - np.diff(ends, prepend=0), each)], return_inverse=True)
         tables = np.bincount(of, weights=_all(group, "tables", np.uint32), minlength=len(dish)).astype(np.int64)
-        customers += np.bincount(dish[tables > 0] % len(words), minlength=len(words))  # one table a dish
-        sums = [np.bincount(dish // len(words), weights=x, minlength=len(known)).astype(np.int64).tolist() for x in (tables, tables > 0, tables == 1, tables == 2)]
+        customers += np.bincount(dish[tables > 0] % max(1, len(words)), minlength=len(words))  # one table a dish
+        sums = np.stack([np.bincount(dish // max(1, len(words)), weights=x, minlength=len(known) + 1).astype(np.int64) for x in (tables, tables > 0, tables == 1, tables == 2)])
+        held = [_array(x, np.uint64) for x in group["held"].to_pylist()]
+        place = [np.where(np.isin(x, known), np.searchsorted(known, x), len(known)) for x in held]  # the last sum is of nothing
         cut_at = lambda x, ends: [x[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-        once = lambda x: pa.array([int(x)] + [0] * (group.num_rows - 1))
         return pa.table(
-            {"part": group["part"], "owner": group["owner"], "vocabulary": once((counts > 0).sum()), "total": once(customers.sum())}
+            {"part": group["part"], "owner": group["owner"], "vocabulary": pa.array([int((counts > 0).sum())] * group.num_rows), "total": pa.array([int(customers.sum())] * group.num_rows)}
             | {c: pa.array([_bytes(x[i]) for i in cut_at(at, ends)], pa.binary()) for c, x in (("customers", customers), ("counts", counts))}
             | {"shared": pa.array([_bytes(tables[i]) for i in cut_at(of, np.cumsum(each))], pa.binary())}
-            | {"has": pa.array([signed(known[np.unique(i)]) for i in cut_at(family, np.cumsum(each))], pa.list_(pa.int64()))}
-            | {"sums": pa.array([[dict(zip(("family", *SUMS), x, strict=True)) for x in zip(signed(known).tolist(), *sums, strict=True)]] + [[]] * (group.num_rows - 1), pa.list_(pa.struct([(c, pa.int64()) for c in ("family", *SUMS)])))}
+            | {"sums": pa.array([_bytes(sums[:, i].ravel()) for i in place], pa.binary())}
         )
 
     def score(group: pa.Table, known: pa.Table) -> pa.Table:
         part, words, ends, text, row = part_of(group, 1)
-        families, known = known.filter(pc.is_valid(known["family"])).sort_by("family"), known.filter(pc.is_valid(known["owner"])).sort_by("owner")
+        known = known.sort_by("owner")
         counts, customers = _all(known, "counts", np.int64), _all(known, "customers", np.int64)
-        vocabulary, root_total = known["all_words"][0].as_py(), known["all_customers"][0].as_py()
+        vocabulary, root_total = pc.sum(known["vocabulary"]).as_py(), pc.sum(known["total"]).as_py()
         p_root = (customers + config.root_mass) / (root_total + config.root_mass * (vocabulary + 1))
         parent, shared = p_root[part.dish_word], part.shared_dishes(np.searchsorted(ends, np.arange(len(words)), side="right"))
         if len(shared):
-            of = np.searchsorted(families["family"].to_numpy(), signed(part.dish_family[shared]))
-            parent[shared] = whole_context(_all(known, "shared", np.int64), parent[shared], *(families[c].to_numpy()[of] for c in SUMS))
+            sums = np.sum(_rows(known, "sums", np.int64), axis=0).reshape(4, -1)
+            parent[shared] = whole_context(_all(known, "shared", np.int64), parent[shared], *sums[:, np.searchsorted(part.families, part.dish_family[shared])])
         p = np.zeros(len(part.count))
         for step in range(config.burn_in + config.samples):
             part.sweep(parent)
@@ -420,14 +420,8 @@ def model_scores(docs: DataFrame, train: Column, config: Config = Config(), id_c
         return pa.table({"id": ids, "n_tokens": group["sizes"].combine_chunks().flatten(), "n_known": pa.array(known.astype(np.int64)), "base_score": pa.array(base), "score": pa.array(scored)})
 
     sent = rows.mapInArrow(tokens, f"part int, batch long, contexts binary, families binary, runs binary, leaf binary, words binary, word binary, text binary, ids array<{kind}>, sizes array<long>")
-    seated = sent.groupBy("part").applyInArrow(seat, "owner int, part int, words binary, customers binary, counts binary, families binary, dishes binary, tables binary")
-    sums = ", ".join(f"{c}: long" for c in ("family", *SUMS))
-    shared = seated.groupBy("owner").applyInArrow(root, f"part int, owner int, vocabulary long, total long, customers binary, counts binary, shared binary, has array<long>, sums array<struct<{sums}>>")
-    totals = shared.agg(F.sum("vocabulary").alias("all_words"), F.sum("total").alias("all_customers"))
-    told = shared.select("part", "owner", "customers", "counts", "shared").join(F.broadcast(totals))  # of one row
-    whole = shared.select(F.inline("sums")).groupBy("family").agg(*(F.sum(c).alias(c) for c in SUMS))
-    whole = shared.select("part", F.explode("has").alias("family")).distinct().join(whole, "family")
-    told = told.unionByName(whole, allowMissingColumns=True)
+    seated = sent.groupBy("part").applyInArrow(seat, "owner int, part int, words binary, customers binary, counts binary, held binary, families binary, dishes binary, tables binary")
+    told = seated.groupBy("owner").applyInArrow(root, "part int, owner int, vocabulary long, total long, customers binary, counts binary, shared binary, sums binary")  # of each owner a row for each part
     scored = sent.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(score, f"batch long, text binary, known binary, base binary, score binary, ids array<{kind}>, sizes array<long>")
     out = scored.groupBy("batch").applyInArrow(gather, f"id {kind}, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
