@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import LOWER, flat, groups_for, mix, prefix_sums, signed, slices, span_hash, spans
+from loomline.llm.common import LOWER, flat, groups_for, mix, signed, slices, span_hashes, spans
 
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _TRAIN = np.uint16(1 << 15)
@@ -36,7 +36,7 @@ def tokens_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray
     data, at = flat(batch.column("text"))
     n = len(at) - 1
     start, end, own = spans(data, at)
-    words = span_hash(prefix_sums(data, LOWER), start, end)
+    words = span_hashes(data, start, end, LOWER)
     count = np.bincount(own, minlength=n) + 1
     ends = np.cumsum(count)
     word = np.full(ends[-1] if n else 0, END, np.uint64)
@@ -65,7 +65,7 @@ def log_stirling(most: int, d: float) -> np.ndarray:
 class Tables:
     """Draws the number of tables of dishes from its full conditional: for c customers and weight a of a new table P(t) is as a^t times the generalised Stirling number of c and t."""
 
-    def __init__(self, d: float, most: int, chunk: int = 1 << 21):
+    def __init__(self, d: float, most: int, chunk: int = 1 << 18):
         self.d, self.chunk = d, chunk
         self.log_s = log_stirling(most, d)
         self.most = most
@@ -112,6 +112,11 @@ def firsts(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
+def numbered(new: np.ndarray) -> np.ndarray:
+    """From 0, of each place where a combination begins or goes on."""
+    return np.cumsum(new, dtype=np.int32) - np.int32(1)
+
+
 class Part:
     """One task's restaurants: leaves for two words before, and above them one for each word before; whole but for the root, which all tasks share.
 
@@ -124,17 +129,18 @@ class Part:
         order = np.lexsort((word, leaf, context))
         context, leaf, word = context[order], leaf[order], word[order]
         new = firsts(context, leaf, word)
-        self.type_of = np.empty(len(order), np.int64)  # of each token
-        self.type_of[order] = np.cumsum(new) - 1
+        self.type_of = np.empty(len(order), np.int32)  # of each token; a task has far less than 2^31
+        self.type_of[order] = numbered(new)
         n_types = int(new.sum())
-        self.count = np.bincount(self.type_of[learn], minlength=n_types)
-        context, leaf, self.word = context[new], leaf[new], word[new]
-        self.leaf = np.cumsum(firsts(context, leaf)) - 1
-        top = np.cumsum(firsts(context)) - 1
+        self.count = np.bincount(self.type_of[learn], minlength=n_types).astype(np.int32)
+        context, leaf, self.word = context[new], leaf[new], word[new].astype(np.int32)
+        del order, word
+        self.leaf, top = numbered(firsts(context, leaf)), numbered(firsts(context))
+        del context, leaf
         by_dish = np.lexsort((self.word, top))
         new = firsts(top[by_dish], self.word[by_dish])
-        self.dish = np.empty(n_types, np.int64)
-        self.dish[by_dish] = np.cumsum(new) - 1
+        self.dish = np.empty(n_types, np.int32)
+        self.dish[by_dish] = numbered(new)
         self.dish_word, self.dish_top = self.word[by_dish][new], top[by_dish][new]
         self.n_leaves, self.n_tops = int(self.leaf[-1]) + 1, int(top[-1]) + 1
         self.dish_family, self.families = family[self.dish_top], np.unique(family[family > 0])
@@ -226,7 +232,7 @@ def _narrow(x: np.ndarray) -> bytes:
 
 def _wide(data: bytes, n: int) -> np.ndarray:
     """n numbers as _narrow left them."""
-    return _array(data, np.uint16 if len(data) == 2 * n else np.uint32).astype(np.int64)
+    return _array(data, np.uint16 if len(data) == 2 * n else np.uint32).astype(np.int32)
 
 
 def _rows(group: pa.Table, name: str, kind: type, rising: bool = False) -> list[np.ndarray]:
@@ -334,23 +340,23 @@ def model_scores(docs: DataFrame, train: Column, config: Config = Config(), id_c
             )
 
     def part_of(group: pa.Table, step: int) -> tuple[Part, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """A task's restaurants, its distinct words and where each owner's end, and text number and row of each token."""
+        """A task's restaurants, its distinct words and where each owner's end, the text number of each token, and where each row's tokens end."""
         group_words = _rows(group, "words", np.uint64, True)
         text = _all(group, "text", np.uint16)
         per_row = np.array([len(x) // 2 for x in group["text"].to_pylist()])
-        begins = np.cumsum([0, *map(len, group_words)])
-        number = np.concatenate([_wide(x, n) + b for x, n, b in zip(group["word"].to_pylist(), per_row.tolist(), begins[:-1].tolist(), strict=True)])
+        begins = np.cumsum([0, *map(len, group_words)], dtype=np.int32)
+        number = np.concatenate([_wide(x, n) + b for x, n, b in zip(group["word"].to_pylist(), per_row.tolist(), begins[:-1], strict=True)])
         every = np.concatenate(group_words)
         order = np.lexsort((every, every % np.uint64(owners)))
         new = firsts(every[order])
-        rank = np.empty(len(every), np.int64)
-        rank[order] = np.cumsum(new) - 1
+        rank = np.empty(len(every), np.int32)
+        rank[order] = numbered(new)
         words = every[order][new]
         context = _all(group, "contexts", np.uint32, True)
         family = _all(group, "families", np.uint64)[np.unique(context, return_index=True)[1]]
         context = np.repeat(context, _all(group, "runs", np.uint32))
         out = Part(context, _all(group, "leaf", np.uint16), rank[number], text >= _TRAIN, family, len(words), config, (config.seed, step, group["part"][0].as_py()))
-        return out, words, np.searchsorted(words % np.uint64(owners), np.arange(owners), side="right"), (text & ~_TRAIN).astype(np.int64), np.repeat(np.arange(group.num_rows), per_row)
+        return out, words, np.searchsorted(words % np.uint64(owners), np.arange(owners), side="right"), text & ~_TRAIN, np.cumsum(per_row)
 
     def seat(group: pa.Table) -> pa.Table:
         """Sweeps with the task's own root; a row for each owner of words, with the customers that the root gets and the counts of the words."""
@@ -392,7 +398,7 @@ def model_scores(docs: DataFrame, train: Column, config: Config = Config(), id_c
         )
 
     def score(group: pa.Table, known: pa.Table) -> pa.Table:
-        part, words, ends, text, row = part_of(group, 1)
+        part, words, ends, text, row_ends = part_of(group, 1)
         known = known.sort_by("owner")
         counts, customers = _all(known, "counts", np.int64), _all(known, "customers", np.int64)
         vocabulary, root_total = pc.sum(known["vocabulary"]).as_py(), pc.sum(known["total"]).as_py()
@@ -407,12 +413,14 @@ def model_scores(docs: DataFrame, train: Column, config: Config = Config(), id_c
             if step >= config.burn_in:
                 p += part.predictive(parent) / config.samples
         base = np.log10((counts + 0.5) / (n_train + 0.5 * (vocabulary + 1)))
-        of, width = part.type_of, int(text.max(initial=0)) + 1
-        keys, at = np.unique(row * width + text, return_inverse=True)
-        sums = [np.bincount(at, weights=x, minlength=len(keys)) for x in ((counts > 0)[part.word[of]], base[part.word[of]], np.log10(p)[of])]
-        ends = np.searchsorted(keys // width, np.arange(group.num_rows), side="right").tolist()
-        columns = dict(zip(("text", "known", "base", "score"), ((keys % width).astype(np.uint16), sums[0].astype(np.uint32), sums[1], sums[2].astype(np.float32)), strict=True))
-        return pa.table({"batch": group["batch"]} | {c: pa.array([_bytes(x[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)], pa.binary()) for c, x in columns.items()} | {"ids": group["ids"], "sizes": group["sizes"]})
+        log_p, seen, columns = np.log10(p), counts > 0, {c: [] for c in ("text", "known", "base", "score")}
+        for a, b in zip([0, *row_ends[:-1].tolist()], row_ends.tolist(), strict=True):  # a row at a time, so nothing more of a token's width is made for all
+            of = part.type_of[a:b]
+            texts, at = np.unique(text[a:b], return_inverse=True)
+            sums = [np.bincount(at, weights=x, minlength=len(texts)) for x in (seen[part.word[of]], base[part.word[of]], log_p[of])]
+            for c, x in zip(columns, (texts, sums[0].astype(np.uint32), sums[1], sums[2].astype(np.float32)), strict=True):
+                columns[c].append(_bytes(x))
+        return pa.table({"batch": group["batch"]} | {c: pa.array(x, pa.binary()) for c, x in columns.items()} | {"ids": group["ids"], "sizes": group["sizes"]})
 
     def gather(group: pa.Table) -> pa.Table:
         ids, text = group["ids"].combine_chunks().flatten(), _all(group, "text", np.uint16)

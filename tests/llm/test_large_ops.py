@@ -4,16 +4,18 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomline.llm import line_dedup, ngram_join, pitman_yor, quality, suffix_dedup
+from loomline.llm import common, line_dedup, ngram_join, pitman_yor, quality, suffix_dedup
 from loomline.llm.components import components
 from loomline.llm.queries import fold
 
@@ -566,3 +568,31 @@ def test_line_dedup(spark, messy, empty):
     assert clean.columns == messy.columns and line_dedup.clean(empty).count() == 0
     kept = {x.doc_id for x in clean.collect()}
     assert {50, 51, 52, 53, 5, 60, 61} <= kept and not {40, 41} & kept  # copies have lost all their lines
+
+
+def peak_bytes(run) -> int:
+    """The most that Python and numpy held at once while run() ran, beyond what they held before."""
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_span_hashes_piecewise():
+    data, at = common.flat(pa.array([" ".join("aBcd"[: 1 + j % 4] * (1 + i) for j in range(40)) + " " + "X" * 90 for i in range(30)]))
+    start, end, _ = common.spans(data, at)
+    want = common.span_hash(common.prefix_sums(data, common.LOWER), start, end)
+    assert all((common.span_hashes(data, start, end, common.LOWER, piece) == want).all() for piece in (1, 50, 1000, 1 << 20))
+    assert not len(common.span_hashes(data[:0], start[:0], end[:0]))
+
+
+def test_pitman_yor_memory():
+    text = " ".join(f"w{i % 7919}" for i in range(40_000))
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([text] * (1 + (4 << 20) // len(text)))})
+    common._powers.clear()
+    assert peak_bytes(lambda: pitman_yor.tokens_of(batch)) < 25 * batch.nbytes  # 44 with sums and powers over all bytes at once
+    c = np.full(100_000, 60)
+    draw = pitman_yor.Tables(0.6, 60)
+    assert peak_bytes(lambda: draw.draw(c, np.full(len(c), 2.0), np.random.default_rng(4))) < 200 * len(c)  # 544 with pieces of 2^21
