@@ -84,7 +84,7 @@ class Caller:
                 yield running.pop(future), future.result()
 
 
-def _opened(folder: str):
+def opened(folder: str):
     """A folder as workers reach it (file, hdfs, s3 or gs), and its path there."""
     from pyarrow import fs
 
@@ -120,7 +120,7 @@ def spent(folder: str) -> tuple[int, int]:
     """Prompt and completion tokens of all answers kept in a folder; files name their own."""
     from pyarrow import fs
 
-    system, path = _opened(folder)
+    system, path = opened(folder)
     files = system.get_file_info(fs.FileSelector(path, allow_not_found=True))
     counts = [f.base_name.split(".")[0].split("-")[-2:] for f in files if f.base_name.startswith("a-")]
     return sum(int(a) for a, _ in counts), sum(int(b) for _, b in counts)
@@ -144,7 +144,7 @@ def keep_answers(questions: DataFrame, folder: str, ask: Ask, calls: Calls = Cal
     each = Calls(calls.in_flight, calls.attempts, calls.pause, per_second / tasks if per_second else calls.per_second, calls.flush)
     names = [c for c in questions.columns if c != "question"]
     tokens = budget.tokens if budget else lambda _: (0, 0)
-    system, path = _opened(folder)
+    system, path = opened(folder)
     system.create_dir(path)
     stop = f"{path}/_stop"
     if system.get_file_info(stop).is_file:
@@ -153,7 +153,7 @@ def keep_answers(questions: DataFrame, folder: str, ask: Ask, calls: Calls = Cal
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        system, path = _opened(folder)
+        system, path = opened(folder)
         part = TaskContext.get().partitionId()
         known: set = set()
         for f in system.get_file_info(fs.FileSelector(path)):

@@ -24,7 +24,7 @@ from loomline.plans.dataset import label_dataset
 from loomline.plans.fixtures import sessions
 from loomline.sources import jsonl, transcripts
 from loomline.sources.label_store import LabelStore
-from loomline.sources.scratch import cut, scratch
+from loomline.sources.scratch import cut, names, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -119,29 +119,23 @@ def model_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts.fold(transcripts.parse_a(records), "claude", True).filter("kind is not null").select(F.col("text").cast("long").alias("event_id"), F.col("turn_model").alias("model"))
 
 
-def _write_lines(rows: DataFrame, where: str, by: str | None = None, **options: str) -> None:
-    """A column `line` as text files, one folder for each value of `by`."""
-    out = rows.select("line", *[by] * bool(by)).write.mode("append").options(extension="jsonl", sep="\x01", quote="", escape="", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false", **options)
-    (out.partitionBy(by) if by else out).csv(where)
-
-
 @query
 def logs_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations written as log files and loaded from there in all dialects: a folder for each, some of them below `subagents`; for dialect B also a file at the root. With blank and malformed lines, and lines that are no objects."""
-    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    """Conversations written as log files and loaded from there in all dialects: a file for each, a hundred to a folder, some of them below `subagents`; for dialect B also a file at the root. With blank and malformed lines, and lines that are no objects."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").filter("conv_id is not null")
     bad = rows.filter("turn = 1").select("conv_id", "turn", F.explode(F.array(F.lit(" "), F.lit('{"type": "user"'), F.lit("[1]"))).alias("line"))
+    places = {
+        "a": "array(concat('a/', if(conv_id % 10 = 9, 'subagents/', ''), conv_id div 100, '/', conv_id, '.jsonl'))",
+        "b": "if(conv_id = 7, array('b/rollout-7.jsonl'), transform(array('rollout', 'other'), x -> concat('b/', conv_id div 100, '/', x, '-', conv_id, '.jsonl')))",
+    }
     with scratch(spark) as where:
         for kind, line, of in (("a", _BLOCKS, rows), ("b", _DIALECT_B, _with_heads(rows))):
-            lines = of.select("conv_id", "turn", F.expr(line).alias("line")).unionByName(bad).repartition("conv_id").sortWithinPartitions("conv_id", "turn")
-            if kind == "a":
-                _write_lines(lines.filter("conv_id % 10 <> 9"), f"{where}/a", "conv_id")
-                _write_lines(lines.filter("conv_id % 10 = 9"), f"{where}/a/subagents", "conv_id")
-            else:
-                _write_lines(lines.filter("conv_id <> 7"), f"{where}/b", "conv_id", **{"mapreduce.output.basename": "rollout"})
-                _write_lines(lines.filter("conv_id <> 7"), f"{where}/b", "conv_id", **{"mapreduce.output.basename": "other"})
-                _write_lines(lines.filter("conv_id = 7").coalesce(1).sortWithinPartitions("turn"), f"{where}/b", **{"mapreduce.output.basename": "rollout"})
+            lines = of.select("conv_id", "turn", F.expr(line).alias("line")).unionByName(bad)
+            jsonl.write_files(lines.select(F.explode(F.expr(places[kind])).alias("path"), "turn", "line"), where, "turn")
         logs = transcripts.union(transcripts.load_a(spark, f"{where}/a"), transcripts.load_b(spark, f"{where}/b"), transcripts.load_c(spark, where))
-        return cut(logs.sessions.filter("kind is not null").select("harness", "thread_id", "pos", "kind", "text", "tool_name", "tool_input", "call_id", "model", "cwd", "started_at", "n_turns", "n_rejected"))
+        found = cut(logs.sessions.filter("kind is not null").select("harness", "thread_id", "pos", "kind", "text", "tool_name", "tool_input", "call_id", "model", "cwd", "started_at", "n_turns", "n_rejected"))
+        jsonl.delete_files(spark, [f"{where}/{of}/{x}" for of in ("a/subagents", "a", "b") for x in names(spark, f"{where}/{of}") if x.isdigit()])
+        return found
 
 
 @query

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomline.operators.calls import opened
 from loomline.operators.labels import LABEL_COLUMNS, LABEL_SCHEMA, last_wins
 from loomline.sources.scratch import delete, exists, file_system, names
 
@@ -43,6 +46,55 @@ def write_labels(labels: DataFrame, path: str) -> None:
     labels.select(*LABEL_COLUMNS).write.mode("overwrite").json(path)
 
 
+def write_files(rows: DataFrame, folder: str, *order: str) -> int:
+    """rows (path, line) as text files below folder, one for each path, whose lines are in the given order; how many files.
+
+    For very many small files: Spark's writer takes a folder and a commit for each, this a file. A file is written aside
+    and renamed, so a task that runs again replaces it. folder: one that workers reach by pyarrow (a shared mount, hdfs, s3, gs).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = opened(folder)
+        made, n, at, aside, out = set(), 0, None, "", None
+
+        def close() -> None:
+            if out:
+                out.close()
+                system.move(aside, f"{root}/{at}")
+
+        for batch in batches:
+            paths, lines = batch.column("path").to_pylist(), batch.column("line").to_pylist()
+            begins = [i for i, p in enumerate(paths) if not i or p != paths[i - 1]]
+            for i, j in zip(begins, [*begins[1:], len(paths)], strict=True):
+                if paths[i] != at:
+                    close()
+                    at, n = paths[i], n + 1
+                    of = f"{root}/{at}".rpartition("/")[0]
+                    if of not in made:
+                        system.create_dir(of)
+                        made.add(of)
+                    aside = f"{of}/_new-{uuid.uuid4().hex}"
+                    out = system.open_output_stream(aside)
+                out.write("".join(f"{x}\n" for x in lines[i:j]).encode())
+        close()
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n])})
+
+    dealt = rows.repartition("path").sortWithinPartitions("path", *order).select("path", F.coalesce("line", F.lit("")).alias("line"))
+    return dealt.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def delete_files(spark: SparkSession, folders: list[str]) -> None:
+    """Folders of very many files, as write_files leaves them, deleted by tasks and not one file after another by the driver."""
+
+    def run(of: Iterator[str]) -> None:
+        for folder in of:
+            system, path = opened(folder)
+            system.delete_dir(path)
+
+    if folders:
+        spark.sparkContext.parallelize(folders, min(len(folders), 4 * spark.sparkContext.defaultParallelism)).foreachPartition(run)
+
+
 def append_candidates(rows: DataFrame, path: str) -> None:
     """stage, project, candidate, score, wall_time, extra: one more file for each call."""
     rows.write.mode("append").json(path)

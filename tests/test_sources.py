@@ -3,9 +3,11 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomline.config import Settings
 from loomline.operators import samples as P
+from loomline.plans import log_queries
 from loomline.plans.dataset import build_dataset, label_dataset, training_dataset
 from loomline.sources import jsonl
 from loomline.sources.label_store import LabelStore
@@ -142,3 +144,25 @@ def test_since_and_prompts(spark, root_a, tmp_path):
     jsonl.write_prompt(spark, str(tmp_path), "Tests first.", "alpha")
     prefix, suffixes = jsonl.read_prompts(spark, str(tmp_path))
     assert prefix == "Be brief.\nAlways." and [tuple(r) for r in suffixes.collect()] == [("alpha", "Tests first.")]
+
+
+def test_write_files(spark, tmp_path):
+    """A file for each path, lines in order though rows are dealt at random, none aside left, and a rerun replaces files."""
+    rows = spark.range(2000).selectExpr("concat('d', id % 3, '/sub/', id % 50, '.jsonl') path", "id at", "if(id = 7, null, concat('é ', id)) line")
+    for _ in range(2):
+        assert jsonl.write_files(rows.repartition(7, "at").orderBy(F.desc("at")), f"file:{tmp_path}", "at") == 150
+    found = {str(p.relative_to(tmp_path)): p.read_text().split("\n") for p in tmp_path.rglob("*") if p.is_file()}
+    assert len(found) == 150 and all(x == ["" if i == 7 else f"é {i}" for i in range(2000) if f"d{i % 3}/sub/{i % 50}.jsonl" == p] + [""] for p, x in found.items())
+    jsonl.delete_files(spark, [f"file:{tmp_path}/d{i}" for i in range(3)])
+    assert not any(tmp_path.iterdir())
+    jsonl.delete_files(spark, [])
+    assert jsonl.write_files(rows.limit(0), str(tmp_path), "at") == 0
+
+
+def test_logs_of_a_scan_share_folders(spark, small, monkeypatch):
+    """A hundred conversations to a folder: a folder and a commit for each took most of the time."""
+    deleted, of = [], jsonl.delete_files
+    monkeypatch.setattr(jsonl, "delete_files", lambda s, folders: (deleted.extend(folders), of(s, folders)))
+    n = log_queries.logs_scan(spark, small).select("thread_id").distinct().count()
+    last = spark.read.parquet(f"{small}/conversations.parquet").agg(F.max("conv_id")).first()[0]
+    assert n and 0 < len(deleted) <= 3 * (last // 100 + 1)
