@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,10 +20,32 @@ class Tokenizer(Protocol):
     def decode(self, ids: list[int]) -> str: ...
 
 
-def encode_all(tokenizer: Tokenizer, texts: list[str]) -> list[list[int]]:
-    """Ids of many texts: by the tokenizer's encode_batch, if it has one."""
-    batch = getattr(tokenizer, "encode_batch", None)
-    return batch(texts) if batch else [tokenizer.encode(t) for t in texts]
+#: Characters that are encoded at once. A library keeps some hundred bytes for a token while it encodes a list of texts.
+SLICE = 1 << 18
+
+
+def slices(texts: Sequence[str], most: int = SLICE) -> Iterator[Sequence[str]]:
+    """The texts in order, in lists of at most `most` characters; a longer text stands alone."""
+    begin, held = 0, 0
+    for i, text in enumerate(texts):
+        if i > begin and held + len(text) > most:
+            yield texts[begin:i]
+            begin, held = i, 0
+        held += len(text)
+    if len(texts) > begin:
+        yield texts[begin:]
+
+
+def encode_all(tokenizer: Tokenizer, texts: Sequence[str], most: int = SLICE) -> Iterator[list[np.ndarray]]:
+    """Ids of many texts, slice by slice: by the tokenizer's encode_batch, if it has one."""
+    batch = getattr(tokenizer, "encode_batch", None) or (lambda of: [tokenizer.encode(t) for t in of])
+    for of in slices(texts, most):
+        yield [np.asarray(x, np.int32) for x in batch(of)]
+
+
+def count_all(tokenizer: Tokenizer, texts: Sequence[str]) -> list[int]:
+    """How many tokens each has."""
+    return [len(x) for ids in encode_all(tokenizer, texts) for x in ids]
 
 
 class FileTokenizer:
@@ -84,7 +107,7 @@ def token_counts(texts: Column, make: Maker) -> Column:
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tokenizer = _of(make)
         for lists in batches:
-            yield lists.map(lambda texts: [len(x) for x in encode_all(tokenizer, list(texts))])
+            yield lists.map(lambda texts: count_all(tokenizer, list(texts)))
 
     return count(texts)
 
@@ -98,19 +121,30 @@ def message_tokens(role: Column, content: Column, make: Maker) -> Column:
         for names, texts in batches:
             for name in set(names) - roles.keys():
                 roles[name] = len(tokenizer.encode(name or ""))
-            yield pd.Series([len(x) + roles[n] + 4 for n, x in zip(names, encode_all(tokenizer, [t or "" for t in texts]), strict=True)], dtype="int32")
+            yield pd.Series([x + roles[n] + 4 for n, x in zip(names, count_all(tokenizer, [t or "" for t in texts]), strict=True)], dtype="int32")
 
     return count(role, content)
 
 
-def encode(text: Column, make: Maker) -> Column:
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokenizer = _of(make)
-        for texts in batches:
-            yield pd.Series(encode_all(tokenizer, [t or "" for t in texts]), dtype=object)
+def encode(make: Maker, **texts: Column) -> Column:
+    """STRUCT of an ARRAY<INT> of ids for each text, by one worker of a task; they leave slice by slice, so it holds those of one."""
+    names = list(texts)  # the function below may not hold columns
+    kind = T.StructType([T.StructField(name, T.ArrayType(T.IntegerType())) for name in names])
 
-    return run(text)
+    @F.pandas_udf(kind)
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        tokenizer = _of(make)
+        for columns in batches:
+            every = [t or "" for row in zip(*columns, strict=True) for t in row]
+            held: list[np.ndarray] = []
+            for ids in encode_all(tokenizer, every):
+                held += ids
+                whole = len(held) // len(names) * len(names)
+                if whole:
+                    yield pd.DataFrame({name: pd.Series(held[i : whole : len(names)], dtype=object) for i, name in enumerate(names)})
+                    held = held[whole:]
+
+    return run(*texts.values())
 
 
 def left_truncate(text: Column, budget: Column, make: Maker, mark: str) -> Column:

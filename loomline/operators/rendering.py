@@ -100,6 +100,6 @@ def chat_text(messages: Column) -> Column:
 
 def token_rows(rows: DataFrame, make: Maker, eos: int, pad: int, most: int, s: Settings = DEFAULT) -> DataFrame:
     """rows (as from training_rows) with input_ids, attention_mask, labels; those with too long a target are left out."""
-    ids = rows.withColumns({"_p": encode(chat_text(F.col("messages")), make), "_t": encode(F.col("target"), make)})
-    ids = ids.withColumn("_m", mask_tokens(F.col("_p"), F.col("_t"), eos, pad, most, s)).filter("_m is not null")
+    ids = rows.withColumn("_ids", encode(make, prompt=chat_text(F.col("messages")), target=F.col("target")))
+    ids = ids.withColumn("_m", mask_tokens(F.col("_ids.prompt"), F.col("_ids.target"), eos, pad, most, s)).filter("_m is not null")
     return ids.select(*rows.columns, "_m.*")

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomline.config import Settings
+from loomline.functions import tokens
 from loomline.functions.tokens import CodePoints, FileTokenizer
 from loomline.operators import labels, rendering, samples
 from loomline.operators.stats import loader_stats
@@ -191,3 +192,20 @@ def test_token_rows_by_a_vocabulary(spark, small):
             pads = 2048 - len(ids) - len(target)
             want[r.source_path, r.pos] = (ids + target + [0] * pads, [1] * (2048 - pads) + [0] * pads, [-100] * len(ids) + target + [-100] * pads)
     assert got == want and got
+
+
+def test_texts_are_encoded_in_slices():
+    """A library keeps hundreds of bytes for a token of the texts it encodes at once, so a list of any length goes to it in slices."""
+
+    class Counting:
+        most = 0
+
+        def encode_batch(self, texts):
+            self.most = max(self.most, sum(map(len, texts)) if len(texts) > 1 else 0)
+            return [[ord(c) for c in t] for t in texts]
+
+    texts = ["", "ab", "x" * 5000, "", *(["word " * 20] * 9000), "y" * 700_000, ""]
+    seen = Counting()
+    found = [x for ids in tokens.encode_all(seen, texts) for x in ids]
+    assert ["".join(map(chr, x)) for x in found] == texts and 0 < seen.most <= tokens.SLICE and found[2].nbytes == 20_000
+    assert tokens.count_all(seen, texts) == [len(t) for t in texts] and tokens.count_all(seen, []) == []
