@@ -58,11 +58,14 @@ def price_table(spark) -> DataFrame:
     return spark.createDataFrame(list(PRICES), "model string, price_in double, price_out double")
 
 
-def costs(usage: DataFrame, prices: DataFrame) -> DataFrame:
-    """usage: model, prompt_tokens, completion_tokens, any number of rows. One row a model with usd; a model without a price costs OTHER_PRICE."""
-    sums = usage.groupBy("model").agg(F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"))
+def costs(usage: DataFrame, prices: DataFrame, **more: Column) -> DataFrame:
+    """usage: model, prompt_tokens, completion_tokens, any number of rows. One row a model with usd; a model without a price costs OTHER_PRICE.
+
+    more: further aggregates of a model's rows, taken in the same pass: a second one would make the calls again that gave the rows.
+    """
+    sums = usage.groupBy("model").agg(F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), *(a.alias(name) for name, a in more.items()))
     usd = (F.col("prompt_tokens") * F.coalesce("price_in", F.lit(OTHER_PRICE[0])) + F.col("completion_tokens") * F.coalesce("price_out", F.lit(OTHER_PRICE[1]))) / 1_000_000
-    return sums.join(prices, "model", "left").select("model", "prompt_tokens", "completion_tokens", usd.alias("usd"))
+    return sums.join(prices, "model", "left").select("model", "prompt_tokens", "completion_tokens", usd.alias("usd"), *more)
 
 
 def check_budget(usage: DataFrame, prices: DataFrame, most_usd: float) -> float:

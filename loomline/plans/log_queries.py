@@ -243,10 +243,10 @@ def command_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = F.expr("""case when doc_id % 7 = 0 then 'no json' else to_json(named_struct('result', source || ' says ' || lang, 'is_error', doc_id % 5 = 0, 'usage', if(doc_id % 3 = 0, null, named_struct('input_tokens', n_chars, 'output_tokens', doc_id % 10)))) end""")
     rows = _table(spark, sf_dir, "documents").select("doc_id", "lang", made.alias("prompt"))
     output = rows.withColumn("output", L.grade(F.col("prompt"), command(["cat"]), _CALLS))
-    told = output.select("lang", enveloped(F.col("output")).alias("answer"), usage(F.col("output")).alias("u"))
-    sums = T.costs(told.select(F.expr("case lang when 'en' then 'openai/gpt-4o' else 'lang/' || lang end").alias("model"), "u.prompt_tokens", "u.completion_tokens"), T.price_table(spark))
-    answers = told.groupBy(F.expr("case lang when 'en' then 'openai/gpt-4o' else 'lang/' || lang end").alias("model")).agg(F.count("answer").alias("answers"), F.count("*").alias("calls"))
-    return sums.join(answers, "model").select("model", "prompt_tokens", "completion_tokens", F.round("usd", 6).alias("usd"), "answers", "calls")
+    model = F.expr("case lang when 'en' then 'openai/gpt-4o' else 'lang/' || lang end").alias("model")
+    told = output.select(model, enveloped(F.col("output")).alias("answer"), usage(F.col("output")).alias("u")).select("model", "answer", "u.prompt_tokens", "u.completion_tokens")
+    sums = T.costs(told, T.price_table(spark), answers=F.count("answer"), calls=F.count("*"))
+    return sums.select("model", "prompt_tokens", "completion_tokens", F.round("usd", 6).alias("usd"), "answers", "calls")
 
 
 @query

@@ -14,8 +14,10 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from loomline.operators.backends import command
 from loomline.operators.calls import Budget, BudgetExceeded, Caller, Calls, json_tokens, keep_answers, spent, usd
 from loomline.operators.labels import LABEL_SCHEMA, grade, unlabeled
+from loomline.plans import log_queries
 from loomline.plans.dataset import label_dataset
 from loomline.sources import jsonl
 from loomline.sources.label_store import LabelStore
@@ -64,6 +66,14 @@ def test_second_attempts():
     assert tries == {"1": 1, "2": 2, "3": 3, "4": 3}
 
 
+def test_a_command_runs_once_for_each_row(spark, small, tmp_path, monkeypatch):
+    """Answers, errors and costs are read from the same outputs: a second pass over them would call the command again."""
+    log = tmp_path / "log"
+    monkeypatch.setattr(log_queries, "command", lambda argv: command(["sh", "-c", f"echo called >> {log}; exec {argv[0]}"]))
+    got = log_queries.command_costs(spark, small).collect()
+    assert len(asked(str(log))) == sum(r.calls for r in got) == spark.read.parquet(f"{small}/documents.parquet").count()
+
+
 def test_rate():
     with Caller(slow(0), Calls(in_flight=8, per_second=50)) as caller:
         began = time.monotonic()
