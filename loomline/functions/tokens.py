@@ -72,7 +72,8 @@ class FileTokenizer:
             coder = Library.from_file(path)
             coder.encode_special_tokens = True
             coder.no_truncation(), coder.no_padding()
-            self.encode_batch = lambda texts: [x.ids for x in coder.encode_batch(texts, add_special_tokens=False)]
+            # one by one: its own batches start a thread for each of the machine's cores in each worker, and keep all that is known of every token until the last text is done
+            self.encode_batch = lambda texts: [coder.encode(t, add_special_tokens=False).ids for t in texts]
             self.decode = lambda ids: coder.decode(ids, skip_special_tokens=False)
 
     def encode(self, text: str) -> list[int]:
